@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def kilobytes(column: str) -> Column:
-    """Bytes -> KB, truncated toward zero."""
-    return F.expr(f"`{column}` div 1024")
+def kilobytes(column: str) -> str:
+    """SQL for bytes -> KB, truncated toward zero."""
+    return f"{column} div 1024"
 
 
-def millis_of_nanos(column: str) -> Column:
-    """Nanoseconds -> milliseconds, truncated toward zero."""
-    return F.expr(f"`{column}` div 1000000")
+def millis_of_nanos(column: str) -> str:
+    """SQL for nanoseconds -> milliseconds, truncated toward zero."""
+    return f"{column} div 1000000"
 
 
 def axis_label(millis: Column, time_zone: str = "UTC") -> Column:

@@ -74,9 +74,7 @@ TASK_COLUMNS = [
 
 def series(*names: str) -> list:
     """Series columns by name."""
-    return [
-        (F.col(SERIES[n]) if isinstance(SERIES[n], str) else SERIES[n]).alias(n) for n in names
-    ]
+    return [F.expr(SERIES[n]).alias(n) for n in names]
 
 
 def summary_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
