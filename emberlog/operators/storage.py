@@ -42,6 +42,18 @@ def registrations(events: DataFrame) -> DataFrame:
     )
 
 
+def block_managers(events: DataFrame, bits: int | None = None) -> DataFrame:
+    """One row per (log, executor, incarnation): when it registered, with how much memory."""
+    rows = (
+        events.where(F.col("family") == "executor")
+        .where((F.col("event") == "BlockManagerAdded") & F.col("executor_id").isNotNull())
+        .select(*EXECUTOR_KEY, "seq", F.col("time").alias("add_time"), "max_mem")
+    )
+    return running_total(
+        rows, EXECUTOR_KEY, ["seq"], sums={"incarnation": F.lit(1)}, bits=bits
+    ).select(*MANAGER_KEY, "seq", "add_time", "max_mem")
+
+
 def unpersists(events: DataFrame) -> DataFrame:
     """RDD unpersist events as (log, rdd, seq)."""
     return (
@@ -219,19 +231,55 @@ def unpersist_hits(events: DataFrame, updates: DataFrame, bits: int | None = Non
     )
 
 
+def released_blocks(events: DataFrame, updates: DataFrame, bits: int | None = None) -> DataFrame:
+    """Drops of live blocks at the first unpersist event they meet, as block updates.
+
+    The blocks one event drops from a manager follow each other by block id.
+    """
+    order = Window.partitionBy(*MANAGER_KEY, "seq").orderBy("block_id")
+    return (
+        live_spans(events, updates, bits)
+        .withColumnRenamed("first", "number")
+        .join(numbered_unpersists(events, bits), ["log_id", "rdd_id", "number"])
+        .select(
+            *BLOCK_KEY,
+            "seq",
+            (F.row_number().over(order) - 1).alias("pos"),
+            F.lit(True).alias("is_last"),
+            F.lit(None).cast("bigint").alias("time"),
+            _zero().alias("mem"),
+            _zero().alias("disk"),
+            F.lit(False).alias("stored"),
+        )
+    )
+
+
 def storage_samples(
-    events: DataFrame, updates: DataFrame | None = None, bits: int | None = None
+    events: DataFrame,
+    updates: DataFrame | None = None,
+    bits: int | None = None,
+    unpersist: str = "keep",
 ) -> DataFrame:
     """(log, executor, seq, copy, time, mem_used, disk_used): every storage sample.
 
+    ``seq`` and ``copy`` give their order.
     One sample per task end with blocks, after all of them; one per block update;
-    and one unchanged sample per live block an unpersist event touches. ``updates``
-    is ``block_updates(events)`` as a written table; it is written if not given.
+    and one per live block an unpersist event touches. With ``unpersist="keep"``
+    such a block stays and its sample is unchanged; with ``"release"`` it goes.
+    ``updates`` is ``block_updates(events)`` as a written table; it is written if
+    not given.
     """
     bits = bits or CHUNK_BITS
     if updates is None:
         updates = land(block_updates(events, bits), "block_updates")
-    hits = unpersist_hits(events, updates, bits)
+    if unpersist == "keep":
+        hits = unpersist_hits(events, updates, bits)
+    elif unpersist == "release":
+        released = released_blocks(events, updates, bits)
+        updates = land(updates.unionByName(released), "released_updates")
+        hits = None
+    else:
+        raise ValueError(f"unpersist is 'keep' or 'release', not {unpersist!r}")
 
     # State at chunk starts: one row per block and chunk that touches it.
     by_chunk = Window.partitionBy(*BLOCK_KEY).orderBy("_chunk")
@@ -257,14 +305,16 @@ def storage_samples(
         "_chunk",
         (F.col("last.mem") - F.coalesce("before.mem", _zero())).alias("mem"),
         (F.col("last.disk") - F.coalesce("before.disk", _zero())).alias("disk"),
-    ).unionByName(
-        hits.select(
-            *MANAGER_KEY,
-            chunk_of("seq", bits).alias("_chunk"),
-            _zero().alias("mem"),
-            _zero().alias("disk"),
-        )
     )
+    if hits is not None:
+        chunk_steps = chunk_steps.unionByName(
+            hits.select(
+                *MANAGER_KEY,
+                chunk_of("seq", bits).alias("_chunk"),
+                _zero().alias("mem"),
+                _zero().alias("disk"),
+            )
+        )
     earlier = (
         Window.partitionBy(*MANAGER_KEY)
         .orderBy("_chunk")
@@ -288,7 +338,9 @@ def storage_samples(
         .withColumn("copies", F.when(F.col("is_last"), F.lit(1).cast("bigint")))
         .unionByName(carried, allowMissingColumns=True)
         .unionByName(seeds, allowMissingColumns=True)
-        .unionByName(
+    )
+    if hits is not None:
+        rows = rows.unionByName(
             hits.withColumns(
                 {
                     "_chunk": chunk_of("seq", bits),
@@ -299,7 +351,6 @@ def storage_samples(
             ),
             allowMissingColumns=True,
         )
-    )
 
     chain = Window.partitionBy(*BLOCK_KEY, "_chunk").orderBy("seq", "pos")
     fold = (
@@ -329,7 +380,7 @@ def storage_samples(
         .select(
             *EXECUTOR_KEY,
             "seq",
-            "copy",
+            (F.col("copy") + F.col("pos")).alias("copy"),
             F.coalesce("time", "timeline").alias("time"),
             "mem_used",
             "disk_used",
