@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.reasons import failed_reason, outcome, trace_stack
 from emberlog.operators.running import lowest_running_sum
-from emberlog.sources.schema import METRIC_COLUMNS
+from emberlog.sources.schema import LOGGED_METRICS, METRIC_COLUMNS
 
 EXECUTOR_KEY = ["log_id", "executor_id"]
 TASK_KEY = ["log_id", "task_id"]
@@ -40,24 +40,28 @@ def task_ends(events: DataFrame) -> DataFrame:
     )
 
 
-def metric_value(name: str) -> Column:
-    """A metric of a task end; 0 where the event has none, totals = remote + local."""
+def metric_sums() -> list[Column]:
+    """Plain sums of the logged metrics over a group's task events."""
+    return [F.sum(name).alias(name) for name in LOGGED_METRICS]
 
-    def logged(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(0).cast("bigint"))
 
-    if name == "total_blocks_fetched":
-        return logged("remote_blocks_fetched") + logged("local_blocks_fetched")
-    if name == "total_bytes_read":
-        return logged("remote_bytes_read") + logged("local_bytes_read")
-    if name == "shuffle_record_write":
-        return F.lit(0).cast("bigint")
-    return logged(name)
+def metric_columns() -> list[Column]:
+    """The metric columns over summed metrics: 0 where no event had any.
 
+    The two totals are remote + local; ``shuffle_record_write`` is never filled.
+    """
+    zero = F.lit(0).cast("bigint")
 
-def metric_sums() -> list[Column]:
-    """The metric sums over a group's task events, never NULL (starts carry none)."""
-    return [F.sum(metric_value(m)).alias(m) for m in METRIC_COLUMNS]
+    def value(name: str) -> Column:
+        if name == "total_blocks_fetched":
+            return value("remote_blocks_fetched") + value("local_blocks_fetched")
+        if name == "total_bytes_read":
+            return value("remote_bytes_read") + value("local_bytes_read")
+        if name == "shuffle_record_write":
+            return zero
+        return F.coalesce(name, zero)
+
+    return [value(name).alias(name) for name in METRIC_COLUMNS]
 
 
 def executor_totals(events: DataFrame) -> DataFrame:
@@ -67,22 +71,30 @@ def executor_totals(events: DataFrame) -> DataFrame:
     task; the buffers are all numbers, so it stays a hash aggregation.
     """
     is_end = F.col("event") == "TaskEnd"
-    result = outcome()
     zero = F.lit(0).cast("bigint")
     return (
         task_events(events)
+        .withColumn("result", F.when(is_end, outcome()))
+        .withColumn("took", F.when(is_finished(), F.col("time") - F.col("launch_time")))
+        .withColumn("start_seq", F.when(~is_end, F.col("seq")))
         .groupBy(*EXECUTOR_KEY)
         .agg(
             F.min("seq").alias("first_task_seq"),
-            F.max_by("stage_id", F.when(~is_end, F.col("seq"))).alias("stage_id"),
-            F.count_if(is_end & (result == "failed")).alias("tasks_failed"),
-            F.count_if(is_end & (result == "complete")).alias("tasks_complete"),
-            F.coalesce(
-                F.sum(F.when(is_finished(), F.col("time") - F.col("launch_time"))), zero
-            ).alias("duration"),
+            F.max_by("stage_id", "start_seq").alias("stage_id"),
+            F.count_if(F.col("result") == "failed").alias("tasks_failed"),
+            F.count_if(F.col("result") == "complete").alias("tasks_complete"),
+            F.sum("took").alias("duration"),
             *metric_sums(),
         )
-        .withColumn("stage_id", F.coalesce("stage_id", F.lit(0)))
+        .select(
+            *EXECUTOR_KEY,
+            "first_task_seq",
+            F.coalesce("stage_id", F.lit(0)).alias("stage_id"),
+            "tasks_failed",
+            "tasks_complete",
+            F.coalesce("duration", zero).alias("duration"),
+            *metric_columns(),
+        )
     )
 
 
@@ -108,38 +120,52 @@ def tasks(events: DataFrame) -> DataFrame:
     a task counts for its executor but is in no executor's task list.
     """
     is_end = F.col("event") == "TaskEnd"
-    is_start = F.col("event") == "TaskStart"
     seq = F.col("seq")
-    zero = F.lit(0).cast("bigint")
-    result = outcome()
-    finished = is_finished()
-    reason = F.when(is_end, failed_reason())
-    trace = F.when(is_end, trace_stack())
-
-    def last(value: Column, when: Column) -> Column:
-        return F.max_by(value, F.when(when, seq))
-
-    return (
+    rows = (
         task_events(events)
-        .groupBy(*TASK_KEY)
+        .withColumn("result", F.when(is_end, outcome()))
+        .withColumn("start_seq", F.when(~is_end, seq))
+        .withColumn("end_seq", F.when(is_finished(), seq))
+        .withColumn("took", F.when(is_finished(), F.col("time") - F.col("launch_time")))
+        .withColumn("failed_reason", failed_reason())
+        .withColumn("trace_stack", trace_stack())
+    )
+    failed = F.col("result") == "failed"
+    no, zero = F.lit(False), F.lit(0).cast("bigint")
+    return (
+        rows.groupBy(*TASK_KEY)
         .agg(
-            F.coalesce(
-                F.min_by("executor_id", F.when(is_start, seq)), F.min_by("executor_id", seq)
-            ).alias("executor_id"),
-            F.min(F.when(is_start, seq)).alias("start_seq"),
-            (~F.coalesce(F.bool_or(is_end), F.lit(False))).alias("is_alive"),
-            F.coalesce(last(F.col("launch_time"), is_start), zero).alias("start_time"),
-            F.coalesce(last(F.col("time"), finished), zero).alias("end_time"),
-            F.coalesce(
-                last(F.col("time") - F.col("launch_time"), finished), zero
-            ).alias("duration"),
-            F.coalesce(F.bool_or(is_end & (result == "failed")), F.lit(False)).alias("failed"),
-            F.coalesce(F.bool_or(is_end & (result == "killed")), F.lit(False)).alias("killed"),
-            last(reason, is_end & (result == "failed")).alias("failed_reason"),
-            last(trace, trace.isNotNull()).alias("trace_stack"),
-            F.coalesce(F.bool_or(is_end & ~finished), F.lit(False)).alias("no_finish_time"),
+            F.min_by("executor_id", "start_seq").alias("starter"),
+            F.min_by("executor_id", "seq").alias("executor_id"),
+            F.min("start_seq").alias("start_seq"),
+            F.count("result").alias("ends"),
+            F.count("end_seq").alias("finished_ends"),
+            F.max_by("launch_time", "start_seq").alias("start_time"),
+            F.max_by("time", "end_seq").alias("end_time"),
+            F.max_by("took", "end_seq").alias("duration"),
+            F.bool_or(failed).alias("failed"),
+            F.bool_or(F.col("result") == "killed").alias("killed"),
+            F.max_by("failed_reason", F.when(failed, seq)).alias("failed_reason"),
+            F.max_by("trace_stack", F.when(F.col("trace_stack").isNotNull(), seq)).alias(
+                "trace_stack"
+            ),
             *metric_sums(),
         )
+        .select(
+            *TASK_KEY,
+            F.coalesce("starter", "executor_id").alias("executor_id"),
+            "start_seq",
+            (F.col("ends") == 0).alias("is_alive"),
+            F.coalesce("start_time", zero).alias("start_time"),
+            F.coalesce("end_time", zero).alias("end_time"),
+            F.coalesce("duration", zero).alias("duration"),
+            F.coalesce("failed", no).alias("failed"),
+            F.coalesce("killed", no).alias("killed"),
+            "failed_reason",
+            "trace_stack",
+            (F.col("ends") > F.col("finished_ends")).alias("no_finish_time"),
+            *metric_columns(),
+        )
     )
 
 

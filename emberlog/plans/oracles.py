@@ -530,6 +530,11 @@ ORACLES = {
         "SELECT log_id AS app_id, log_id, executor_id, position, '{\"time\":' || time || "
         "',\"memUsed\":' || mem_used || ',\"diskUsed\":' || disk_used || '}' AS json FROM samples"
     ),
+    "streaming_executor_totals": sql("SELECT * FROM totals"),
+    "streaming_executors": sql(
+        "SELECT * EXCLUDE (app_id, first_seen, mem_used, disk_used) FROM summary"
+    ),
+    "streaming_storage_samples": sql("SELECT * FROM samples"),
     "block_manager_json": sql(
         "SELECT log_id AS app_id, log_id, executor_id, '{\"executorId\":\"' || executor_id || "
         "'\",\"addTime\":' || arg_max(t, seq) || '}' AS json FROM life WHERE kind = 'bm+' "

@@ -20,7 +20,6 @@ from emberlog.operators.storage import (
     block_managers,
     block_updates,
     live_spans,
-    registrations,
     storage_in_use,
     storage_samples,
     timeline_at,
@@ -46,7 +45,14 @@ from emberlog.sources.logs import (
     read_lines,
 )
 from emberlog.sources.schema import METRIC_COLUMNS
-from emberlog.sources.tables import land, land_events, shared_folder
+from emberlog.sources.tables import land_events, read_event_table, shared_folder
+from emberlog.streaming.folds import (
+    current_executors,
+    current_totals,
+    ingest_with_samples,
+    update_executor_totals,
+)
+from emberlog.streaming.ingest import ingest
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -71,7 +77,7 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         land_events(read_events(spark, log_folder(spark, sf_dir)), path)
 
-    return spark.read.parquet(_once(spark, sf_dir, "events", write))
+    return read_event_table(spark, _once(spark, sf_dir, "events", write))
 
 
 def updates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,6 +349,45 @@ def block_manager_json(spark, sf_dir):
     return sinks.block_manager_json(apps.with_app_id(latest, events))
 
 
+# Streaming
+
+
+def _streamed_totals(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with tables ``events`` and ``totals``, both filled by streams."""
+
+    def write(path: str) -> None:
+        ingest(spark, log_folder(spark, sf_dir), f"{path}/events", f"{path}/ingest-state", 4)
+        update_executor_totals(spark, f"{path}/events", f"{path}/totals", f"{path}/totals-state")
+
+    return _once(spark, sf_dir, "streamed", write)
+
+
+def streaming_executor_totals(spark, sf_dir):
+    path = _streamed_totals(spark, sf_dir)
+    return current_totals(spark, f"{path}/totals").drop("first_task_seq")
+
+
+def streaming_executors(spark, sf_dir):
+    path = _streamed_totals(spark, sf_dir)
+    rows = current_executors(spark, f"{path}/events", f"{path}/totals")
+    return rows.withColumn("executor_logs", F.to_json("executor_logs")).drop("first_seen")
+
+
+def streaming_storage_samples(spark, sf_dir):
+    def write(path: str) -> None:
+        ingest_with_samples(
+            spark,
+            log_folder(spark, sf_dir),
+            f"{path}/events",
+            f"{path}/samples",
+            f"{path}/state",
+        )
+
+    path = _once(spark, sf_dir, "streamed-samples", write)
+    rows = spark.read.parquet(f"{path}/samples")
+    return position(rows, EXECUTOR_KEY, ["seq", "copy"]).drop("seq", "copy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_type_counts": event_type_counts,
     "parsed_event_counts": parsed_event_counts,
@@ -385,4 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "task_json": task_json,
     "storage_json": storage_json,
     "block_manager_json": block_manager_json,
+    "streaming_executor_totals": streaming_executor_totals,
+    "streaming_executors": streaming_executors,
+    "streaming_storage_samples": streaming_storage_samples,
 }

@@ -220,154 +220,168 @@ def _row_lines() -> list[tuple[str, str, Column]]:
 
 
 def _pick(rows: DataFrame, choices: list[tuple[str, str, Column]]) -> DataFrame:
-    """One scan of ``rows``; every line whose condition holds."""
-    lines = F.array(
+    """One scan of ``rows``; (log_id, seq, kind, columns) of every choice that holds."""
+    places = F.array(
         *[
-            F.when(F.expr(cond), F.struct(F.expr(seq).alias("seq"), line.alias("value")))
-            for cond, seq, line in choices
+            F.when(F.expr(cond), F.struct(F.expr(seq).alias("seq"), F.lit(kind).alias("kind")))
+            for kind, (cond, seq, _) in enumerate(choices)
         ]
     )
     return (
-        rows.select("log_id", F.explode(lines).alias("l"))
+        rows.withColumn("l", F.explode(places))
         .where("l is not null")
-        .select("log_id", "l.seq", "l.value")
+        .select("l.seq", "l.kind", *rows.columns)
     )
 
 
-def _application_lines(apps: DataFrame) -> DataFrame:
+def _render(picked: DataFrame, choices: list[tuple[str, str, Column]]) -> DataFrame:
+    """Picked rows -> (log_id, seq, value)."""
+    value = F.when(F.lit(False), F.lit(""))
+    for kind, (_, _, line) in enumerate(choices):
+        value = value.when(F.col("kind") == kind, line)
+    return picked.select("log_id", "seq", value.alias("value"))
+
+
+def _application_lines() -> list[tuple[str, str, Column]]:
     driver = {"Executor ID": "'driver'", "Host": "'host0'", "Port": 7000}
     key = "concat('k', app)"
-    return _pick(
-        apps,
-        [
-            (
-                "true",
-                "-3000L",
-                _json(
-                    "BlockManagerAdded",
-                    _struct("Block Manager ID", driver),
-                    _named("Maximum Memory", F.lit(500000)),
-                    _named("Timestamp", "t0 - 3000"),
-                ),
+    return [
+        (
+            "true",
+            "-3000L",
+            _json(
+                "BlockManagerAdded",
+                _struct("Block Manager ID", driver),
+                _named("Maximum Memory", F.lit(500000)),
+                _named("Timestamp", "t0 - 3000"),
             ),
-            (
-                "true",
-                "-2900L",
-                _json(
-                    "EnvironmentUpdate",
-                    _named("JVM Information", "map('Java Version', '17')"),
-                    _named(
-                        "Spark Properties", f"map('spark.app.k', string(app), 'shared.key', {key})"
-                    ),
-                    _named(
-                        "System Properties", "map('spark.app.k', 'system', 'user.timezone', 'UTC')"
-                    ),
+        ),
+        (
+            "true",
+            "-2900L",
+            _json(
+                "EnvironmentUpdate",
+                _named("JVM Information", "map('Java Version', '17')"),
+                _named(
+                    "Spark Properties", f"map('spark.app.k', string(app), 'shared.key', {key})"
                 ),
-            ),
-            (
-                "true",
-                "-2800L",
-                _json(
-                    "ApplicationStart",
-                    _named("App Name", "concat('job ', app)"),
-                    _named("App ID", "log_id"),
-                    _named("Timestamp", "t0 - 2500"),
-                    _named(
-                        "Driver Logs", "if(app = 0, map('stdout', 'http://host0/stdout'), null)"
-                    ),
+                _named(
+                    "System Properties", "map('spark.app.k', 'system', 'user.timezone', 'UTC')"
                 ),
             ),
-            (
-                "app <> 2",
-                f"{TAIL_SEQ + 20}L",
-                _json("ApplicationEnd", _named("Timestamp", "t1 + 7000")),
+        ),
+        (
+            "true",
+            "-2800L",
+            _json(
+                "ApplicationStart",
+                _named("App Name", "concat('job ', app)"),
+                _named("App ID", "log_id"),
+                _named("Timestamp", "t0 - 2500"),
+                _named(
+                    "Driver Logs", "if(app = 0, map('stdout', 'http://host0/stdout'), null)"
+                ),
             ),
-        ],
-    )
+        ),
+        (
+            "app <> 2",
+            f"{TAIL_SEQ + 20}L",
+            _json("ApplicationEnd", _named("Timestamp", "t1 + 7000")),
+        ),
+    ]
 
 
-def _executor_lines(executors: DataFrame) -> DataFrame:
+def _executor_lines() -> list[tuple[str, str, Column]]:
     manager = {"Executor ID": "executor_id", "Host": "concat('host', exec)", "Port": 7000}
     urls = "map('stderr', concat('http://host', exec, '/stderr'))"
-    return _pick(
-        executors,
-        [
-            (
-                "true",
-                "-2000 + exec",
-                _json(
-                    "ExecutorAdded",
-                    _named("Timestamp", "t0 - 2000 + exec"),
-                    _named("Executor ID", "executor_id"),
-                    _struct(
-                        "Executor Info",
-                        {
-                            "Host": "concat('host', exec)",
-                            "Total Cores": "cast(exec * 2 as int)",
-                            "Log Urls": urls,
-                        },
-                    ),
+    return [
+        (
+            "true",
+            "-2000 + exec",
+            _json(
+                "ExecutorAdded",
+                _named("Timestamp", "t0 - 2000 + exec"),
+                _named("Executor ID", "executor_id"),
+                _struct(
+                    "Executor Info",
+                    {
+                        "Host": "concat('host', exec)",
+                        "Total Cores": "cast(exec * 2 as int)",
+                        "Log Urls": urls,
+                    },
                 ),
             ),
-            (
-                "exec <= 3",
-                "-1000 + exec",
-                _json(
-                    "BlockManagerAdded",
-                    _struct("Block Manager ID", manager),
-                    _named("Maximum Memory", "exec * 1000000"),
-                    _named("Timestamp", "t0 - 1000 + exec"),
-                ),
+        ),
+        (
+            "exec <= 3",
+            "-1000 + exec",
+            _json(
+                "BlockManagerAdded",
+                _struct("Block Manager ID", manager),
+                _named("Maximum Memory", "exec * 1000000"),
+                _named("Timestamp", "t0 - 1000 + exec"),
             ),
-            (
-                "exec = 3",
-                f"{TAIL_SEQ + 3}L",
-                _json(
-                    "ExecutorRemoved",
-                    _named("Timestamp", "t1 + 6000"),
-                    _named("Executor ID", "executor_id"),
-                    _named("Removed Reason", "'idle'"),
-                ),
+        ),
+        (
+            "exec = 3",
+            f"{TAIL_SEQ + 3}L",
+            _json(
+                "ExecutorRemoved",
+                _named("Timestamp", "t1 + 6000"),
+                _named("Executor ID", "executor_id"),
+                _named("Removed Reason", "'idle'"),
             ),
-            (
-                "exec = 2",
-                f"{TAIL_SEQ + 12}L",
-                _json(
-                    "BlockManagerRemoved",
-                    _struct("Block Manager ID", manager),
-                    _named("Timestamp", "t1 + 6500"),
-                ),
+        ),
+        (
+            "exec = 2",
+            f"{TAIL_SEQ + 12}L",
+            _json(
+                "BlockManagerRemoved",
+                _struct("Block Manager ID", manager),
+                _named("Timestamp", "t1 + 6500"),
             ),
-        ],
-    )
+        ),
+    ]
 
 
-def derive_lines(events: DataFrame) -> DataFrame:
-    """(log_id, seq, value) lines of the derived logs; ``seq`` is their order."""
+def _log_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unrendered rows of task and block lines, and rendered lifecycle lines (few)."""
     rows = keyed(events)
-    executors = rows.groupBy("log_id", "app", "executor_id", "exec").agg(
-        F.min("launch").alias("first"), F.max("launch").alias("last")
-    )
+    executors = rows.select("log_id", "app", "executor_id", "exec").distinct()
     spans = rows.groupBy("log_id", "app").agg(
         F.min("launch").alias("t0"), F.max("launch").alias("t1")
     )
-    return (
-        _pick(rows, _row_lines())
-        .unionByName(_application_lines(spans))
-        .unionByName(_executor_lines(executors.join(spans, ["log_id", "app"])))
+    lives = executors.join(spans, ["log_id", "app"])
+    lifecycle = _render(_pick(spans, _application_lines()), _application_lines()).unionByName(
+        _render(_pick(lives, _executor_lines()), _executor_lines())
     )
+    return _pick(rows, _row_lines()), lifecycle
 
 
-def write_logs(lines: DataFrame, path: str) -> None:
-    """Lines -> text logs ``<path>/log_id=<log>/part-<n>...``, each log in ``seq`` order.
+def derive_lines(events: DataFrame) -> DataFrame:
+    """(log_id, seq, value) lines of the derived logs; ``seq`` is their order."""
+    picked, lifecycle = _log_rows(events)
+    return _render(picked, _row_lines()).unionByName(lifecycle)
+
+
+def write_logs(events: DataFrame, path: str) -> None:
+    """Derived logs as text files ``<path>/log_id=<log>/part-<n>...``, in ``seq`` order.
 
     Range partitioning on (log, seq) cuts a large log over many files; the part
-    numbers rise with ``seq``, so they serve as the roll numbers of the log.
+    numbers rise with ``seq``, so they serve as the roll numbers of the log. Rows
+    are rendered to JSON after the shuffle, which then moves narrow rows only.
     """
-    (
-        lines.repartitionByRange("log_id", "seq")
+    picked, lifecycle = _log_rows(events)
+    placed = (
+        picked.unionByName(lifecycle, allowMissingColumns=True)
+        .repartitionByRange("log_id", "seq")
         .sortWithinPartitions("log_id", "seq")
-        .select("log_id", "value")
+    )
+    value = F.col("value")
+    for kind, (_, _, line) in enumerate(_row_lines()):
+        value = F.when(F.col("kind") == kind, line).otherwise(value)
+    (
+        placed.select("log_id", value.alias("value"))
         .write.partitionBy("log_id")
         .option("maxRecordsPerFile", 0)
         .mode("overwrite")
@@ -377,4 +391,4 @@ def write_logs(lines: DataFrame, path: str) -> None:
 
 def derive_logs(spark: SparkSession, table_dir: str, path: str) -> None:
     """Write the logs derived from ``<table_dir>/events.parquet`` under ``path``."""
-    write_logs(derive_lines(spark.read.parquet(f"{table_dir}/events.parquet")), path)
+    write_logs(spark.read.parquet(f"{table_dir}/events.parquet"), path)

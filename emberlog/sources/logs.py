@@ -25,8 +25,8 @@ _ROW_BITS = (1 << 33) - 1
 _ROLL_BITS = 40
 
 # Names in an event-log directory (public Spark format).
-_ROLLED = r"/(?:eventlog_v2_|log_id=)([^/]+)/(?:events_|part-)(\d+)[^/]*$"
-_PREFIXES = ("", "eventlog_v2_", "log_id=")
+_ROLLED_FOLDERS = ("eventlog_v2_", "log_id=")
+_ROLLED_FILE = r"^(?:events_|part-)(\d+)"
 _SUFFIXES = r"(\.(?:zstd|zst|lz4|lzf|snappy|gz))?(\.inprogress)?(\.compact)?$"
 _UNREADABLE_CODECS = "*.{lz4,lzf,snappy,lz4.inprogress,lzf.inprogress,snappy.inprogress}"
 _ATTEMPT = r"^(application_\d+_\d+)_\d+$"
@@ -80,14 +80,13 @@ FILE_COLUMNS = ["file_path", "file_name", "file_block_start", "file_block_length
 
 def with_place(scan: DataFrame) -> DataFrame:
     """``value`` + file metadata + ``row`` -> (log_id, seq, value)."""
-    rolled = F.regexp_extract("file_path", _ROLLED, 1)
-    roll = F.coalesce(
-        F.nullif(F.regexp_extract("file_path", _ROLLED, 2), F.lit("")).cast("bigint"),
-        F.lit(0).cast("bigint"),
-    )
-    log_id = F.when(rolled != "", rolled).otherwise(
-        F.regexp_replace("file_name", _SUFFIXES, "")
-    )
+    folder = F.substring_index(F.substring_index("file_path", "/", -2), "/", 1)
+    rolled = F.lit(None).cast("string")
+    for prefix in _ROLLED_FOLDERS:
+        rolled = F.when(folder.startswith(prefix), F.substring(folder, len(prefix) + 1, 1000)).otherwise(rolled)
+    number = F.nullif(F.regexp_extract("file_name", _ROLLED_FILE, 1), F.lit(""))
+    roll = F.when(rolled.isNotNull(), F.coalesce(number.cast("bigint"), F.lit(0))).otherwise(F.lit(0))
+    log_id = F.coalesce(rolled, F.regexp_replace("file_name", _SUFFIXES, ""))
     return scan.select(log_id.alias("log_id"), place_in_log(roll).alias("seq"), "value")
 
 
@@ -231,7 +230,7 @@ def read_application(
     """Typed events of the given applications' logs, found by id under ``base``."""
     given = [app_ids] if isinstance(app_ids, str) else list(app_ids)
     ids = sorted({name for app in given for name in (app, log_name(app))})
-    names = "{" + ",".join(f"{prefix}{app}*" for app in ids for prefix in _PREFIXES) + "}"
+    names = "{" + ",".join(f"{prefix}{app}*" for app in ids for prefix in ("", *_ROLLED_FOLDERS)) + "}"
     return parse_events(read_lines(spark, f"{base.rstrip('/')}/{names}", ids))
 
 

@@ -7,6 +7,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberlog.sources.schema import LOGGED_METRICS
+
+_REASON = (
+    "Reason:STRING, `Class Name`:STRING, Description:STRING, `Full Stack Trace`:STRING, "
+    "`Stack Trace`:ARRAY<STRUCT<`Declaring Class`:STRING, `Method Name`:STRING, "
+    "`File Name`:STRING, `Line Number`:INT>>, `Executor ID`:STRING, "
+    "`Exit Caused By App`:BOOLEAN, `Loss Reason`:STRING, `Block Manager Address`:STRUCT<"
+    "`Executor ID`:STRING, Host:STRING, Port:INT>, `Shuffle ID`:INT, `Map ID`:BIGINT, "
+    "`Map Index`:INT, `Reduce ID`:INT, Message:STRING, `Job ID`:INT, `Partition ID`:INT, "
+    "`Attempt Number`:INT"
+)
+
+# Columns of the event table; given to readers, so none infers a schema.
+EVENT_TABLE_SCHEMA = f"""
+log_id STRING, seq BIGINT, event STRING, time BIGINT, executor_id STRING, task_id BIGINT,
+stage_id INT, launch_time BIGINT, end_reason STRUCT<{_REASON}>,
+{", ".join(f"{name} BIGINT" for name in LOGGED_METRICS)},
+blocks ARRAY<STRUCT<block_id:STRING, mem:BIGINT, disk:BIGINT, stored:BOOLEAN>>,
+rdd_id INT, max_mem BIGINT, total_cores INT, log_urls MAP<STRING,STRING>,
+announced_app_id STRING, app_name STRING, system_properties MAP<STRING,STRING>,
+spark_properties MAP<STRING,STRING>, jvm_information MAP<STRING,STRING>, family STRING
+"""
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in the folder all executors share.
@@ -30,7 +53,12 @@ def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFr
     their statistics.
     """
     events.write.partitionBy("family").mode(mode).parquet(path)
-    return events.sparkSession.read.parquet(path)
+    return read_event_table(events.sparkSession, path)
+
+
+def read_event_table(spark: SparkSession, path: str) -> DataFrame:
+    """The landed event table."""
+    return spark.read.schema(EVENT_TABLE_SCHEMA).parquet(path)
 
 
 def land(table: DataFrame, name: str) -> DataFrame:
