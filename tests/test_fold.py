@@ -87,6 +87,20 @@ def test_storage_samples(events, models):
     assert got == want
 
 
+def test_storage_samples_with_release(events, logs):
+    got = {}
+    rows = storage_samples(events, bits=BITS, unpersist="release")
+    for r in rows.orderBy("log_id", "executor_id", "seq", "copy").collect():
+        got.setdefault((r["log_id"], r["executor_id"]), []).append(
+            (r["time"], r["mem_used"], r["disk_used"])
+        )
+    assert got == {
+        (log, x): s
+        for log, es in logs.items()
+        for x, s in fold(es, "release").samples.items()
+    }
+
+
 def test_storage_series_positions(events, models):
     rows = reports.executor_storage_series(events, BITS).collect()
     got = {}
