@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.tasks import EXECUTOR_KEY, active_tasks, executor_totals, task_events
+from emberlog.sources.tables import land
 
 # Ids of the driver, current and legacy.
 DRIVER_IDS = ("driver", "<driver>")
@@ -83,8 +84,9 @@ def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None)
     executor, when the caller has it already.
     """
     if task_firsts is None:
-        task_firsts = (
-            task_events(events).groupBy(*EXECUTOR_KEY).agg(F.min("seq").alias("seq"))
+        task_firsts = land(
+            task_events(events).groupBy(*EXECUTOR_KEY).agg(F.min("seq").alias("seq")),
+            "first_tasks",
         )
     rows = _lifecycle_rows(events)
     seen = _first_seen(rows, task_firsts)
@@ -166,8 +168,12 @@ def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None)
 
 
 def executors(events: DataFrame, bits: int | None = None) -> DataFrame:
-    """Lifecycle, task totals and active tasks of every executor (no storage use)."""
-    totals = executor_totals(events)
+    """Lifecycle, task totals and active tasks of every executor (no storage use).
+
+    The totals (one row per executor) are written once: the lifecycle rules read
+    them several times, and would otherwise scan all task events each time.
+    """
+    totals = land(executor_totals(events), "executor_totals")
     firsts = totals.select(*EXECUTOR_KEY, F.col("first_task_seq").alias("seq"))
     zeros = {
         name: 0

@@ -396,7 +396,7 @@ def _json(fields: dict) -> str:
 
 
 _SUMMARY = "SELECT * EXCLUDE (first_seen) FROM summary"
-_LISTED = "SELECT log_id AS app_id, * EXCLUDE (start_seq) FROM listed"
+_LISTED = "SELECT log_id AS app_id, * EXCLUDE (start_seq, position) FROM listed"
 _TOTAL_EVENTS = "SELECT log_id, family, event, count(*) AS events FROM kinds"
 
 ORACLES = {
@@ -456,16 +456,16 @@ ORACLES = {
     "executor_summary": sql(_SUMMARY),
     "executor_by_id": sql(f"{_SUMMARY} WHERE log_id = 'app-1' AND executor_id = '3'"),
     "executor_shuffle": sql(
-        "SELECT log_id AS app_id, log_id, executor_id, task_id, position, "
+        "SELECT log_id AS app_id, log_id, executor_id, task_id, "
         f"{', '.join(SHUFFLE_COLUMNS)} FROM listed"
     ),
     "executor_io": sql(
-        "SELECT log_id AS app_id, log_id, executor_id, task_id, position, "
+        "SELECT log_id AS app_id, log_id, executor_id, task_id, "
         f"{', '.join(IO_COLUMNS)} FROM listed"
     ),
     "executor_tasks": sql(_LISTED),
     "tasks_by_executor": sql(
-        "SELECT log_id AS app_id, * EXCLUDE (start_seq, position) FROM listed "
+        f"{_LISTED} "
         "WHERE log_id = 'app-1' AND executor_id = '2'"
     ),
     "block_managers": sql(

@@ -45,7 +45,7 @@ from emberlog.sources.logs import (
     read_lines,
 )
 from emberlog.sources.schema import METRIC_COLUMNS
-from emberlog.sources.tables import land_events, read_event_table, shared_folder
+from emberlog.sources.tables import land, land_events, read_event_table, shared_folder
 from emberlog.streaming.folds import (
     current_executors,
     current_totals,
@@ -93,6 +93,11 @@ def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage_samples(events_of(spark, sf_dir), updates_of(spark, sf_dir))
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with their position instead of their place in the log."""
+    return position(land(rows, "numbered"), keys, order).drop(*order)
+
+
 # Sources
 
 
@@ -141,7 +146,7 @@ def timeline_as_of(spark, sf_dir):
     """The timeline at every block update and unpersist event, numbered per log."""
     events = events_of(spark, sf_dir)
     asked = events.where(F.col("family") == "block")
-    return position(timeline_at(events, asked), ["log_id"], ["seq"]).drop("seq")
+    return _numbered(timeline_at(events, asked), ["log_id"], ["seq"])
 
 
 def environment(spark, sf_dir):
@@ -187,8 +192,10 @@ def task_lifecycle(spark, sf_dir):
 
 
 def executor_lifecycle_rows(spark, sf_dir):
-    rows = position(executor_lifecycle(events_of(spark, sf_dir)), ["log_id"], ["first_seen"])
-    return rows.withColumn("executor_logs", F.to_json("executor_logs")).drop("first_seen")
+    rows = executor_lifecycle(events_of(spark, sf_dir)).withColumn(
+        "executor_logs", F.to_json("executor_logs")
+    )
+    return _numbered(rows, ["log_id"], ["first_seen"])
 
 
 def active_task_counts(spark, sf_dir):
@@ -209,18 +216,15 @@ def executor_by_id(spark, sf_dir):
 
 
 def executor_shuffle(spark, sf_dir):
-    rows = reports.executor_shuffle(events_of(spark, sf_dir))
-    return position(rows, EXECUTOR_KEY, ["start_seq"]).drop("start_seq")
+    return reports.executor_shuffle(events_of(spark, sf_dir)).drop("start_seq")
 
 
 def executor_io(spark, sf_dir):
-    rows = reports.executor_io(events_of(spark, sf_dir))
-    return position(rows, EXECUTOR_KEY, ["start_seq"]).drop("start_seq")
+    return reports.executor_io(events_of(spark, sf_dir)).drop("start_seq")
 
 
 def executor_tasks(spark, sf_dir):
-    rows = reports.executor_tasks(events_of(spark, sf_dir))
-    return position(rows, EXECUTOR_KEY, ["start_seq"]).drop("start_seq")
+    return reports.executor_tasks(events_of(spark, sf_dir)).drop("start_seq")
 
 
 def tasks_by_executor(spark, sf_dir):
@@ -277,14 +281,13 @@ def stored_block_lifetimes(spark, sf_dir):
 
 
 def storage_sample_rows(spark, sf_dir):
-    rows = position(samples_of(spark, sf_dir), EXECUTOR_KEY, ["seq", "copy"])
-    return apps.with_app_id(rows.drop("seq", "copy"), events_of(spark, sf_dir))
+    rows = _numbered(samples_of(spark, sf_dir), EXECUTOR_KEY, ["seq", "copy"])
+    return apps.with_app_id(rows, events_of(spark, sf_dir))
 
 
 def storage_by_executor(spark, sf_dir):
     events = of_application(events_of(spark, sf_dir), "app-0")
-    rows = position(reports.storage_by_executor(events, "1"), EXECUTOR_KEY, ["seq", "copy"])
-    return rows.drop("seq", "copy")
+    return _numbered(reports.storage_by_executor(events, "1"), EXECUTOR_KEY, ["seq", "copy"])
 
 
 def storage_after_release(spark, sf_dir):
@@ -292,7 +295,7 @@ def storage_after_release(spark, sf_dir):
     rows = storage_samples(
         events_of(spark, sf_dir), updates_of(spark, sf_dir), unpersist="release"
     )
-    return position(rows, EXECUTOR_KEY, ["seq", "copy"]).drop("seq", "copy")
+    return _numbered(rows, EXECUTOR_KEY, ["seq", "copy"])
 
 
 # Series and charts
@@ -336,7 +339,7 @@ def task_json(spark, sf_dir):
 def storage_json(spark, sf_dir):
     events = events_of(spark, sf_dir)
     rows = apps.with_app_id(samples_of(spark, sf_dir), events)
-    return position(sinks.storage_json(rows), EXECUTOR_KEY, ["seq", "copy"]).drop("seq", "copy")
+    return _numbered(sinks.storage_json(rows), EXECUTOR_KEY, ["seq", "copy"])
 
 
 def block_manager_json(spark, sf_dir):

@@ -3,7 +3,8 @@
 Every report leads with ``app_id`` and ``log_id`` and covers all applications in
 ``events``; use ``of_application`` for one. Order columns (``first_seen``,
 ``start_seq``, ``seq``, ``position``) carry the reported order; ``EventLogs``
-sorts by them.
+sorts by them. A table that a report reads several times is written to the shared
+folder first (``land``), so its job runs when the report is called.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from emberlog.operators.storage import block_updates, storage_in_use
 from emberlog.operators.storage import storage_samples as sample_rows
 from emberlog.operators.tasks import EXECUTOR_KEY, listed_tasks
 from emberlog.sources.schema import IO_COLUMNS, METRIC_COLUMNS, SHUFFLE_COLUMNS
+from emberlog.sources.tables import land
 
 # The application series, in report order, and how each is computed.
 SERIES = {
@@ -152,16 +154,20 @@ def storage_by_executor(events: DataFrame, executor_id: str, bits: int | None =
 
 def task_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
     """Per started task: position in its executor's list, end time and 11 series."""
-    numbered = position(listed_tasks(events), EXECUTOR_KEY, ["start_seq"], bits=bits)
-    return numbered.select(
-        *EXECUTOR_KEY, "position", F.col("end_time").alias("time"), *series(*TASK_SERIES)
+    points = listed_tasks(events).select(
+        *EXECUTOR_KEY, "start_seq", F.col("end_time").alias("time"), *series(*TASK_SERIES)
     )
+    written = land(points, "task_series")
+    return position(written, EXECUTOR_KEY, ["start_seq"], bits=bits).drop("start_seq")
 
 
 def storage_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
     """Per storage sample: position in its executor's list, time and 2 series."""
-    numbered = position(sample_rows(events, bits=bits), EXECUTOR_KEY, ["seq", "copy"], bits=bits)
-    return numbered.select(*EXECUTOR_KEY, "position", "time", *series(*STORAGE_SERIES))
+    points = sample_rows(events, bits=bits).select(
+        *EXECUTOR_KEY, "seq", "copy", "time", *series(*STORAGE_SERIES)
+    )
+    written = land(points, "storage_series")
+    return position(written, EXECUTOR_KEY, ["seq", "copy"], bits=bits).drop("seq", "copy")
 
 
 def executor_task_series(events: DataFrame, bits: int | None = None) -> DataFrame:
@@ -193,9 +199,11 @@ def removal_position(rows: DataFrame, bits: int | None = None) -> DataFrame:
 
 
 def application_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
-    return removal_position(summary_rows(events, bits), bits).select(
-        *EXECUTOR_KEY, "position", *series(*SERIES)
+    points = summary_rows(events, bits).select(
+        *EXECUTOR_KEY, "first_seen", "removed_time", *series(*SERIES)
     )
+    written = land(points, "application_series")
+    return removal_position(written, bits).select(*EXECUTOR_KEY, "position", *SERIES)
 
 
 def application_series(events: DataFrame, bits: int | None = None) -> DataFrame:
