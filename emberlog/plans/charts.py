@@ -131,12 +131,15 @@ def _draw(
 
 def executor_charts(
     events: DataFrame,
+    executor_id: str | None = None,
     time_zone: str = "UTC",
     points: int = PAGE_POINTS,
     bits: int | None = None,
 ) -> DataFrame:
-    """Seven charts per executor; (executor_id, chart, page, chart_config)."""
+    """Seven charts per executor (or of one); (executor_id, chart, page, chart_config)."""
     known = executor_lifecycle(events).select(*EXECUTOR_KEY)
+    if executor_id is not None:
+        known = known.where(F.col("executor_id") == executor_id)
 
     def paged(rows: DataFrame, columns: list[str]) -> DataFrame:
         # An executor without points still has its charts, with empty series.
@@ -150,10 +153,14 @@ def executor_charts(
 
     x = {"appTimeline": "time", "storageTimeline": "time"}
     drawn = _draw(
-        paged(task_series_rows(events, bits), TASK_SERIES), EXECUTOR_KEY, TASK_CHARTS, x, time_zone
+        paged(task_series_rows(events, executor_id, bits), TASK_SERIES),
+        EXECUTOR_KEY,
+        TASK_CHARTS,
+        x,
+        time_zone,
     ).unionByName(
         _draw(
-            paged(storage_series_rows(events, bits), STORAGE_SERIES),
+            paged(storage_series_rows(events, executor_id, bits), STORAGE_SERIES),
             EXECUTOR_KEY,
             [STORAGE],
             x,

@@ -152,32 +152,44 @@ def storage_by_executor(events: DataFrame, executor_id: str, bits: int | None =
     return executor_storage(events, bits).where(F.col("executor_id") == executor_id)
 
 
-def task_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
+def _of_executor(rows: DataFrame, executor_id: str | None) -> DataFrame:
+    return rows if executor_id is None else rows.where(F.col("executor_id") == executor_id)
+
+
+def task_series_rows(
+    events: DataFrame, executor_id: str | None = None, bits: int | None = None
+) -> DataFrame:
     """Per started task: position in its executor's list, end time and 11 series."""
-    points = listed_tasks(events).select(
+    points = _of_executor(listed_tasks(events), executor_id).select(
         *EXECUTOR_KEY, "start_seq", F.col("end_time").alias("time"), *series(*TASK_SERIES)
     )
     written = land(points, "task_series")
     return position(written, EXECUTOR_KEY, ["start_seq"], bits=bits).drop("start_seq")
 
 
-def storage_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
+def storage_series_rows(
+    events: DataFrame, executor_id: str | None = None, bits: int | None = None
+) -> DataFrame:
     """Per storage sample: position in its executor's list, time and 2 series."""
-    points = sample_rows(events, bits=bits).select(
+    points = _of_executor(sample_rows(events, bits=bits), executor_id).select(
         *EXECUTOR_KEY, "seq", "copy", "time", *series(*STORAGE_SERIES)
     )
     written = land(points, "storage_series")
     return position(written, EXECUTOR_KEY, ["seq", "copy"], bits=bits).drop("seq", "copy")
 
 
-def executor_task_series(events: DataFrame, bits: int | None = None) -> DataFrame:
-    """Chart series of every executor over its tasks."""
-    return with_app_id(task_series_rows(events, bits), events)
+def executor_task_series(
+    events: DataFrame, executor_id: str | None = None, bits: int | None = None
+) -> DataFrame:
+    """Chart series of every executor (or one) over its tasks."""
+    return with_app_id(task_series_rows(events, executor_id, bits), events)
 
 
-def executor_storage_series(events: DataFrame, bits: int | None = None) -> DataFrame:
-    """Chart series of every executor over its storage samples."""
-    return with_app_id(storage_series_rows(events, bits), events)
+def executor_storage_series(
+    events: DataFrame, executor_id: str | None = None, bits: int | None = None
+) -> DataFrame:
+    """Chart series of every executor (or one) over its storage samples."""
+    return with_app_id(storage_series_rows(events, executor_id, bits), events)
 
 
 def removal_position(rows: DataFrame, bits: int | None = None) -> DataFrame:

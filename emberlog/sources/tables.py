@@ -69,4 +69,4 @@ def land(table: DataFrame, name: str) -> DataFrame:
     """
     path = shared_folder(table.sparkSession, name)
     table.write.parquet(path)
-    return table.sparkSession.read.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -102,7 +102,7 @@ def test_storage_samples_with_release(events, logs):
 
 
 def test_storage_series_positions(events, models):
-    rows = reports.executor_storage_series(events, BITS).collect()
+    rows = reports.executor_storage_series(events, bits=BITS).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["position"]):
         got.setdefault((r["log_id"], r["executor_id"]), []).append(
