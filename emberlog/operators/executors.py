@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.tasks import EXECUTOR_KEY, active_tasks, executor_totals, task_events
@@ -92,77 +92,67 @@ def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None)
     seen = _first_seen(rows, task_firsts)
     ended = seen.join(application_ends(events), "log_id", "left")
 
-    seq, time, kind = F.col("seq"), F.col("time"), F.col("event")
-    known = seq > F.col("first_seen")
-    added, manager_added = kind == "ExecutorAdded", kind == "BlockManagerAdded"
-    removed = (kind == "ExecutorRemoved") & known
-    manager_removed = (kind == "BlockManagerRemoved") & known
-
-    def last(value: Column | str, when: Column) -> Column:
-        return F.max_by(value, F.when(when, seq))
-
+    added, registered = "event = 'ExecutorAdded'", "event = 'BlockManagerAdded'"
+    # A removal counts only once its executor is known.
+    removed = "(event = 'ExecutorRemoved' AND seq > first_seen)"
+    unregistered = "(event = 'BlockManagerRemoved' AND seq > first_seen)"
     facts = (
         rows.join(ended, EXECUTOR_KEY)
         .groupBy(*EXECUTOR_KEY)
         .agg(
-            F.max(F.when(added, seq)).alias("added_seq"),
-            last(time, added).alias("added"),
-            F.min_by(time, F.when(manager_added & (time != 0), seq)).alias("manager_first"),
-            F.max(F.when(removed, seq)).alias("removed_seq"),
-            last(time, removed).alias("removed"),
-            F.coalesce(
-                F.bool_or(removed & (seq < F.col("app_end_seq"))), F.lit(False)
-            ).alias("removed_before_end"),
-            last(time, added | manager_added).alias("storage_added"),
-            F.max(F.when(removed | manager_removed, seq)).alias("storage_removed_seq"),
-            last(time, removed | manager_removed).alias("storage_removed"),
-            F.max(F.when(manager_added | manager_removed, seq)).alias("storage_alive_seq"),
-            last(manager_added, manager_added | manager_removed).alias("storage_alive"),
-            last("max_mem", manager_added).alias("max_mem"),
-            last(F.struct("total_cores", "log_urls"), added).alias("info"),
+            *[
+                F.expr(f"{value} FILTER (WHERE {when}) AS {name}")
+                for name, value, when in [
+                    ("added_seq", "max(seq)", added),
+                    ("added", "max_by(time, seq)", added),
+                    ("info", "max_by(struct(total_cores, log_urls), seq)", added),
+                    ("manager_first", "min_by(time, seq)", f"{registered} AND time <> 0"),
+                    ("max_mem", "max_by(max_mem, seq)", registered),
+                    ("removed_seq", "max(seq)", removed),
+                    ("removed", "max_by(time, seq)", removed),
+                    ("removals_before_end", "count(seq)", f"{removed} AND seq < app_end_seq"),
+                    ("storage_added", "max_by(time, seq)", f"{added} OR {registered}"),
+                    ("storage_removed_seq", "max(seq)", f"{removed} OR {unregistered}"),
+                    ("storage_removed", "max_by(time, seq)", f"{removed} OR {unregistered}"),
+                    ("storage_alive_seq", "max(seq)", f"{registered} OR {unregistered}"),
+                    (
+                        "storage_alive",
+                        f"max_by({registered}, seq)",
+                        f"{registered} OR {unregistered}",
+                    ),
+                ]
+            ]
         )
     )
 
-    zero = F.lit(0).cast("bigint")
-    closed = (F.col("first_seen") < F.col("app_end_seq")) & ~F.coalesce(
-        F.col("removed_before_end"), F.lit(False)
-    )
-    closed = F.coalesce(closed, F.lit(False))
-
-    def at_end(at: str) -> Column:
-        """The application end came after whatever happened at ``at``."""
-        return closed & F.coalesce(F.col(at) < F.col("app_end_seq"), F.lit(True))
+    def at_end(at: str) -> str:
+        """The application end closed it, after whatever happened at ``at``."""
+        return f"closed AND coalesce({at} < app_end_seq, true)"
 
-    by_start = F.coalesce(F.col("app_start_seq") > F.coalesce("added_seq", "first_seen"), F.lit(False))
     return (
         ended.join(facts, EXECUTOR_KEY, "left")
         .join(driver_starts(events, rows), EXECUTOR_KEY, "left")
-        .select(
+        .selectExpr(
+            "*",
+            "coalesce(first_seen < app_end_seq AND coalesce(removals_before_end, 0) = 0, false) "
+            "AS closed",
+            "coalesce(app_start_seq > coalesce(added_seq, first_seen), false) AS by_start",
+        )
+        .selectExpr(
             *EXECUTOR_KEY,
             "first_seen",
-            F.coalesce("info.total_cores", F.lit(0)).alias("total_cores"),
-            (~closed & F.col("removed_seq").isNull()).alias("is_alive"),
-            F.coalesce(
-                F.when(by_start, F.col("driver_logs")),
-                F.col("info.log_urls"),
-                F.create_map().cast("map<string,string>"),
-            ).alias("executor_logs"),
-            F.coalesce(
-                F.when(by_start, F.col("app_start_time")), "added", "manager_first", zero
-            ).alias("added_time"),
-            F.coalesce(
-                F.when(at_end("removed_seq"), F.col("app_end_time")), "removed", zero
-            ).alias("removed_time"),
-            F.coalesce("storage_added", zero).alias("storage_add_time"),
-            F.coalesce(
-                F.when(at_end("storage_removed_seq"), F.col("app_end_time")),
-                "storage_removed",
-                zero,
-            ).alias("storage_remove_time"),
-            F.coalesce("max_mem", zero).alias("max_mem"),
-            F.coalesce(
-                F.when(at_end("storage_alive_seq"), False), "storage_alive", F.lit(True)
-            ).alias("storage_is_alive"),
+            "coalesce(info.total_cores, 0) AS total_cores",
+            "NOT closed AND removed_seq IS NULL AS is_alive",
+            "coalesce(if(by_start, driver_logs, null), info.log_urls, "
+            "cast(map() AS MAP<STRING,STRING>)) AS executor_logs",
+            "coalesce(if(by_start, app_start_time, null), added, manager_first, 0L) AS added_time",
+            f"coalesce(if({at_end('removed_seq')}, app_end_time, removed), 0L) AS removed_time",
+            "coalesce(storage_added, 0L) AS storage_add_time",
+            f"coalesce(if({at_end('storage_removed_seq')}, app_end_time, storage_removed), 0L) "
+            "AS storage_remove_time",
+            "coalesce(max_mem, 0L) AS max_mem",
+            f"coalesce(if({at_end('storage_alive_seq')}, false, storage_alive), true) "
+            "AS storage_is_alive",
         )
     )
 

@@ -42,7 +42,7 @@ def task_ends(events: DataFrame) -> DataFrame:
 
 def metric_sums() -> list[Column]:
     """Plain sums of the logged metrics over a group's task events."""
-    return [F.sum(name).alias(name) for name in LOGGED_METRICS]
+    return [F.expr(f"sum({name}) AS {name}") for name in LOGGED_METRICS]
 
 
 def metric_columns() -> list[Column]:
@@ -50,18 +50,13 @@ def metric_columns() -> list[Column]:
 
     The two totals are remote + local; ``shuffle_record_write`` is never filled.
     """
-    zero = F.lit(0).cast("bigint")
-
-    def value(name: str) -> Column:
-        if name == "total_blocks_fetched":
-            return value("remote_blocks_fetched") + value("local_blocks_fetched")
-        if name == "total_bytes_read":
-            return value("remote_bytes_read") + value("local_bytes_read")
-        if name == "shuffle_record_write":
-            return zero
-        return F.coalesce(name, zero)
-
-    return [value(name).alias(name) for name in METRIC_COLUMNS]
+    values = {name: f"coalesce({name}, 0L)" for name in LOGGED_METRICS} | {
+        "total_blocks_fetched": "coalesce(remote_blocks_fetched, 0L) "
+        "+ coalesce(local_blocks_fetched, 0L)",
+        "total_bytes_read": "coalesce(remote_bytes_read, 0L) + coalesce(local_bytes_read, 0L)",
+        "shuffle_record_write": "0L",
+    }
+    return [F.expr(f"{values[name]} AS {name}") for name in METRIC_COLUMNS]
 
 
 def executor_totals(events: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ TASK_CHARTS = [IO, SHUFFLE, CPU, SERIALIZATION, OTHER, DRIVER_BURDEN]
 APPLICATION_CHARTS = [IO, SHUFFLE, CPU, STORAGE, SERIALIZATION, SPILL, DRIVER_BURDEN, OTHER]
 
 
-def chart_config(chart: Chart, points: Column, x: str, time_zone: str) -> Column:
+def chart_config(chart: Chart, points: Column, label: str) -> Column:
     """JSON specification of ``chart`` over an ordered array of points."""
     labels = list(chart.lines)
 
@@ -85,7 +85,7 @@ def chart_config(chart: Chart, points: Column, x: str, time_zone: str) -> Column
         ).alias("legend"),
         F.struct(
             F.lit("category").alias("type"),
-            F.transform(points, lambda p: axis_label(p[x], time_zone)).alias("data"),
+            F.transform(points, lambda p: p[label]).alias("data"),
         ).alias("xAxis"),
         F.array(*axes).alias("yAxis"),
         F.array(*[line(i) for i in range(len(labels))]).alias("series"),
@@ -115,13 +115,13 @@ def pages(rows: DataFrame, keys: list[str], columns: list[str], points: int) ->
 
 
 def _draw(
-    paged: DataFrame, keys: list[str], charts: list[Chart], x: dict[str, str], time_zone: str
+    paged: DataFrame, keys: list[str], charts: list[Chart], labels: dict[str, str]
 ) -> DataFrame:
     specs = F.array(
         *[
             F.struct(
                 F.lit(c.title).alias("chart"),
-                chart_config(c, F.col("p"), x[c.x], time_zone).alias("chart_config"),
+                chart_config(c, F.col("p"), labels[c.x]).alias("chart_config"),
             )
             for c in charts
         ]
@@ -142,30 +142,21 @@ def executor_charts(
         known = known.where(F.col("executor_id") == executor_id)
 
     def paged(rows: DataFrame, columns: list[str]) -> DataFrame:
+        labelled = rows.withColumn("label", axis_label(F.col("time"), time_zone))
         # An executor without points still has its charts, with empty series.
         return known.join(
-            pages(rows, EXECUTOR_KEY, ["time", *columns], points), EXECUTOR_KEY, "left"
+            pages(labelled, EXECUTOR_KEY, ["label", *columns], points), EXECUTOR_KEY, "left"
         ).select(
             *EXECUTOR_KEY,
             F.coalesce("page", F.lit(0)).alias("page"),
             F.coalesce("p", F.array()).alias("p"),
         )
 
-    x = {"appTimeline": "time", "storageTimeline": "time"}
-    drawn = _draw(
-        paged(task_series_rows(events, executor_id, bits), TASK_SERIES),
-        EXECUTOR_KEY,
-        TASK_CHARTS,
-        x,
-        time_zone,
-    ).unionByName(
-        _draw(
-            paged(storage_series_rows(events, executor_id, bits), STORAGE_SERIES),
-            EXECUTOR_KEY,
-            [STORAGE],
-            x,
-            time_zone,
-        )
+    labels = {"appTimeline": "label", "storageTimeline": "label"}
+    over_tasks = paged(task_series_rows(events, executor_id, bits), TASK_SERIES)
+    over_samples = paged(storage_series_rows(events, executor_id, bits), STORAGE_SERIES)
+    drawn = _draw(over_tasks, EXECUTOR_KEY, TASK_CHARTS, labels).unionByName(
+        _draw(over_samples, EXECUTOR_KEY, [STORAGE], labels)
     )
     return with_app_id(drawn, events)
 
@@ -179,6 +170,8 @@ def application_charts(
     """Eight charts per application over its executors; (chart, page, chart_config)."""
     rows = application_series_rows(events, bits)
     columns = [c for c in rows.columns if c not in ("log_id", "executor_id", "position")]
-    x = {"appTimeline": "appTimeline", "storageTimeline": "storageTimeline"}
-    drawn = _draw(pages(rows, ["log_id"], columns, points), ["log_id"], APPLICATION_CHARTS, x, time_zone)
-    return with_app_id(drawn, events)
+    labels = {"appTimeline": "app_label", "storageTimeline": "storage_label"}
+    for x, label in labels.items():
+        rows = rows.withColumn(label, axis_label(F.col(x), time_zone))
+    paged = pages(rows, ["log_id"], [*labels.values(), *columns], points)
+    return with_app_id(_draw(paged, ["log_id"], APPLICATION_CHARTS, labels), events)
