@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.sources.logs import name_without_attempt
+from emberlog.sources.tables import land
 
 # Scopes in the order in which they overwrite each other.
 SCOPES = {"system": "system_properties", "spark": "spark_properties", "jvm": "jvm_information"}
@@ -42,10 +43,11 @@ def application_ids(events: DataFrame) -> DataFrame:
 def with_app_id(report: DataFrame, events: DataFrame) -> DataFrame:
     """Puts ``app_id`` in front: the announced id, else the log's name.
 
-    The id table has one row per log; AQE broadcasts it only when its measured
-    size is small, and splits a hot log in the join otherwise.
+    The id table has one row per log and is written first, so Spark knows its real
+    size: it is broadcast only under the threshold, and the report is then not
+    shuffled; beyond it AQE splits a hot log in the join.
     """
-    ids = application_ids(events).select("log_id", "app_id")
+    ids = land(application_ids(events).select("log_id", "app_id"), "application_ids")
     return report.join(ids, "log_id", "left").select(
         F.coalesce("app_id", name_without_attempt(F.col("log_id"))).alias("app_id"),
         *report.columns,

@@ -129,8 +129,11 @@ def timeline_at(events: DataFrame, asked: DataFrame, bits: int | None = None) ->
     """The application timeline at each asked (log_id, seq): highest event time so far."""
     times = timed(events).select("log_id", "seq", "time")
     points = asked.select("log_id", "seq").withColumn("time", F.lit(None).cast("bigint"))
-    chunks = points.select("log_id", chunk_of("seq", bits).alias("_at")).distinct()
     # Single events matter only in chunks with a question; others count as a whole.
+    # The list of those chunks is written, so it is broadcast only if it is small.
+    chunks = land(
+        points.select("log_id", chunk_of("seq", bits).alias("_at")).distinct(), "asked_chunks"
+    )
     near = (
         times.withColumn("_at", chunk_of("seq", bits))
         .join(chunks, ["log_id", "_at"], "left_semi")
@@ -163,7 +166,7 @@ def live_spans(events: DataFrame, updates: DataFrame, bits: int | None = None) -
     before the end (``until``) of a lifetime names exactly the events inside it,
     so no event is ever paired with a block it does not meet.
     """
-    drops = unpersists(events)
+    drops = land(unpersists(events), "unpersists")
     rows = (
         updates.withColumn("rdd_id", rdd_of_block(F.col("block_id")))
         .where(F.col("rdd_id").isNotNull())
@@ -191,8 +194,11 @@ def live_spans(events: DataFrame, updates: DataFrame, bits: int | None = None) -
         "unpersist_counts",
     )
     updated = counted.where(F.col("block_id").isNotNull())
-    closed = counted.where(F.col("block_id").isNull()).select(
-        *MANAGER_KEY, "rdd_id", F.col("before").alias("at_end")
+    closed = land(
+        counted.where(F.col("block_id").isNull()).select(
+            *MANAGER_KEY, "rdd_id", F.col("before").alias("at_end")
+        ),
+        "unpersist_ends",
     )
     return (
         neighbour_values(

@@ -258,14 +258,12 @@ def log_name(app_id: str) -> str:
 def of_application(events: DataFrame, app_id: str) -> DataFrame:
     """Events of one application's logs; Parquet skips files of other logs."""
     log = F.col("log_id")
-    chosen = F.lit(False)
+    # The first filter is the part Parquet can check against file statistics.
+    near = exact = F.lit(False)
     for name in sorted({app_id, log_name(app_id)}):
-        chosen = (
-            chosen
-            | (log == name)
-            | (log.startswith(f"{name}_") & (name_without_attempt(log) == name))
-        )
-    return events.where(chosen)
+        near = near | log.startswith(name)
+        exact = exact | (log == name) | (name_without_attempt(log) == name)
+    return events.where(near).where(exact)
 
 
 def name_without_attempt(log_id: Column) -> Column:
