@@ -108,7 +108,7 @@ def chart_config(chart: Chart, points: Column, label: str) -> Column:
 
 def pages(rows: DataFrame, keys: list[str], columns: list[str], points: int) -> DataFrame:
     """(keys, page, p): the ordered points of each page, at most ``points`` of them."""
-    page = F.floor(F.col("position") / points).alias("page")
+    page = F.expr(f"position div {points}").alias("page")
     return rows.groupBy(*keys, page).agg(
         F.array_sort(F.collect_list(F.struct("position", *columns))).alias("p")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,16 +32,22 @@ spark_properties MAP<STRING,STRING>, jvm_information MAP<STRING,STRING>, family
 """
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="emberlog-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in the folder all executors share.
 
-    That is the session's ``spark.checkpoint.dir``. Only where it is unset (a
-    local session, as in tests) a temporary folder of this machine is set.
+    That is the session's ``spark.checkpoint.dir``. Only a local session, as in
+    tests, may leave it unset: a temporary folder of this machine is used then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
 
 

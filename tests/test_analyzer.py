@@ -3,6 +3,7 @@
 import pytest
 
 from emberlog import EventLogs
+from emberlog.sources.tables import shared_folder
 from emberlog.sources.sinks import executor_json, write_report
 from tests.random_logs import lines, random_log
 
@@ -43,3 +44,21 @@ def test_same_answer_twice_and_written(spark, logs, tmp_path):
     path = str(tmp_path / "executors")
     write_report(executor_json(logs.executor_summary()), path, "json")
     assert spark.read.json(path).count() == len(first)
+
+
+class Session:
+    """As much of a session as ``shared_folder`` asks."""
+
+    def __init__(self, master, folder):
+        self.sparkContext = self
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.master = master
+
+
+def test_written_tables_go_to_the_shared_folder():
+    cluster = Session("yarn", "hdfs:///shared/")
+    assert shared_folder(cluster, "t").startswith("hdfs:///shared/emberlog/t-")
+    assert shared_folder(cluster, "t") != shared_folder(cluster, "t")
+    assert "/emberlog/t-" in shared_folder(Session("local[4]", None), "t")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("yarn", None), "t")
