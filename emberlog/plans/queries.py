@@ -29,7 +29,6 @@ from emberlog.operators.tasks import (
     EXECUTOR_KEY,
     active_tasks,
     executor_totals,
-    listed_tasks,
     task_ends,
     tasks,
 )

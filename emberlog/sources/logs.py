@@ -83,7 +83,8 @@ def with_place(scan: DataFrame) -> DataFrame:
     folder = F.substring_index(F.substring_index("file_path", "/", -2), "/", 1)
     rolled = F.lit(None).cast("string")
     for prefix in _ROLLED_FOLDERS:
-        rolled = F.when(folder.startswith(prefix), F.substring(folder, len(prefix) + 1, 1000)).otherwise(rolled)
+        name = F.substring(folder, len(prefix) + 1, 1000)
+        rolled = F.when(folder.startswith(prefix), name).otherwise(rolled)
     number = F.nullif(F.regexp_extract("file_name", _ROLLED_FILE, 1), F.lit(""))
     roll = F.when(rolled.isNotNull(), F.coalesce(number.cast("bigint"), F.lit(0))).otherwise(F.lit(0))
     log_id = F.coalesce(rolled, F.regexp_replace("file_name", _SUFFIXES, ""))
