@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +30,18 @@ spark_properties MAP<STRING,STRING>, jvm_information MAP<STRING,STRING>, family
 """
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="emberlog-")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table, in the folder all executors share.
+    """A new folder for a written table, in a folder all executors share.
 
-    That is the session's ``spark.checkpoint.dir``. Only a local session, as in
-    tests, may leave it unset: a temporary folder of this machine is used then.
+    That is the session's ``spark.checkpoint.dir``; where it is unset, the
+    warehouse folder. It is deleted when the session's JVM ends, since the
+    answers built on it are lazy and may be read until then.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
 def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
