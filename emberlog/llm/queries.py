@@ -1,11 +1,13 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import mixing
+from emberlog.llm import mixing, rules
 
 QUERIES = {
+    "op7_quality_rules": rules.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op7_quality_rules": rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
