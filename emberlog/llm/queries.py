@@ -1,13 +1,15 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import mixing, rules
+from emberlog.llm import decontaminate, mixing, rules
 
 QUERIES = {
+    "op5_decontamination": decontaminate.query,
     "op7_quality_rules": rules.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op5_decontamination": decontaminate.ORACLE,
     "op7_quality_rules": rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
