@@ -1,15 +1,17 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import decontaminate, mixing, rules
+from emberlog.llm import decontaminate, mixing, rules, substrings
 
 QUERIES = {
     "op5_decontamination": decontaminate.query,
     "op7_quality_rules": rules.query,
+    "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_quality_rules": rules.ORACLE,
+    "op9_substring_dedup": substrings.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

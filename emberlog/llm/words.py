@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 # Text handed to an operator at once, in bytes; a longer document comes alone.
 SLICE = 8 << 20
 
