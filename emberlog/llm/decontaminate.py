@@ -256,8 +256,9 @@ def phrase_runs(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
     candidates = land(
         candidates.withColumnRenamed("doc_id", "c_id").withColumnRenamed("tid", "c_tid"), "candidates"
     )
+    # By shuffle at every size: the candidates follow the corpus.
     joined = keyed(docs).join(
-        candidates, (F.col("tid") == F.col("c_tid")) & F.col("doc_id").eqNullSafe(F.col("c_id"))
+        candidates.hint("merge"), (F.col("tid") == F.col("c_tid")) & F.col("doc_id").eqNullSafe(F.col("c_id"))
     )
     return joined.select("doc_id", "tid", "text", "candidates").mapInArrow(_runs, RUN_SCHEMA).distinct()
 
