@@ -138,17 +138,21 @@ def renamed(rows: DataFrame) -> DataFrame:
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, place, what) of every stored edge that occurs twice or more."""
     edges = keyed(docs).mapInArrow(_edges, EDGE_SCHEMA)
-    counts = (
+    # Written first: a join of two plain shuffles can split an edge of many documents.
+    counts = land(
         edges.groupBy("edge")
         .agg(F.count("*").alias("n"), F.min("hood").alias("low"), F.max("hood").alias("high"))
         .where("n > 1")
-        .select("edge", (F.col("low") != F.col("high")).alias("branching"))
+        .select("edge", (F.col("low") != F.col("high")).alias("branching")),
+        "edge_counts",
     )
     found = land(edges.join(counts, "edge").drop("edge"), "repeated_edges")
     inside = found.where("NOT branching").select(*KEY, "place", F.lit(WHOLE).alias("what"))
 
     branching = found.where("branching").withColumn("this", F.xxhash64(*KEY, "place"))
-    hoods = branching.groupBy("hood").agg(F.count("*").alias("n"), F.min("this").alias("shown"))
+    hoods = land(
+        branching.groupBy("hood").agg(F.count("*").alias("n"), F.min("this").alias("shown")), "hoods"
+    )
     what = (
         F.when(F.col("n") == 1, LOOK).when(F.col("this") == F.col("shown"), SHOWN).otherwise(WHOLE)
     )
