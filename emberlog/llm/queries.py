@@ -1,11 +1,12 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import decontaminate, jaccard, mixing, rules, substrings
+from emberlog.llm import decontaminate, jaccard, mixing, rules, substrings, tokenfiles
 
 QUERIES = {
     "op5_decontamination": decontaminate.query,
     "op6_jaccard_join": jaccard.query,
     "op7_quality_rules": rules.query,
+    "op8_token_files": tokenfiles.query,
     "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
 }

@@ -46,13 +46,16 @@ class Alphabet:
 
     inside: np.ndarray
     value: np.ndarray
+    # A word also ends between a byte of ``left`` and one of ``right``.
+    left: np.ndarray | None = None
+    right: np.ndarray | None = None
 
 
-def _alphabet(inside: np.ndarray, lower: bool) -> Alphabet:
+def _alphabet(inside: np.ndarray, lower: bool, left=None, right=None) -> Alphabet:
     as_byte = np.arange(256)
     if lower:
         as_byte[65:91] += 32
-    return Alphabet(inside, _BYTE_VALUE[as_byte])
+    return Alphabet(inside, _BYTE_VALUE[as_byte], left, right)
 
 
 _ANY = np.ones(256, bool)
@@ -67,6 +70,13 @@ SPACED = _alphabet(_SPACED, lower=False)
 SPACED_LOWER = _alphabet(_SPACED, lower=True)
 ALNUM_LOWER = _alphabet(_ALNUM, lower=True)
 
+# The second, cut between an ASCII letter and an ASCII mark after it.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+PIECES_LOWER = _alphabet(_SPACED, lower=True, left=_LETTER, right=_MARK)
+
 
 @dataclass(frozen=True)
 class Words:
@@ -107,6 +117,10 @@ def _piece(data: np.ndarray, breaks: np.ndarray, letters: Alphabet):
     open_[1:] &= ~inside[:-1]
     close = inside.copy()
     close[:-1] &= ~inside[1:]
+    if letters.left is not None:
+        cut = letters.left[data[:-1]] & letters.right[data[1:]]
+        open_[1:] |= cut
+        close[:-1] |= cut
     if len(breaks):  # a text's end also ends a word
         open_[breaks] = inside[breaks]
         close[breaks[breaks > 0] - 1] = inside[breaks[breaks > 0] - 1]
