@@ -1,9 +1,10 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import decontaminate, jaccard, mixing, rules, secrets, substrings, tokenfiles
+from emberlog.llm import decontaminate, jaccard, mixing, rules, secrets, sharding, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op4_kd_sharding": sharding.query,
     "op5_decontamination": decontaminate.query,
     "op6_jaccard_join": jaccard.query,
     "op7_quality_rules": rules.query,
