@@ -1,9 +1,10 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import decontaminate, jaccard, mixing, rules, secrets, sharding, substrings, tokenfiles
+from emberlog.llm import decontaminate, jaccard, licences, mixing, rules, secrets, sharding, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_licence_scan": licences.query,
     "op4_kd_sharding": sharding.query,
     "op5_decontamination": decontaminate.query,
     "op6_jaccard_join": jaccard.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_licence_scan": licences.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op7_quality_rules": rules.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
