@@ -1,10 +1,11 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
-from emberlog.llm import decontaminate, jaccard, licences, mixing, rules, secrets, sharding, substrings, tokenfiles
+from emberlog.llm import decontaminate, jaccard, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_licence_scan": licences.query,
+    "op3_quality_sites": quality.query,
     "op4_kd_sharding": sharding.query,
     "op5_decontamination": decontaminate.query,
     "op6_jaccard_join": jaccard.query,
