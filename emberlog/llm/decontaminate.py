@@ -306,16 +306,16 @@ def contamination(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFr
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they are."""
-    bad = land(
-        contamination(docs, items).where("contaminated").select(
-            F.col("doc_id").alias("_b_id"), F.col("tid").alias("_b_tid")
-        ).distinct(),
-        "contaminated",
-    )
-    tid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(
-        bad, (tid == F.col("_b_tid")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_b_id")), "left_anti"
+    bad = contamination(docs, items).where("contaminated").select(
+        F.col("doc_id").alias("b_id"), F.col("tid").alias("b_tid")
     )
+    bad = land(bad.distinct(), "contaminated")
+    tid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("id"), tid.alias("tid"))
+    # By shuffle at every size: the list follows the corpus.
+    return rows.join(
+        bad.hint("merge"), (F.col("tid") == F.col("b_tid")) & F.col("id").eqNullSafe(F.col("b_id")), "left_anti"
+    ).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

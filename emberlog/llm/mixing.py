@@ -8,7 +8,7 @@ target holds its size, and once more the documents first in a seeded order until
 the fraction left is used up.
 
 Only one narrow row per document is kept (its size and place in the seeded order).
-The order is cut into ``BUCKETS`` equal hash ranges per source, so the place where
+The order is cut into 4096 equal hash ranges per source, so the place where
 the fraction ends is found from bucket sums, and only that one bucket of a source
 is put in order: a source may hold any share of all rows.
 
@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-BUCKETS = 4096  # three hex digits of the seeded hash
+# Buckets of a source: three hex digits of the seeded hash.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,15 +39,22 @@ def seeded(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def bucket_of(place: Column) -> Column:
+    return F.conv(F.substring(place, 1, 3), 16, 10).cast("int")
+
+
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, place, bucket) of every row."""
-    place = F.col("place")
     return docs.select(
         "doc_id",
         "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        word_count(F.col("text")).alias("size"),
         seeded(F.col("doc_id"), seed).alias("place"),
-    ).withColumn("bucket", F.conv(F.substring(place, 1, 3), 16, 10).cast("int"))
+    ).withColumn("bucket", bucket_of(F.col("place")))
 
 
 def water_level(sources: DataFrame, budget: float, max_epochs: float) -> float:
@@ -95,15 +102,17 @@ def source_targets(
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def mixed(
-    docs: DataFrame,
+def mix_plan(
+    sizes: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
     max_epochs: float = MAX_EPOCHS,
-    seed: int = SEED,
 ) -> DataFrame:
-    """One row per document: its size, its source's size and target, and ``times`` taken."""
-    sizes = land(sized(docs, seed), "mix_sizes")
+    """Per source: target, ``whole`` times of each document, and where the rest ends, written.
+
+    One more time is due to the buckets below ``last``, and in it to the first
+    documents up to ``rest`` words; ``last`` is NULL where no fraction is left.
+    """
     size = F.col("source_size")
     whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("bigint")
     targets = source_targets(sizes, weights, share, max_epochs).withColumn("whole", whole)
@@ -116,58 +125,87 @@ def mixed(
         sums.withColumn("before", F.coalesce(before, F.lit(0)))
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .where((F.col("before") < F.col("fraction")) & (F.col("fraction") <= F.col("before") + F.col("words")))
-        .groupBy("of")
-        .agg(F.min("bucket").alias("last"), F.min_by(F.col("fraction") - F.col("before"), "bucket").alias("rest"))
+        .select("of", F.lit(True).alias("ends"), F.col("bucket").alias("last"), (F.col("fraction") - F.col("before")).alias("rest"))
     )
-    plan = land(
+    return land(
         targets.withColumnRenamed("source", "t_source")
         .join(ends, F.col("t_source").eqNullSafe(F.col("of")), "left")
-        .drop("of", "weight"),
+        .drop("of", "ends", "weight"),
         "mix_plan",
     )
-    placed = sizes.join(plan, F.col("source").eqNullSafe(F.col("t_source")))
-    # No fraction left: no bucket is the last and none comes before it.
-    inside = placed.where(~F.col("bucket").eqNullSafe(F.col("last"))).withColumn(
-        "extra", F.coalesce((F.col("bucket") < F.col("last")).cast("bigint"), F.lit(0))
-    )
+
+
+def _once_more_before(bucket: Column) -> Column:
+    """1 for a bucket below the last one, 0 beyond it or where no fraction is left."""
+    return F.coalesce((bucket < F.col("last")).cast("bigint"), F.lit(0))
+
+
+def last_buckets(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of every source's last bucket, with ``extra``: once more or not."""
     run = Window.partitionBy("source").orderBy("place", "doc_id", "size")
     run = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where(F.col("bucket") == F.col("last")).withColumn(
-        "extra", (2 * run - F.col("size") < 2 * F.col("rest")).cast("bigint")
+    return (
+        sizes.join(plan, F.col("source").eqNullSafe(F.col("t_source")))
+        .where(F.col("bucket") == F.col("last"))
+        .withColumn("extra", (2 * run - F.col("size") < 2 * F.col("rest")).cast("bigint"))
     )
-    return inside.unionByName(edge).select(
+
+
+def mixed(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """One row per document: its size, its source's size and target, and ``times`` taken."""
+    sizes = land(sized(docs, seed), "mix_sizes")
+    plan = mix_plan(sizes, **options)
+    inside = (
+        sizes.join(plan, F.col("source").eqNullSafe(F.col("t_source")))
+        .where(~F.col("bucket").eqNullSafe(F.col("last")))
+        .withColumn("extra", _once_more_before(F.col("bucket")))
+    )
+    return inside.unionByName(last_buckets(sizes, plan)).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") + F.col("extra")).alias("times"),
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, all columns; a document taken twice is there twice."""
-    taken = mixed(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times"
+def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The documents of the mix, all columns; a document taken twice is there twice.
+
+    Only the last bucket of each source meets its decisions by a join; all other
+    rows need nothing but their source's plan.
+    """
+    sizes = land(sized(docs, seed), "mix_sizes")
+    plan = mix_plan(sizes, **options)
+    rows = docs.select(
+        F.struct("*").alias("doc"), bucket_of(seeded(F.col("doc_id"), seed)).alias("bucket")
+    ).join(plan, F.col("doc.source").eqNullSafe(F.col("t_source")))
+    inside = rows.where(~F.col("bucket").eqNullSafe(F.col("last"))).select(
+        "doc", (F.col("whole") + _once_more_before(F.col("bucket"))).alias("times")
     )
-    # Rows that repeat in full are counted once here, and meet all their copies.
-    times = taken.groupBy("_id", "_source", "_size").agg(
-        F.sum("times").alias("_times"), F.count("*").alias("_rows")
+    # Rows of one id, source and size are told apart by their texts' order.
+    due = last_buckets(sizes, plan).groupBy(
+        F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.col("size").alias("d_size")
+    ).agg(F.sum("extra").alias("due"))
+    nth = F.row_number().over(
+        Window.partitionBy("doc.doc_id", "doc.source", "size").orderBy(F.xxhash64("doc.text"))
     )
-    place = Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    joined = (
-        docs.withColumn("_words", words)
+    edge = (
+        rows.where(F.col("bucket") == F.col("last"))
+        .withColumn("size", word_count(F.col("doc.text")))
+        .withColumn("nth", nth)
         .join(
-            times,
-            F.col("doc_id").eqNullSafe(F.col("_id"))
-            & F.col("source").eqNullSafe(F.col("_source"))
-            & (F.col("_words") == F.col("_size")),
+            due,
+            F.col("doc.doc_id").eqNullSafe(F.col("d_id"))
+            & F.col("doc.source").eqNullSafe(F.col("d_source"))
+            & (F.col("size") == F.col("d_size")),
         )
-        .withColumn("_nth", F.row_number().over(place))
+        .select("doc", (F.col("whole") + (F.col("nth") <= F.col("due")).cast("bigint")).alias("times"))
+    )
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("times"))
+    return (
+        inside.unionByName(edge)
+        .where("times > 0")
+        .select("doc", F.explode(copies).alias("copy"))
+        .select("doc.*")
     )
-    each = F.floor(F.col("_times") / F.col("_rows")) + (
-        F.col("_nth") <= F.col("_times") % F.col("_rows")
-    ).cast("bigint")
-    return joined.withColumn("_each", each).where("_each > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_each")))
-    ).select(*[F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
+import corpus_pipeline
 from emberlog.llm import decontaminate, jaccard, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_token_files": tokenfiles.query,
     "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
