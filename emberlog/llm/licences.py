@@ -6,7 +6,9 @@ ASCII letters and digits only. A passage carries the licence of the template tha
 agrees with best, if their Dice coefficient 2 |A and B| / (|A| + |B|) over distinct
 word bigrams is at least ``THRESHOLD``.
 
-That bounds the sizes: a template of b bigrams can only agree with passages of
+A passage that agrees with a template holds most of its bigrams, so it holds one of a
+few words; texts and passages without any of them are left at once. Dice also bounds
+the sizes: a template of b bigrams can only agree with passages of
 b t / (2 - t) to b (2 - t) / t bigrams. Passages outside all bounds are not cut into
 bigrams, and a bigram meets only the templates whose bounds hold its passage. The
 bigrams of the fixed list of templates are broadcast; a passage's common bigrams are
@@ -21,6 +23,9 @@ rows. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +54,26 @@ def bounds(size: Column | int, threshold: float = THRESHOLD) -> tuple:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def key_words(threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every passage that agrees with some template holds at least one.
+
+    Such a passage holds b t / (2 - t) of a template's b bigrams at least. So once the
+    bigrams without a key word are fewer, one with a key word is among those held.
+    Words of five letters or more are taken, those that leave the fewest bigrams first.
+    """
+    keys: set[str] = set()
+    for _, text in sorted(TEMPLATES, key=lambda t: len(t[1])):
+        words = _normal(text)
+        left = set(zip(words, words[1:], strict=False))
+        needed = bounds(len(left), threshold)[0]
+        left = {pair for pair in left if not keys & set(pair)}
+        while len(left) >= needed:
+            weight = Counter(w for pair in left for w in set(pair))
+            keys.add(max(weight, key=lambda w: (len(w) >= 5, weight[w], w)))
+            left = {pair for pair in left if not keys & set(pair)}
+    return sorted(keys)
+
+
 def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tid, number, bigrams, size) of the passages within some template's bounds."""
     sizes = [n for _, _, n, _ in template_bigrams()]
@@ -56,9 +81,12 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
     blocks = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
-    # A word has two characters or more with its gap.
-    small = F.filter(F.concat(lines, blocks), lambda p: F.length(p) >= 2 * fewest)
-    rows = docs.select(
+    words = key_words(threshold)
+    held = lambda t: reduce(or_, [t.contains(w) for w in words])
+    small = F.filter(F.concat(lines, blocks), lambda p: held(F.lower(p)))
+    # explode() of the one lower-cased text keeps it from being made again per word.
+    texts = docs.select("doc_id", "text", F.explode(F.array(F.lower(text))).alias("low"))
+    rows = texts.where(held(F.col("low"))).select(
         F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("tid"), F.posexplode(small).alias("number", "passage")
     )
     plain = F.translate("passage", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
