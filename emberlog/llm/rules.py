@@ -125,9 +125,10 @@ def measured(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
 
 
 def _log_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series at n + 8, so small n are exact to 1e-12."""
+    """ln n! by Stirling's series at n + 8, so small n are exact to 1e-10."""
     x = n.cast("double") + 8
     series = (x - 0.5) * F.log(x) - x + 0.9189385332046728 + 1 / (12 * x) - 1 / (360 * F.pow(x, 3))
+    series = series + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
     shifted = F.lit(0.0)
     for i in range(1, 8):
         shifted = shifted + F.log(n.cast("double") + i)
