@@ -8,31 +8,67 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.operators import applications as apps
 from emberlog.plans import charts, reports
-from emberlog.sources.logs import check_codecs, of_application, read_application, read_events
-from emberlog.sources.tables import land_events, read_event_table
+from emberlog.plans.charts import PAGE_POINTS
+from emberlog.sources.logs import (
+    application_lines,
+    check_codecs,
+    corrupt_lines,
+    damaged_logs,
+    of_application,
+    parse_events,
+    read_lines,
+)
+from emberlog.sources.tables import land_events, read_event_table, shared_folder
 
 
 class EventLogs:
     """Reports over the event logs of any number of applications.
 
     Every method is a function of the logs and returns a sorted DataFrame; calling
-    one twice gives the same answer twice. ``land`` first for more than one report:
-    it parses the text once.
+    one twice gives the same answer twice. The text is parsed once: at the first
+    report into the session's shared folder, or by ``land`` to a place of one's own.
     """
 
-    def __init__(self, events: DataFrame):
-        self.events = events
+    def __init__(self, events: DataFrame, lines: DataFrame | None = None):
+        self._parsed = events
+        self._landed = None if lines is not None else events
+        self._lines = lines
+
+    @property
+    def events(self) -> DataFrame:
+        """The event table every report reads; written on first use."""
+        if self._landed is None:
+            self._landed = land_events(self._parsed, shared_folder(self._parsed.sparkSession, "events"))
+        return self._landed
+
+    @classmethod
+    def _of_lines(cls, lines: DataFrame, strict: bool) -> EventLogs:
+        if strict and (damaged := damaged_logs(lines).take(1)):
+            raise ValueError(f"{damaged[0]['log_id']}: {damaged[0]['damaged_lines']} bad lines before the last")
+        return cls(parse_events(lines), lines)
 
     @classmethod
-    def read(cls, spark: SparkSession, paths: str | Sequence[str]) -> EventLogs:
-        """All logs under ``paths``: plain, rolled, zstd-compressed, still running."""
+    def read(cls, spark: SparkSession, paths: str | Sequence[str], strict: bool = False) -> EventLogs:
+        """All logs under ``paths``: plain, rolled, zstd-compressed, still running.
+
+        ``strict`` fails on a bad line before the last of a log; otherwise bad lines
+        are left out, and ``corrupt_lines`` counts them.
+        """
         check_codecs(spark, paths)
-        return cls(read_events(spark, paths))
+        return cls._of_lines(read_lines(spark, paths), strict)
 
     @classmethod
-    def find(cls, spark: SparkSession, base: str, app_ids: str | Iterable[str]) -> EventLogs:
+    def find(
+        cls, spark: SparkSession, base: str, app_ids: str | Iterable[str], strict: bool = False
+    ) -> EventLogs:
         """The logs of the given application ids under ``base``."""
-        return cls(read_application(spark, base, app_ids))
+        return cls._of_lines(application_lines(spark, base, app_ids), strict)
+
+    def corrupt_lines(self) -> DataFrame:
+        """(log_id, lines, corrupt_lines): what was read and what was not JSON."""
+        if self._lines is None:
+            raise ValueError("only logs read from text know their lines")
+        return corrupt_lines(self._lines).orderBy("log_id")
 
     @classmethod
     def landed(cls, spark: SparkSession, path: str) -> EventLogs:
@@ -41,7 +77,7 @@ class EventLogs:
 
     def land(self, path: str) -> EventLogs:
         """Write the parsed events to ``path`` and go on from there."""
-        return EventLogs(land_events(self.events, path))
+        return EventLogs(land_events(self._parsed if self._landed is None else self._landed, path))
 
     def of(self, app_id: str) -> EventLogs:
         """Only this application's logs."""
@@ -80,15 +116,19 @@ class EventLogs:
     def executor_storage_series(self, executor_id: str | None = None) -> DataFrame:
         return self._by_position(reports.executor_storage_series(self.events, executor_id))
 
-    def executor_charts(self, executor_id: str | None = None, time_zone: str = "UTC") -> DataFrame:
-        drawn = charts.executor_charts(self.events, executor_id, time_zone)
+    def executor_charts(
+        self, executor_id: str | None = None, time_zone: str = "UTC", points: int = PAGE_POINTS
+    ) -> DataFrame:
+        """Chart specifications, at most ``points`` points a row; longer series go on in pages."""
+        drawn = charts.executor_charts(self.events, executor_id, time_zone, points)
         return drawn.orderBy("log_id", "executor_id", "chart", "page")
 
     def application_series(self) -> DataFrame:
         return reports.application_series(self.events).orderBy("log_id", "position")
 
-    def application_charts(self, time_zone: str = "UTC") -> DataFrame:
-        drawn = charts.application_charts(self.events, time_zone)
+    def application_charts(self, time_zone: str = "UTC", points: int = PAGE_POINTS) -> DataFrame:
+        """As ``executor_charts``, over the executors of each application."""
+        drawn = charts.application_charts(self.events, time_zone, points)
         return drawn.orderBy("log_id", "chart", "page")
 
     def environment(self, merged: bool = True) -> DataFrame:

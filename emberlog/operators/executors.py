@@ -33,15 +33,33 @@ def _first_seen(rows: DataFrame, task_firsts: DataFrame) -> DataFrame:
     )
 
 
-def application_ends(events: DataFrame) -> DataFrame:
-    """log_id -> place and time of the application end."""
+def known_executors(events: DataFrame) -> DataFrame:
+    """Distinct (log_id, executor_id) of every executor that some event created."""
+    creators = _lifecycle_rows(events).where(F.col("event").isin("ExecutorAdded", "BlockManagerAdded"))
     return (
+        task_events(events).select(*EXECUTOR_KEY)
+        .unionByName(creators.select(*EXECUTOR_KEY))
+        .distinct()
+    )
+
+
+def with_end(seen: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds the first application end after each executor was first seen.
+
+    A log holds one end, rarely more; a later one closes what came after the earlier.
+    """
+    ends = (
         events.where(F.col("family") == "application")
         .where(F.col("event") == "ApplicationEnd")
-        .groupBy("log_id")
+        .select("log_id", F.col("seq").alias("end_seq"), F.col("time").alias("end_time"))
+    )
+    later = F.col("end_seq") > F.col("first_seen")
+    return (
+        seen.join(ends, "log_id", "left")
+        .groupBy(*EXECUTOR_KEY, "first_seen")
         .agg(
-            F.min("seq").alias("app_end_seq"),
-            F.min_by("time", "seq").alias("app_end_time"),
+            F.min(F.when(later, F.col("end_seq"))).alias("app_end_seq"),
+            F.min_by(F.when(later, F.col("end_time")), F.when(later, F.col("end_seq"))).alias("app_end_time"),
         )
     )
 
@@ -90,7 +108,7 @@ def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None)
         )
     rows = _lifecycle_rows(events)
     seen = _first_seen(rows, task_firsts)
-    ended = seen.join(application_ends(events), "log_id", "left")
+    ended = with_end(seen, events)
 
     added, registered = "event = 'ExecutorAdded'", "event = 'BlockManagerAdded'"
     # A removal counts only once its executor is known.

@@ -67,7 +67,7 @@ def block_updates(events: DataFrame, bits: int | None = None) -> DataFrame:
     """Every block status change that reaches a registered block manager.
 
     From task ends (all blocks of one, in order) and block updates; ``time`` is the
-    task's finish, NULL for a block update; ``is_last`` marks an event's last block.
+    task's finish (0 if not logged), NULL for a block update; ``is_last`` marks an event's last block.
     Sizes of a dropped block (level NONE) are 0.
     """
     blocks = (
@@ -76,7 +76,7 @@ def block_updates(events: DataFrame, bits: int | None = None) -> DataFrame:
         .select(
             *EXECUTOR_KEY,
             "seq",
-            F.when(F.col("event") == "TaskEnd", F.col("time")).alias("time"),
+            F.when(F.col("event") == "TaskEnd", F.coalesce("time", _zero())).alias("time"),
             F.size("blocks").alias("_blocks"),
             F.posexplode("blocks").alias("pos", "b"),
         )

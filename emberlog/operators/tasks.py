@@ -59,9 +59,11 @@ def metric_columns() -> list[Column]:
     return [F.expr(f"{values[name]} AS {name}") for name in METRIC_COLUMNS]
 
 
-def executor_totals(events: DataFrame) -> DataFrame:
+def executor_totals(events: DataFrame, mergeable: bool = False) -> DataFrame:
     """Per executor: event counts by outcome, busy time, last stage, metric sums.
 
+    ``mergeable`` adds ``last_start_seq``, which orders the last stages of two parts.
+
     One partial aggregation on the scan, one shuffle of a row per executor and
     task; the buffers are all numbers, so it stays a hash aggregation.
     """
@@ -76,6 +78,7 @@ def executor_totals(events: DataFrame) -> DataFrame:
         .agg(
             F.min("seq").alias("first_task_seq"),
             F.max_by("stage_id", "start_seq").alias("stage_id"),
+            F.max("start_seq").alias("last_start_seq"),
             F.count_if(F.col("result") == "failed").alias("tasks_failed"),
             F.count_if(F.col("result") == "complete").alias("tasks_complete"),
             F.sum("took").alias("duration"),
@@ -84,6 +87,7 @@ def executor_totals(events: DataFrame) -> DataFrame:
         .select(
             *EXECUTOR_KEY,
             "first_task_seq",
+            *(["last_start_seq"] if mergeable else []),
             F.coalesce("stage_id", F.lit(0)).alias("stage_id"),
             "tasks_failed",
             "tasks_complete",

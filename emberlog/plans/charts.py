@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.units import axis_label
 from emberlog.operators.applications import with_app_id
-from emberlog.operators.executors import executor_lifecycle
+from emberlog.operators.executors import known_executors
 from emberlog.operators.tasks import EXECUTOR_KEY
 from emberlog.plans.reports import (
     STORAGE_SERIES,
@@ -136,10 +136,15 @@ def executor_charts(
     points: int = PAGE_POINTS,
     bits: int | None = None,
 ) -> DataFrame:
-    """Seven charts per executor (or of one); (executor_id, chart, page, chart_config)."""
-    known = executor_lifecycle(events).select(*EXECUTOR_KEY)
-    if executor_id is not None:
-        known = known.where(F.col("executor_id") == executor_id)
+    """Seven charts per executor (or of one); (executor_id, chart, page, chart_config).
+
+    An asked executor that a log does not know has its charts too, with empty series.
+    A row holds up to ``points`` points; a longer series goes on in further rows.
+    """
+    if executor_id is None:
+        known = known_executors(events)
+    else:
+        known = events.select("log_id").distinct().withColumn("executor_id", F.lit(executor_id))
 
     def paged(rows: DataFrame, columns: list[str]) -> DataFrame:
         labelled = rows.withColumn("label", axis_label(F.col("time"), time_zone))
@@ -167,11 +172,18 @@ def application_charts(
     points: int = PAGE_POINTS,
     bits: int | None = None,
 ) -> DataFrame:
-    """Eight charts per application over its executors; (chart, page, chart_config)."""
+    """Eight charts per application over its executors; (chart, page, chart_config).
+
+    An application without executors has them with empty series. ``points`` as above.
+    """
     rows = application_series_rows(events, bits)
     columns = [c for c in rows.columns if c not in ("log_id", "executor_id", "position")]
     labels = {"appTimeline": "app_label", "storageTimeline": "storage_label"}
     for x, label in labels.items():
         rows = rows.withColumn(label, axis_label(F.col(x), time_zone))
-    paged = pages(rows, ["log_id"], [*labels.values(), *columns], points)
+    paged = (
+        events.select("log_id").distinct()
+        .join(pages(rows, ["log_id"], [*labels.values(), *columns], points), "log_id", "left")
+        .select("log_id", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("p", F.array()).alias("p"))
+    )
     return with_app_id(_draw(paged, ["log_id"], APPLICATION_CHARTS, labels), events)

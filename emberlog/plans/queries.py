@@ -49,9 +49,8 @@ from emberlog.streaming.folds import (
     current_executors,
     current_totals,
     ingest_with_samples,
-    update_executor_totals,
+    ingest_with_totals,
 )
-from emberlog.streaming.ingest import ingest
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -358,8 +357,9 @@ def _streamed_totals(spark: SparkSession, sf_dir: str) -> str:
     """Folder with tables ``events`` and ``totals``, both filled by streams."""
 
     def write(path: str) -> None:
-        ingest(spark, log_folder(spark, sf_dir), f"{path}/events", f"{path}/ingest-state", 4)
-        update_executor_totals(spark, f"{path}/events", f"{path}/totals", f"{path}/totals-state")
+        ingest_with_totals(
+            spark, log_folder(spark, sf_dir), f"{path}/events", f"{path}/totals", f"{path}/state", 4
+        )
 
     return _once(spark, sf_dir, "streamed", write)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.sources.schema import EVENT_PREFIX
+
 # The derivation rules' constants.
 TAIL_SEQ = 1_000_000_000
 
@@ -36,7 +38,7 @@ def keyed(events: DataFrame) -> DataFrame:
 
 
 def _json(event: str, *fields: Column) -> Column:
-    return F.to_json(F.struct(F.lit(f"SparkListener{event}").alias("Event"), *fields))
+    return F.to_json(F.struct(F.lit(f"{EVENT_PREFIX}{event}").alias("Event"), *fields))
 
 
 def _named(name: str, value: Column | str | int) -> Column:

@@ -18,6 +18,7 @@ from emberlog.sources.schema import (
     LOGGED_METRICS,
     TASK_EVENTS,
 )
+from emberlog.sources.tables import land
 
 # monotonically_increasing_id() counts rows of one task in its low 33 bits.
 _ROW_BITS = (1 << 33) - 1
@@ -29,6 +30,7 @@ _ROLLED_FOLDERS = ("eventlog_v2_", "log_id=")
 _ROLLED_FILE = r"^(?:events_|part-)(\d+)"
 _SUFFIXES = r"(\.(?:zstd|zst|lz4|lzf|snappy|gz))?(\.inprogress)?(\.compact)?$"
 _UNREADABLE_CODECS = "*.{lz4,lzf,snappy,lz4.inprogress,lzf.inprogress,snappy.inprogress}"
+_UNREADABLE_NAME = r"\.(lz4|lzf|snappy)(\.inprogress)?$"
 _ATTEMPT = r"^(application_\d+_\d+)_\d+$"
 
 
@@ -78,23 +80,76 @@ def place_in_log(roll: Column) -> Column:
 FILE_COLUMNS = ["file_path", "file_name", "file_block_start", "file_block_length", "file_size"]
 
 
-def with_place(scan: DataFrame) -> DataFrame:
-    """``value`` + file metadata + ``row`` -> (log_id, seq, value)."""
-    folder = F.substring_index(F.substring_index("file_path", "/", -2), "/", 1)
+def name_parts(path: Column) -> dict[str, Column]:
+    """What a file's path tells: the log's name and folder, roll, and kind of file."""
+    file = F.substring_index(path, "/", -1)
+    parent = F.regexp_replace(path, "/[^/]*$", "")
+    folder = F.substring_index(parent, "/", -1)
     rolled = F.lit(None).cast("string")
     for prefix in _ROLLED_FOLDERS:
-        name = F.substring(folder, len(prefix) + 1, 1000)
+        name = F.substr(folder, F.lit(len(prefix) + 1))
         rolled = F.when(folder.startswith(prefix), name).otherwise(rolled)
-    number = F.nullif(F.regexp_extract("file_name", _ROLLED_FILE, 1), F.lit(""))
-    roll = F.when(rolled.isNotNull(), F.coalesce(number.cast("bigint"), F.lit(0))).otherwise(F.lit(0))
-    log_id = F.coalesce(rolled, F.regexp_replace("file_name", _SUFFIXES, ""))
-    return scan.select(log_id.alias("log_id"), place_in_log(roll).alias("seq"), "value")
+    number = F.nullif(F.regexp_extract(file, _ROLLED_FILE, 1), F.lit(""))
+    return {
+        "log": F.coalesce(rolled, F.regexp_replace(file, _SUFFIXES, "")),
+        "folder": F.when(rolled.isNotNull(), F.regexp_replace(parent, "/[^/]*$", "")).otherwise(parent),
+        "roll": F.when(rolled.isNotNull(), F.coalesce(number.cast("bigint"), F.lit(0))).otherwise(F.lit(0)),
+        "compacted": rolled.isNotNull() & file.endswith(".compact"),
+        "unfinished": file.endswith(".inprogress"),
+    }
+
+
+def with_place(scan: DataFrame) -> DataFrame:
+    """``value`` + file metadata + ``row`` -> (log_id, seq, value, file_path).
+
+    A file that no text reader opens fails the job where its first line is placed.
+    """
+    parts = name_parts(F.col("file_path"))
+    log_id = F.when(
+        F.col("file_name").rlike(_UNREADABLE_NAME),
+        F.raise_error(F.concat(F.col("file_path"), F.lit(": a codec that cannot be read as text"))).cast("string"),
+    ).otherwise(parts["log"])
+    return scan.select(log_id.alias("log_id"), place_in_log(parts["roll"]).alias("seq"), "value", "file_path")
+
+
+def log_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, log, folder, roll, compacted, unfinished) of every file, by listing only."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path")
+    )
+    return files.select("path", *[c.alias(n) for n, c in name_parts(F.col("path")).items()])
+
+
+def superseded_files(files: DataFrame) -> DataFrame:
+    """(path) of files whose events another file of their log holds too.
+
+    A compacted file stands for its own roll and all before it; a finished file for
+    its own unfinished one.
+    """
+    log = ["folder", "log"]
+    compact = files.where("compacted").groupBy(*log).agg(F.max("roll").alias("upto"))
+    finished = files.where("NOT unfinished").select(*log, "roll").distinct().withColumn("done", F.lit(True))
+    before = (F.col("roll") < F.col("upto")) | ((F.col("roll") == F.col("upto")) & ~F.col("compacted"))
+    return (
+        files.join(compact, log, "left")
+        .join(finished, [*log, "roll"], "left")
+        .where(F.coalesce(before, F.lit(False)) | (F.col("unfinished") & F.col("done").isNotNull()))
+        .select("path")
+    )
+
+
+def shared_names(files: DataFrame) -> DataFrame:
+    """(log) names that logs of several folders have."""
+    return files.groupBy("log").agg(F.countDistinct("folder").alias("n")).where("n > 1").select("log")
 
 
 def _log_pattern(app_ids: Sequence[str]) -> str:
     """Path pattern of these applications' logs, and of no id that only starts the same."""
-    ids = "|".join(re.escape(app) for app in app_ids)
-    return rf"/(?:eventlog_v2_|log_id=)?(?:{ids})(?:_\d+)?(?:\.[a-z0-9]+)*(?:/[^/]*)?$"
+    # Only ids of the cluster manager's form take an attempt number.
+    ids = "|".join(
+        re.escape(app) + (r"(?:_\d+)?" if re.fullmatch(r"application_\d+_\d+", app) else "") for app in app_ids
+    )
+    return rf"/(?:eventlog_v2_|log_id=)?(?:{ids})(?:\.[a-z0-9]+)*(?:/[^/]*)?$"
 
 
 def read_lines(
@@ -106,20 +161,37 @@ def read_lines(
     attempt number), a directory ``eventlog_v2_<app>`` of rolled files, or a
     directory ``log_id=<app>`` that Spark wrote. ``seq`` is taken on the scan,
     before any filter or shuffle, and orders the lines of one log. ``app_ids``
-    keeps the files of those applications only; other files are not opened.
+    keeps the files of those applications only; other files are not opened. Files
+    that another one stands for are left out (``superseded_files``), and a log whose
+    name logs of other folders have too gets its folder in front of its name.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(
-        paths if isinstance(paths, str) else list(paths)
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    text = spark.read.option("recursiveFileLookup", "true").text(paths)
     if app_ids is not None:
         text = text.where(F.col("_metadata.file_path").rlike(_log_pattern(app_ids)))
-    return with_place(
+    placed = with_place(
         text.select(
             "value",
             *[F.col(f"_metadata.{name}").alias(name) for name in FILE_COLUMNS],
             F.monotonically_increasing_id().alias("row"),
         )
     )
+    files = log_files(spark, paths)
+    # Both lists are rare leftovers; they are written, so Spark knows their size.
+    gone = land(superseded_files(files).withColumnRenamed("path", "file_path"), "superseded_files")
+    twice = land(shared_names(files).select(F.col("log").alias("log_id"), F.lit(True).alias("twice")), "shared_names")
+    folder = name_parts(F.col("file_path"))["folder"]
+    return (
+        placed.join(gone, "file_path", "left_anti")
+        .join(twice, "log_id", "left")
+        .select(
+            F.when(F.col("twice"), F.concat(folder, F.lit("/"), F.col("log_id")))
+            .otherwise(F.col("log_id"))
+            .alias("log_id"),
+            "seq",
+            "value",
+        )
+    )
 
 
 def event_name(value: Column) -> Column:
@@ -128,12 +200,9 @@ def event_name(value: Column) -> Column:
     quick = start + EVENT_PREFIX
     loose = F.get_json_object(value, "$.Event")
     return (
-        F.when(
-            value.startswith(quick),
-            F.substring_index(F.substring(value, len(quick) + 1, 100), '"', 1),
-        )
+        F.when(value.startswith(quick), F.regexp_extract(value, rf'^\{{"Event":"{EVENT_PREFIX}([^"]*)', 1))
         .when(value.startswith(start), F.lit(None))
-        .when(loose.startswith(EVENT_PREFIX), F.substring(loose, len(EVENT_PREFIX) + 1, 100))
+        .when(loose.startswith(EVENT_PREFIX), F.substr(loose, F.lit(len(EVENT_PREFIX) + 1)))
     )
 
 
@@ -225,14 +294,21 @@ def read_events(
     return parse_events(read_lines(spark, paths), kinds)
 
 
-def read_application(
+def application_lines(
     spark: SparkSession, base: str, app_ids: str | Iterable[str]
 ) -> DataFrame:
-    """Typed events of the given applications' logs, found by id under ``base``."""
+    """Lines of the given applications' logs, found by id under ``base``."""
     given = [app_ids] if isinstance(app_ids, str) else list(app_ids)
     ids = sorted({name for app in given for name in (app, log_name(app))})
     names = "{" + ",".join(f"{prefix}{app}*" for app in ids for prefix in ("", *_ROLLED_FOLDERS)) + "}"
-    return parse_events(read_lines(spark, f"{base.rstrip('/')}/{names}", ids))
+    return read_lines(spark, f"{base.rstrip('/')}/{names}", ids)
+
+
+def read_application(
+    spark: SparkSession, base: str, app_ids: str | Iterable[str]
+) -> DataFrame:
+    """Typed events of the given applications' logs, found by id under ``base``."""
+    return parse_events(application_lines(spark, base, app_ids))
 
 
 def corrupt_lines(lines: DataFrame) -> DataFrame:
@@ -251,20 +327,44 @@ def corrupt_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def damaged_logs(lines: DataFrame) -> DataFrame:
+    """(log_id, damaged_lines) of logs with bad lines before their last line."""
+    bad = F.get_json_object("value", "$.Event").isNull()
+    return (
+        lines.where(F.trim("value") != "")
+        .groupBy("log_id")
+        .agg(
+            F.count_if(bad).alias("bad"),
+            F.max(F.when(bad, F.col("seq"))).alias("last_bad"),
+            F.max("seq").alias("last"),
+        )
+        .withColumn("damaged_lines", F.col("bad") - F.when(F.col("last_bad") == F.col("last"), 1).otherwise(0))
+        .where("damaged_lines > 0")
+        .select("log_id", "damaged_lines")
+    )
+
+
 def log_name(app_id: str) -> str:
     """The name Spark gives the log of an application id."""
     return re.sub(r"[.${}'\"]", "_", re.sub(r"[ :/]", "-", app_id)).lower()
 
 
 def of_application(events: DataFrame, app_id: str) -> DataFrame:
-    """Events of one application's logs; Parquet skips files of other logs."""
-    log = F.col("log_id")
-    # The first filter is the part Parquet can check against file statistics.
-    near = exact = F.lit(False)
-    for name in sorted({app_id, log_name(app_id)}):
-        near = near | log.startswith(name)
-        exact = exact | (log == name) | (name_without_attempt(log) == name)
-    return events.where(near).where(exact)
+    """Events of one application's logs, by the announced id, else by the log's name.
+
+    The logs of one application are few (its attempts), so they are named in the
+    filter and Parquet skips files of other logs.
+    """
+    names = sorted({app_id, log_name(app_id)})
+    log = F.substring_index("log_id", "/", -1)
+    announced = (
+        events.where((F.col("family") == "application") & (F.col("event") == "ApplicationStart"))
+        .where(F.col("announced_app_id") == app_id)
+        .select("log_id")
+    )
+    named = events.select("log_id").distinct().where(log.isin(names) | name_without_attempt(log).isin(names))
+    logs = [r["log_id"] for r in announced.unionByName(named).distinct().collect()]
+    return events.where(F.col("log_id").isin(logs))
 
 
 def name_without_attempt(log_id: Column) -> Column:

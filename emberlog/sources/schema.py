@@ -53,7 +53,7 @@ EVENT_SCHEMA = f"""
 `System Properties` MAP<STRING,STRING>
 """
 
-# Event kinds, as written in the log after the prefix "SparkListener".
+# Fixed value: the prefix of event names in the public log format.
 EVENT_PREFIX = "SparkListener"
 TASK_EVENTS = ("TaskStart", "TaskEnd")
 BLOCK_EVENTS = ("BlockUpdated", "UnpersistRDD")

@@ -7,41 +7,56 @@ from the event table for the logs a batch touched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators.executors import executor_lifecycle
 from emberlog.operators.storage import storage_samples
 from emberlog.operators.tasks import EXECUTOR_KEY, active_tasks, executor_totals
-from emberlog.streaming.ingest import event_stream, event_table, ingest, run_available
-
-# Up to this many touched logs are named in the scan filter, so Parquet skips
-# files of other logs; beyond it they are joined.
-NAMED_LOGS = 1000
+from emberlog.streaming.ingest import event_table, ingest
 
 
-def update_executor_totals(spark: SparkSession, table: str, totals: str, checkpoint: str) -> None:
-    """Fold newly ingested task events into the executors' running totals.
+def keep_totals(totals: str) -> Callable[[DataFrame, int], None]:
+    """A hook for ``ingest``: writes each batch's own totals of its executors.
 
-    One state row per executor; every micro-batch appends the rows it changed.
+    A batch overwrites its folder, so one that runs again after a failure counts
+    once; readers merge the folders.
     """
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(
+    def write(batch: DataFrame, batch_id: int) -> None:
+        executor_totals(batch, mergeable=True).write.mode("overwrite").parquet(
             f"{totals}/batch={batch_id}"
         )
 
-    run_available(executor_totals(event_stream(spark, table)), checkpoint, write, "update")
+    return write
+
+
+def ingest_with_totals(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    totals: str,
+    checkpoint: str,
+    files_per_trigger: int = 1000,
+) -> None:
+    """Ingest new files and write what they add to their executors' totals."""
+    ingest(spark, path, table, checkpoint, files_per_trigger, after=keep_totals(totals))
 
 
 def current_totals(spark: SparkSession, totals: str) -> DataFrame:
-    """The latest totals of every executor."""
-    changes = spark.read.parquet(totals).drop("batch")
-    columns = [c for c in changes.columns if c not in (*EXECUTOR_KEY, "version")]
-    return (
-        changes.groupBy(*EXECUTOR_KEY)
-        .agg(F.max_by(F.struct(*columns), "version").alias("t"))
-        .select(*EXECUTOR_KEY, "t.*")
+    """The totals of every executor over all batches."""
+    parts = spark.read.parquet(totals).drop("batch")
+    sums = [
+        c
+        for c in parts.columns
+        if c not in (*EXECUTOR_KEY, "first_task_seq", "stage_id", "last_start_seq")
+    ]
+    return parts.groupBy(*EXECUTOR_KEY).agg(
+        F.min("first_task_seq").alias("first_task_seq"),
+        F.coalesce(F.max_by("stage_id", "last_start_seq"), F.lit(0)).alias("stage_id"),
+        *[F.sum(c).alias(c) for c in sums],
     )
 
 
@@ -65,9 +80,6 @@ def current_executors(spark: SparkSession, table: str, totals: str) -> DataFrame
 
 def of_logs(events: DataFrame, touched: DataFrame) -> DataFrame:
     """Events of the logs in ``touched`` (log_id)."""
-    named = touched.distinct().take(NAMED_LOGS + 1)
-    if len(named) <= NAMED_LOGS:
-        return events.where(F.col("log_id").isin([r["log_id"] for r in named]))
     return events.join(touched.distinct(), "log_id", "left_semi")
 
 
@@ -80,6 +92,11 @@ def ingest_with_samples(
     files_per_trigger: int = 1000,
 ) -> None:
     """Ingest new files and renew the storage samples of the logs they belong to."""
+    ingest(spark, path, table, checkpoint, files_per_trigger, after=renew_samples(spark, table, samples))
+
+
+def renew_samples(spark: SparkSession, table: str, samples: str) -> Callable[[DataFrame, int], None]:
+    """A hook for ``ingest``: rewrites the storage samples of the logs of each batch."""
 
     def renew(batch: DataFrame, batch_id: int) -> None:
         events = of_logs(event_table(spark, table), batch.select("log_id"))
@@ -91,4 +108,4 @@ def ingest_with_samples(
             .parquet(samples)
         )
 
-    ingest(spark, path, table, checkpoint, files_per_trigger, after=renew)
+    return renew

@@ -30,7 +30,8 @@ def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 
 def batch_events(batch: DataFrame) -> DataFrame:
     """Typed events of one micro-batch of lines."""
-    return parse_events(with_place(batch.withColumn("row", F.monotonically_increasing_id())))
+    placed = with_place(batch.withColumn("row", F.monotonically_increasing_id()))
+    return parse_events(placed.drop("file_path"))
 
 
 def run_available(
@@ -77,13 +78,3 @@ def ingest(
 def event_table(spark: SparkSession, table: str) -> DataFrame:
     """The events ingested so far."""
     return spark.read.schema(EVENT_TABLE_SCHEMA).parquet(table).drop("batch")
-
-
-def event_stream(spark: SparkSession, table: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The ingested events as a stream."""
-    return (
-        spark.readStream.schema(EVENT_TABLE_SCHEMA + ", batch INT")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(table)
-        .drop("batch")
-    )

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from emberlog.functions.reasons import FAILED_REASONS
 from emberlog.sources.schema import LOGGED_METRICS, METRIC_COLUMNS
+from emberlog.sources.schema import EVENT_PREFIX
 
 
 def dig(event, path):
@@ -66,7 +67,7 @@ class Model:
         self.clock = max(self.clock, time)
 
     def feed(self, event):
-        getattr(self, event["Event"].removeprefix("SparkListener"), lambda e: None)(event)
+        getattr(self, event["Event"].removeprefix(EVENT_PREFIX), lambda e: None)(event)
 
     def ExecutorAdded(self, e):
         x, info = self.executor(e["Executor ID"]), e["Executor Info"]

@@ -2,6 +2,7 @@
 
 import json
 import random
+from emberlog.sources.schema import EVENT_PREFIX
 
 LEVEL = {"Use Disk": True, "Use Memory": True, "Deserialized": False, "Replication": 1}
 NONE = {"Use Disk": False, "Use Memory": False, "Deserialized": False, "Replication": 1}
@@ -111,7 +112,7 @@ def random_log(seed, length):
              "ApplicationEnd", "EnvironmentUpdate", "StageSubmitted"],
             [2, 1, 20, 20, 3, 1, 15, 4, 1, 0.3, 0.5, 2],
         )[0]
-        e = {"Event": f"SparkListener{kind}"}
+        e = {"Event": f"{EVENT_PREFIX}{kind}"}
         if kind == "ExecutorAdded":
             e |= {"Timestamp": time(), "Executor ID": x}
             e["Executor Info"] = {"Total Cores": rng.randrange(9), "Log Urls": {"u": f"{i}"}}
@@ -155,7 +156,7 @@ def random_log(seed, length):
         elif kind == "UnpersistRDD":
             e["RDD ID"] = rng.randrange(3)
         elif kind == "ApplicationStart":
-            if any(p["Event"] == "SparkListenerApplicationStart" for p in events):
+            if any(p["Event"] == f"{EVENT_PREFIX}ApplicationStart" for p in events):
                 continue
             e |= {"Timestamp": time(), "App ID": f"app {seed}", "App Name": "n"}
             if rng.random() < 0.7:

@@ -10,11 +10,12 @@ from emberlog.plans import charts, reports
 from emberlog.sources.logs import parse_events
 from tests.fold import fold
 from tests.random_logs import LEVEL, NONE, lines
+from emberlog.sources.schema import EVENT_PREFIX
 
 
 def manager(x, time=1, mem=10):
     return {
-        "Event": "SparkListenerBlockManagerAdded",
+        "Event": f"{EVENT_PREFIX}BlockManagerAdded",
         "Timestamp": time,
         "Maximum Memory": mem,
         "Block Manager ID": {"Executor ID": x, "Host": "h", "Port": 1},
@@ -23,13 +24,13 @@ def manager(x, time=1, mem=10):
 
 def added(x, time=2):
     info = {"Total Cores": 4, "Log Urls": {"a": x}}
-    return {"Event": "SparkListenerExecutorAdded", "Timestamp": time, "Executor ID": x,
+    return {"Event": f"{EVENT_PREFIX}ExecutorAdded", "Timestamp": time, "Executor ID": x,
             "Executor Info": info}
 
 
 def start(task, x="1", time=10):
     info = {"Task ID": task, "Launch Time": time, "Executor ID": x, "Finish Time": 0}
-    return {"Event": "SparkListenerTaskStart", "Stage ID": 3, "Task Info": info}
+    return {"Event": f"{EVENT_PREFIX}TaskStart", "Stage ID": 3, "Task Info": info}
 
 
 def end(task, x="1", reason="Success", blocks=None, time=20, metrics=True):
@@ -37,7 +38,7 @@ def end(task, x="1", reason="Success", blocks=None, time=20, metrics=True):
     if reason == "Resubmitted":
         why["text"] = "Resubmitted (resubmitted due to lost executor)"
     e = {
-        "Event": "SparkListenerTaskEnd",
+        "Event": f"{EVENT_PREFIX}TaskEnd",
         "Stage ID": 3,
         "Task End Reason": why,
         "Task Info": {"Task ID": task, "Launch Time": 10, "Executor ID": x, "Finish Time": time},
@@ -60,26 +61,26 @@ def update(x, block, mem, level=LEVEL):
         "Memory Size": mem,
         "Disk Size": 0,
     }
-    return {"Event": "SparkListenerBlockUpdated", "Block Updated Info": info}
+    return {"Event": f"{EVENT_PREFIX}BlockUpdated", "Block Updated Info": info}
 
 
 def drop(rdd):
-    return {"Event": "SparkListenerUnpersistRDD", "RDD ID": rdd}
+    return {"Event": f"{EVENT_PREFIX}UnpersistRDD", "RDD ID": rdd}
 
 
 def removed(x, kind="Executor", time=90):
-    e = {"Event": f"SparkListener{kind}Removed", "Timestamp": time}
+    e = {"Event": f"{EVENT_PREFIX}{kind}Removed", "Timestamp": time}
     if kind == "Executor":
         return e | {"Executor ID": x}
     return e | {"Block Manager ID": {"Executor ID": x, "Host": "h", "Port": 1}}
 
 
 def app_start(logs=True, time=4):
-    e = {"Event": "SparkListenerApplicationStart", "Timestamp": time, "App ID": "a", "App Name": "n"}
+    e = {"Event": f"{EVENT_PREFIX}ApplicationStart", "Timestamp": time, "App ID": "a", "App Name": "n"}
     return e | ({"Driver Logs": {"d": "u"}} if logs else {})
 
 
-APP_END = {"Event": "SparkListenerApplicationEnd", "Timestamp": 100}
+APP_END = {"Event": f"{EVENT_PREFIX}ApplicationEnd", "Timestamp": 100}
 
 LOGS = {
     "orphan_end": [end(1), start(2), end(3), end(4), start(5)],
