@@ -222,16 +222,26 @@ def numbered_unpersists(events: DataFrame, bits: int | None = None) -> DataFrame
 
 
 def unpersist_hits(events: DataFrame, updates: DataFrame, bits: int | None = None) -> DataFrame:
-    """Per unpersist event and block manager: how many live blocks it touches."""
+    """Per unpersist event and block manager: how many live blocks it touches.
+
+    Lifetimes are counted by differences, +1 where one begins and -1 where it ends,
+    so blocks and events are never paired: rows follow the lifetimes, and then the
+    answers.
+    """
+    keys = [*MANAGER_KEY, "rdd_id"]
+    spans = live_spans(events, updates, bits)
+    ends = F.array(
+        F.struct(F.col("first").alias("number"), F.lit(1).cast("bigint").alias("step")),
+        F.struct(F.col("until").alias("number"), F.lit(-1).cast("bigint").alias("step")),
+    )
+    steps = (
+        spans.select(*keys, F.inline(ends)).groupBy(*keys, "number").agg(F.sum("step").alias("step"))
+    )
+    alive = running_total(steps, keys, ["number"], sums={"copies": F.col("step")}, bits=bits)
     return (
-        live_spans(events, updates, bits)
-        .select(
-            *MANAGER_KEY,
-            "rdd_id",
-            F.explode(F.sequence("first", F.col("until") - 1)).alias("number"),
-        )
-        .groupBy(*MANAGER_KEY, "rdd_id", "number")
-        .agg(F.count("*").alias("copies"))
+        neighbour_values(alive, keys, ["number"], {"next": "number"}, following=True, bits=bits)
+        .where("copies > 0")
+        .select(*keys, "copies", F.explode(F.sequence("number", F.col("next") - 1)).alias("number"))
         .join(numbered_unpersists(events, bits), ["log_id", "rdd_id", "number"])
         .select(*MANAGER_KEY, "seq", "copies")
     )
