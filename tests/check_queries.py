@@ -1,6 +1,7 @@
 """Run registered queries beside their SQL: python -m tests.check_queries <sf_dir> [name ...]."""
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -60,6 +61,7 @@ def main():
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberlog-check-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
