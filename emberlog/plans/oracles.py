@@ -7,10 +7,128 @@ folds, suffix sums instead of prefix minima, and no JSON at all.
 
 from __future__ import annotations
 
-from emberlog.plans.charts import APPLICATION_CHARTS, STORAGE, TASK_CHARTS, Chart
-from emberlog.plans.reports import SERIES, STORAGE_SERIES, TASK_SERIES
+from typing import NamedTuple
+
 from emberlog.sources.schema import IO_COLUMNS, METRIC_COLUMNS, SHUFFLE_COLUMNS
-from emberlog.sources.sinks import EXECUTOR_FIELDS, TASK_FIELDS
+
+# Fixed values, stated here again on purpose: a wrong entry in the reports must show
+# as a difference. Series and their SQL, charts and their lines, JSON fields.
+SERIES = {
+    "appTimeline": "removed_time",
+    "storageTimeline": "storage_remove_time",
+    "inputBytes": "input_bytes // 1024",
+    "outputBytes": "output_bytes // 1024",
+    "shuffleReads": "remote_bytes_read // 1024",
+    "shuffleWrites": "shuffle_bytes_written // 1024",
+    "cpuTime": "executor_cpu_time // 1000000",
+    "executorTime": "executor_run_time",
+    "storageMem": "mem_used // 1024",
+    "storageDisk": "disk_used // 1024",
+    "resultSerTime": "result_serialization_time",
+    "taskDeserTime": "executor_deserialize_time",
+    "memorySpill": "memory_bytes_spilled // 1024",
+    "diskSpill": "disk_bytes_spilled // 1024",
+    "resultSize": "result_size // 1024",
+    "shuffleWait": "shuffle_wait",
+    "gcTime": "jvm_gc_time",
+}
+STORAGE_SERIES = ("storageMem", "storageDisk")
+TASK_SERIES = (
+    "inputBytes", "outputBytes", "shuffleReads", "shuffleWrites", "cpuTime", "executorTime",
+    "resultSerTime", "taskDeserTime", "shuffleWait", "gcTime", "resultSize",
+)
+
+
+class Chart(NamedTuple):
+    title: str
+    lines: dict[str, str]
+    own_axes: bool = False
+    x: str = "appTimeline"
+
+
+STORAGE = Chart(
+    "storageChart", {"storageMem(kb)": "storageMem", "storageDisk(kb)": "storageDisk"}, x="storageTimeline"
+)
+SPILL = Chart("spillChart", {"memorySpill(kb)": "memorySpill", "diskSpill(kb)": "diskSpill"})
+TASK_CHARTS = [
+    Chart("ioChart", {"InputBytes(kb)": "inputBytes", "OutputBytes(kb)": "outputBytes"}, True),
+    Chart("shuffleChart", {"shuffleReads(kb)": "shuffleReads", "shuffleWrites(kb)": "shuffleWrites"}, True),
+    Chart("cpuChart", {"cpuTime(ms)": "cpuTime", "executionTime(ms)": "executorTime"}),
+    Chart(
+        "serializationChart",
+        {"resultSerialization(ms)": "resultSerTime", "taskDeserization(ms)": "taskDeserTime"},
+    ),
+    Chart("otherChart", {"shuffleWait(ms)": "shuffleWait", "gc(ms)": "gcTime"}),
+    Chart("driverBurden", {"resultSize(kb)": "resultSize"}),
+]
+APPLICATION_CHARTS = [*TASK_CHARTS, STORAGE, SPILL]
+IO_JSON = {
+    "diskBytesSpilled": "disk_bytes_spilled",
+    "memoryBytesSpilled": "memory_bytes_spilled",
+    "resultSerializationTime": "result_serialization_time",
+    "executorDeserializeTime": "executor_deserialize_time",
+    "inputBytes": "input_bytes",
+    "inputRecords": "input_records",
+    "outputBytes": "output_bytes",
+    "outputRecords": "output_records",
+}
+SHUFFLE_JSON = {
+    "shuffleWait": "shuffle_wait",
+    "remoteBlockFetched": "remote_blocks_fetched",
+    "localBlockFetched": "local_blocks_fetched",
+    "totalBlockFetched": "total_blocks_fetched",
+    "remoteBytesRead": "remote_bytes_read",
+    "localBytesRead": "local_bytes_read",
+    "totalBytesRead": "total_bytes_read",
+    "recordRead": "records_read",
+    "shuffleBytesWrite": "shuffle_bytes_written",
+    "shuffleRecordWrite": "shuffle_record_write",
+    "writeTime": "write_time",
+}
+EXECUTOR_JSON = {
+    "executorId": "executor_id",
+    "stageId": "stage_id",
+    "totalCores": "total_cores",
+    "tasksActive": "tasks_active",
+    "tasksFailed": "tasks_failed",
+    "tasksComplete": "tasks_complete",
+    "duration": "duration",
+    "jvmGCTime": "jvm_gc_time",
+    "resultSize": "result_size",
+    "isAlive": "is_alive",
+    "executorLogs": "executor_logs",
+    "addedTime": "added_time",
+    "removedTime": "removed_time",
+    "executorCpuTime": "executor_cpu_time",
+    "executorRuntime": "executor_run_time",
+    "ioMetrics": IO_JSON,
+    "shuffleMetrics": SHUFFLE_JSON,
+    "storageMetrics": {
+        "addTime": "storage_add_time",
+        "removeTime": "storage_remove_time",
+        "maxMem": "max_mem",
+        "isAlive": "storage_is_alive",
+        "memUsed": "mem_used",
+        "diskUsed": "disk_used",
+    },
+}
+TASK_JSON = {
+    "taskId": "task_id",
+    "isAlive": "is_alive",
+    "startTime": "start_time",
+    "endTime": "end_time",
+    "duration": "duration",
+    "executorCpuTime": "executor_cpu_time",
+    "executorRuntime": "executor_run_time",
+    "jvmGCTime": "jvm_gc_time",
+    "resultSize": "result_size",
+    "failed": "failed",
+    "killed": "killed",
+    "failedReason": "failed_reason",
+    "traceStack": "trace_stack",
+    "ioMetrics": IO_JSON,
+    "shuffleMetrics": SHUFFLE_JSON,
+}
 
 # The derivation rules of the metrics.
 METRIC_RULES = {
@@ -271,14 +389,14 @@ CTES = {
       LEFT JOIN active a USING (log_id, executor_id)
       LEFT JOIN in_use u USING (log_id, executor_id)""",
     "task_points": f"""SELECT log_id, executor_id, position, end_time AS time,
-      {", ".join(f'{SERIES[s].replace(" div ", "//")} AS "{s}"' for s in TASK_SERIES)}
+      {", ".join(f'{SERIES[s]} AS "{s}"' for s in TASK_SERIES)}
     FROM listed""",
     "sample_points": f"""SELECT log_id, executor_id, position, time,
-      {", ".join(f'{SERIES[s].replace(" div ", "//")} AS "{s}"' for s in STORAGE_SERIES)}
+      {", ".join(f'{SERIES[s]} AS "{s}"' for s in STORAGE_SERIES)}
     FROM samples""",
     "app_points": f"""SELECT log_id, executor_id, row_number() OVER (PARTITION BY log_id
         ORDER BY removed_time, first_seen) - 1 AS position,
-      {", ".join(f'{e.replace(" div ", "//")} AS "{s}"' for s, e in SERIES.items())}
+      {", ".join(f'{e} AS "{s}"' for s, e in SERIES.items())}
     FROM summary""",
     "env": """SELECT log_id, 'jvm' AS scope, 3 AS r, 'Java Version' AS name, '17' AS value FROM span
     UNION ALL SELECT log_id, 'spark', 2, 'spark.app.k', CAST(app AS VARCHAR) FROM span
@@ -520,10 +638,10 @@ ORACLES = {
         )
     ),
     "executor_json": sql(
-        f"SELECT app_id, log_id, executor_id, {_json(EXECUTOR_FIELDS)} AS json FROM summary"
+        f"SELECT app_id, log_id, executor_id, {_json(EXECUTOR_JSON)} AS json FROM summary"
     ),
     "task_json": sql(
-        f"SELECT log_id AS app_id, log_id, executor_id, task_id, {_json(TASK_FIELDS)} AS json "
+        f"SELECT log_id AS app_id, log_id, executor_id, task_id, {_json(TASK_JSON)} AS json "
         "FROM listed"
     ),
     "storage_json": sql(
