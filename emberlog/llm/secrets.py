@@ -75,22 +75,21 @@ _HEX_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 def may_match(data: np.ndarray, text_start: np.ndarray) -> np.ndarray:
     """Texts that can hold a base span; the others are not searched."""
     raw = data.tobytes()
+    low = raw.lower()
     at: list[int] = []
-    for needle, hay in [(k, raw.lower()) for k in KEYWORDS] + [(b"AKIA", raw)]:
+    for needle, hay in [(k, low) for k in KEYWORDS] + [(b"AKIA", raw)]:
         i = hay.find(needle)
         while i >= 0:
             at.append(i)
             i = hay.find(needle, i + 1)
     inside = np.concatenate([[False], _HEX_BYTE[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    long = edges[::2][edges[1::2] - edges[::2] >= LEAST_HEX]
-    texts = np.searchsorted(text_start, np.concatenate([np.array(at, np.int64), long]), side="right")
+    long = edges[1::2] - edges[::2] >= LEAST_HEX
     out = np.zeros(len(text_start) - 1, bool)
-    out[texts - 1] = True
-    # A run of hex digits over a text's end starts in the text before.
-    for i, j in zip(edges[::2], edges[1::2], strict=True):
-        if j - i >= LEAST_HEX:
-            out[np.searchsorted(text_start, i, side="right") - 1 : np.searchsorted(text_start, j)] = True
+    out[np.searchsorted(text_start, np.array(at, np.int64), side="right") - 1] = True
+    # A run of hex digits may go on over a text's end.
+    for i, j in zip(edges[::2][long], edges[1::2][long], strict=True):
+        out[np.searchsorted(text_start, i, side="right") - 1 : np.searchsorted(text_start, j)] = True
     return out
 
 
