@@ -2,10 +2,42 @@
 
 from collections import defaultdict
 
-from emberlog.functions.reasons import FAILED_REASONS
-from emberlog.sources.schema import LOGGED_METRICS, METRIC_COLUMNS
 from emberlog.sources.schema import EVENT_PREFIX
 
+# Fixed values, stated here again so that a wrong entry in the package shows.
+FAILED_REASONS = (
+    "Resubmitted",
+    "ExceptionFailure",
+    "ExecutorLostFailure",
+    "FetchFailed",
+    "TaskCommitDenied",
+)
+LOGGED_METRICS = {
+    "executor_cpu_time": "`Executor CPU Time`",
+    "executor_run_time": "`Executor Run Time`",
+    "jvm_gc_time": "`JVM GC Time`",
+    "result_size": "`Result Size`",
+    "disk_bytes_spilled": "`Disk Bytes Spilled`",
+    "memory_bytes_spilled": "`Memory Bytes Spilled`",
+    "result_serialization_time": "`Result Serialization Time`",
+    "executor_deserialize_time": "`Executor Deserialize Time`",
+    "input_bytes": "`Input Metrics`.`Bytes Read`",
+    "input_records": "`Input Metrics`.`Records Read`",
+    "output_bytes": "`Output Metrics`.`Bytes Written`",
+    "output_records": "`Output Metrics`.`Records Written`",
+    "shuffle_wait": "`Shuffle Read Metrics`.`Fetch Wait Time`",
+    "remote_blocks_fetched": "`Shuffle Read Metrics`.`Remote Blocks Fetched`",
+    "local_blocks_fetched": "`Shuffle Read Metrics`.`Local Blocks Fetched`",
+    "remote_bytes_read": "`Shuffle Read Metrics`.`Remote Bytes Read`",
+    "local_bytes_read": "`Shuffle Read Metrics`.`Local Bytes Read`",
+    "records_read": "`Shuffle Read Metrics`.`Total Records Read`",
+    "shuffle_bytes_written": "`Shuffle Write Metrics`.`Shuffle Bytes Written`",
+    "shuffle_records_written": "`Shuffle Write Metrics`.`Shuffle Records Written`",
+    "write_time": "`Shuffle Write Metrics`.`Shuffle Write Time`",
+}
+# Beside the logged ones: two sums, and one that is never filled.
+METRIC_COLUMNS = [*LOGGED_METRICS, "total_blocks_fetched", "total_bytes_read", "shuffle_record_write"]
+
 
 def dig(event, path):
     for key in path.strip("`").split("`.`"):
