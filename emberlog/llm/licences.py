@@ -116,10 +116,10 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(F.broadcast(templates), "bigram")
         .where((F.col("size") >= fewest) & (F.col("size") <= most))
         .groupBy("doc_id", "tid", "number", "size", "template", "licence", "t_size")
-        .agg(F.count("*").alias("both"))
+        # Distinct, since rows that repeat bring their bigrams again.
+        .agg(F.countDistinct("bigram").alias("both"))
     )
-    # Repeated rows count their bigrams together: as often as the passage is there.
-    dice = 2 * F.least(F.col("both"), F.col("t_size")) / (F.col("size") + F.col("t_size"))
+    dice = 2 * F.col("both") / (F.col("size") + F.col("t_size"))
     return (
         common.withColumn("dice", dice)
         .where(F.col("dice") >= threshold)
