@@ -6,25 +6,31 @@ ASCII letters and digits only. A passage carries the licence of the template tha
 agrees with best, if their Dice coefficient 2 |A and B| / (|A| + |B|) over distinct
 word bigrams is at least ``THRESHOLD``.
 
+What lines and paragraphs leave is one row of words, in which ranges of words are
+passages too: notices with other words on their line, and texts of several paragraphs.
+Every bigram that a template holds once tells, wherever it stands in the text, where
+the template would start and end; ranges run from any such start to any such end. Of
+ranges that overlap the best counts. Inside a line or paragraph with a licence, ranges
+count that carry another one.
+
 A passage that agrees with a template holds most of its bigrams, so it holds one of a
-few words; texts and passages without any of them are left at once. Dice also bounds
-the sizes: a template of b bigrams can only agree with passages of
-b t / (2 - t) to b (2 - t) / t bigrams. Passages outside all bounds are not cut into
-bigrams, and a bigram meets only the templates whose bounds hold its passage. The
-bigrams of the fixed list of templates are broadcast; a passage's common bigrams are
-counted where it stands and combined by its document and number.
-
-All of it is DataFrame expressions. Defined results: a null text has no passages;
-documents without a licence are returned with none; passages of fewer than two
-words have no bigrams; repeated rows get equal answers; an empty table gives no
-rows. Only ``doc_id`` and ``text`` are read.
+few words; texts, lines and paragraphs without any of them are left at once. Dice also
+bounds the sizes: a template of b bigrams can only agree with passages that hold
+b t / (2 - t) of them and b (2 - t) / t bigrams at most. Lines and paragraphs meet
+the templates whose bounds hold them; starts are tried for the templates of which the
+text holds enough bigrams, where the longest range from there does.
+
+All of it is DataFrame expressions on the row the text is in; nothing is shuffled.
+Defined results: a null text has no passages; documents without a licence are returned
+with none; passages of fewer than two words have no bigrams; repeated rows get equal
+answers; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.licence_texts import TEMPLATES
 
 THRESHOLD = 0.8
+# A word of no template.
+FOREIGN = "foundbefore"
 
 
 def _normal(text: str) -> list[str]:
@@ -54,6 +62,7 @@ def bounds(size: Column | int, threshold: float = THRESHOLD) -> tuple:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+@cache
 def key_words(threshold: float = THRESHOLD) -> list[str]:
     """Words of which every passage that agrees with some template holds at least one.
 
@@ -74,82 +83,223 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
     return sorted(keys)
 
 
-def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, tid, number, bigrams, size) of the passages within some template's bounds."""
-    sizes = [n for _, _, n, _ in template_bigrams()]
-    fewest, most = bounds(min(sizes), threshold)[0], bounds(max(sizes), threshold)[1]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    blocks = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
-    words = key_words(threshold)
-    held = lambda t: reduce(or_, [t.contains(w) for w in words])
-    small = F.filter(F.concat(lines, blocks), lambda p: held(F.lower(p)))
-    # explode() of the one lower-cased text keeps it from being made again per word.
-    texts = docs.select("doc_id", "text", F.explode(F.array(F.lower(text))).alias("low"))
-    rows = texts.where(held(F.col("low"))).select(
-        F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("tid"), F.posexplode(small).alias("number", "passage")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(plain, "[^a-z0-9]+"), "")
+
+
+def _pairs(text: Column) -> Column:
+    """The bigrams of a text in order."""
+    return _let(
+        _words(text),
+        lambda words: F.array_compact(
+            F.zip_with(
+                words,
+                F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
+                lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)),
+            )
+        ),
     )
-    plain = F.translate("passage", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = rows.select(
-        "doc_id", "tid", "number", F.array_remove(F.split(plain, "[^a-z0-9]+"), "").alias("words")
+
+
+def _templates(threshold: float) -> Column:
+    """The templates: licence, bounds, bigrams in order, distinct ones, and those that occur once."""
+    rows = []
+    for licence, text in TEMPLATES:
+        words = _normal(text)
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        distinct = sorted(set(pairs))
+        once = [pair for pair in pairs if pairs.count(pair) == 1]
+        fewest, most = bounds(len(distinct), threshold)
+        values = {"licence": licence, "t_size": len(distinct), "fewest": fewest, "most": most}
+        lists = {"ordered": pairs, "distinct": distinct, "once": once}
+        rows.append(
+            F.struct(
+                *[F.lit(v).alias(k) for k, v in values.items()],
+                *[F.split(F.lit(",".join(v)), ",").alias(k) for k, v in lists.items()],
+            )
+        )
+    return F.array(*rows)
+
+
+def _dice(distinct: Column, t: Column) -> Column:
+    both = F.size(F.array_intersect(distinct, t["distinct"]))
+    return 2 * both / (F.size(distinct) + t["t_size"])
+
+
+def _agreed(passage: Column, threshold: float) -> Column:
+    """(dice, licence) of the template a line or paragraph agrees with best, or null."""
+    inside = lambda bigrams: lambda t: (
+        (F.size(bigrams) >= t["fewest"]) & (F.size(bigrams) <= t["most"])
     )
-    # zip_with keeps the cut words out of a lambda, where they would be cut again per pair.
-    pairs = F.zip_with(
-        F.col("words"),
-        F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))),
-        lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)),
+    best = lambda bigrams: F.array_max(
+        F.transform(
+            F.filter(_templates(threshold), inside(bigrams)),
+            lambda t: F.struct(_dice(bigrams, t).alias("dice"), t["licence"].alias("licence")),
+        )
     )
-    rows = rows.where(F.size("words") - 1 >= fewest).withColumn("bigrams", F.array_distinct(F.array_compact(pairs)))
-    return rows.withColumn("size", F.size("bigrams")).where((F.col("size") >= fewest) & (F.col("size") <= most))
+    found = _let(F.array_distinct(_pairs(passage)), best)
+    return F.when(_held(F.lower(passage), threshold), _let(found, lambda x: F.when(x["dice"] >= threshold, x)))
 
 
-def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, tid, number, licence, dice): the best template of every passage that has one."""
-    spark = docs.sparkSession
-    templates = spark.createDataFrame(
-        template_bigrams(), "template INT, licence STRING, t_size INT, bigram STRING"
-    )
-    fewest, most = bounds(F.col("t_size"), threshold)
-    common = (
-        passages(docs, threshold)
-        .select("doc_id", "tid", "number", "size", F.explode("bigrams").alias("bigram"))
-        .join(F.broadcast(templates), "bigram")
-        .where((F.col("size") >= fewest) & (F.col("size") <= most))
-        .groupBy("doc_id", "tid", "number", "size", "template", "licence", "t_size")
-        # Distinct, since rows that repeat bring their bigrams again.
-        .agg(F.countDistinct("bigram").alias("both"))
+def _held(low: Column, threshold: float) -> Column:
+    return reduce(or_, [low.contains(w) for w in key_words(threshold)])
+
+
+def _best_end(window: Column, start: Column, t: Column, threshold: float) -> Column:
+    """The best range that starts with ``window``, or null."""
+    ends = F.array_distinct(
+        F.array_compact(
+            F.transform(
+                window,
+                lambda pair, i: F.when(
+                    F.array_contains(t["once"], pair),
+                    F.least(i + 1 - F.array_position(t["ordered"], pair) + F.size(t["ordered"]), F.size(window)),
+                ).cast("int"),
+            )
+        )
     )
-    dice = 2 * F.col("both") / (F.col("size") + F.col("t_size"))
-    return (
-        common.withColumn("dice", dice)
-        .where(F.col("dice") >= threshold)
-        .groupBy("doc_id", "tid", "number")
-        .agg(F.max(F.struct("dice", "licence")).alias("best"))
-        .select("doc_id", "tid", "number", "best.licence", "best.dice")
+    ranges = F.transform(
+        F.filter(ends, lambda m: m >= t["fewest"]),
+        lambda m: F.struct(
+            _dice(F.array_distinct(F.slice(window, F.lit(1), m)), t).alias("dice"),
+            t["licence"].alias("licence"),
+            start.alias("first"),
+            (start + m).alias("last"),
+        ),
     )
+    return _let(F.array_max(ranges), lambda best: F.when(best["dice"] >= threshold, best))
 
 
-def licensed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: its licences by name, passages with one, and the best coefficient."""
-    found = (
-        matches(docs, threshold)
-        .groupBy(F.col("doc_id").alias("f_id"), F.col("tid").alias("f_tid"))
-        .agg(
-            F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
-            F.count("*").alias("n_passages"),
-            F.max("dice").alias("best_dice"),
+def _ranges(rest: Column, threshold: float) -> Column:
+    """(dice, licence, first, last) of the ranges of ``rest`` that agree and do not overlap."""
+    known = sorted({pair for *_, pair in template_bigrams()})
+
+    def of_template(pairs: Column, hits: Column, t: Column) -> Column:
+        once = F.filter(hits, lambda h: F.array_contains(t["once"], h["pair"]))
+        starts = F.array_distinct(
+            F.transform(once, lambda h: F.greatest(F.lit(0), h["i"] + 1 - F.array_position(t["ordered"], h["pair"])).cast("int"))
+        )
+        cut = lambda s: F.slice(pairs, s + 1, F.floor(t["most"]).cast("int"))
+        enough = lambda w: F.size(F.array_intersect(w, t["distinct"])) >= t["fewest"]
+        return F.array_compact(
+            F.transform(
+                starts,
+                lambda s: _let(cut(s), lambda w: F.when(enough(w), _best_end(w, s, t, threshold))),
+            )
+        )
+
+    def of_text(pairs: Column) -> Column:
+        hits = F.array_compact(
+            F.transform(pairs, lambda p, i: F.when(p.isin(known), F.struct(i.alias("i"), p.alias("pair"))))
+        )
+        return _let(
+            hits,
+            lambda hits: F.flatten(
+                F.transform(
+                    F.filter(
+                        _templates(threshold),
+                        lambda t: F.size(F.array_intersect(hits["pair"], t["distinct"])) >= t["fewest"],
+                    ),
+                    lambda t: of_template(pairs, hits, t),
+                )
+            ),
         )
+
+    found = F.sort_array(_let(_pairs(rest), of_text), asc=False)
+    clear = lambda chosen, x: ~F.exists(chosen, lambda c: (c["first"] < x["last"]) & (x["first"] < c["last"]))
+    none = "array<struct<dice:double,licence:string,first:int,last:int>>"
+    return _let(
+        found,
+        lambda found: F.aggregate(
+            found,
+            F.array().cast(none),
+            lambda chosen, x: F.when(clear(chosen, x), F.concat(chosen, F.array(x)).cast(none)).otherwise(chosen),
+        ),
     )
-    tid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("bigint"), tid.alias("tid"))
-    joined = rows.join(
-        found, (F.col("tid") == F.col("f_tid")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left"
+
+
+FOUND = "array<struct<dice:double,licence:string>>"
+
+
+def found(text: Column, threshold: float = THRESHOLD) -> Column:
+    """(dice, licence) of every passage of a text that agrees with a template."""
+    # Blocks between blank lines: their match if they have several lines, and the lines'.
+    judged = F.transform(
+        F.split(text, r"\n[ \t\r]*\n"),
+        lambda block: F.struct(
+            block.alias("text"),
+            F.when(block.contains("\n"), _agreed(block, threshold)).alias("whole"),
+            F.transform(
+                F.split(block, "\n"),
+                lambda line: F.struct(line.alias("line"), _agreed(line, threshold).alias("found")),
+            ).alias("lines"),
+        ),
     )
-    return joined.select(
+
+    def of_blocks(blocks: Column) -> Column:
+        named = F.concat(blocks["whole"], F.flatten(blocks["lines"])["found"])
+        # What a licence was found for is one foreign word to the ranges.
+        left = F.transform(
+            blocks,
+            lambda b: F.when(b["whole"].isNotNull(), F.lit(FOREIGN)).otherwise(
+                F.array_join(
+                    F.transform(
+                        b["lines"], lambda x: F.when(x["found"].isNotNull(), F.lit(FOREIGN)).otherwise(x["line"])
+                    ),
+                    "\n",
+                )
+            ),
+        )
+        # A named passage may hold other licences beside its own.
+        more = lambda text, own: F.struct(text.alias("text"), own["licence"].alias("own"))
+        named_texts = F.flatten(
+            F.transform(
+                blocks,
+                lambda b: F.when(
+                    b["whole"].isNotNull(),
+                    F.array(more(b["text"], F.array_compact(F.concat(F.array(b["whole"]), b["lines"]["found"])))),
+                ).otherwise(
+                    F.transform(
+                        F.filter(b["lines"], lambda x: x["found"].isNotNull()),
+                        lambda x: more(x["line"], F.array(x["found"])),
+                    )
+                ),
+            )
+        )
+        rest = F.struct(F.array_join(left, "\n").alias("text"), F.array().cast("array<string>").alias("own"))
+        ranges = F.flatten(
+            F.transform(
+                F.concat(F.array(rest), named_texts),
+                lambda x: F.transform(
+                    F.filter(_ranges(x["text"], threshold), lambda r: ~F.array_contains(x["own"], r["licence"])),
+                    lambda r: F.struct(r["dice"].alias("dice"), r["licence"].alias("licence")),
+                ),
+            )
+        )
+        return F.concat(F.array_compact(named).cast(FOUND), ranges.cast(FOUND))
+
+    return _let(judged, of_blocks)
+
+
+def licensed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: its licences by name, passages with one, and the best coefficient."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # explode() of the one lower-cased text keeps it from being made again per word,
+    # and of the one list of matches from being made again per column.
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.explode(F.array(F.lower(text))).alias("low"))
+    matches = F.when(_held(F.col("low"), threshold), found(F.col("text"), threshold))
+    rows = rows.select("doc_id", F.explode(F.array(F.coalesce(matches, F.array().cast(FOUND)))).alias("found"))
+    return rows.select(
         "doc_id",
-        F.coalesce("licences", F.lit("")).alias("licences"),
-        F.coalesce("n_passages", F.lit(0)).cast("bigint").alias("n_passages"),
-        F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("found.licence"))), ",").alias("licences"),
+        F.size("found").cast("bigint").alias("n_passages"),
+        F.coalesce(F.array_max(F.col("found.dice")), F.lit(0.0)).alias("best_dice"),
     )
 
 

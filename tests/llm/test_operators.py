@@ -1,6 +1,7 @@
 """Every operator on odd documents, beside its brute-force version; and on an empty table."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,46 @@ def test_licences(docs, none, spark):
     assert licences.licensed(none).count() == 0
 
 
+MIT_FILE = "MIT License\n\nCopyright (c) 2020 Foo Inc.\n\n" + "\n\n".join(
+    part.strip() for part in re.split(r"(?=The above copyright notice)|(?=THE\sSOFTWARE IS PROVIDED)", licences.TEMPLATES[0][1])
+)
+GPL_FILE = """# foo is free software.
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+import foo
+"""
+
+
+def test_licences_inside_lines_and_over_paragraphs(spark):
+    mit_line = " ".join(licences.TEMPLATES[0][1].split())
+    say = "some other words that stand here and go on for a while"
+    texts = {
+        1: (MIT_FILE, "MIT"),
+        2: (GPL_FILE, "GPL-3.0"),
+        3: ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        4: ("Copyright 2020 Foo Inc. Released under the MIT License. All rights reserved.", "MIT"),
+        5: (f"{say} {mit_line} {say} Licensed under the Apache License, Version 2.0. {say}", "Apache-2.0,MIT"),
+        6: (f"{say} {mit_line.replace('without limitation', 'but never at all in any way only')} {say}", "MIT"),
+        7: (f"{say} the license of software {say}", ""),
+        8: ("the software " * 3000, ""),
+    }
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    got = licences.licensed(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: want for i, (_, want) in texts.items()}
+    assert {r.doc_id: r.n_passages for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 1, 7: 0, 8: 0}
+
+
 def test_quality_sites(docs, none, labels, spark):
     got = quality.scored(docs, labels, F.col("source"), F.col("lang")).collect()
     assert len(got) == len(ROWS)
