@@ -36,21 +36,28 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.licence_texts import TEMPLATES
+from emberlog.llm.licence_texts import FURTHER, TEMPLATES
 
 THRESHOLD = 0.8
+ALL = TEMPLATES + FURTHER
 # A word of no template.
 FOREIGN = "foundbefore"
+# Words that most English texts hold, so they are poor key words.
+COMMON = frozenset(
+    "above action after change future including other product project provided public purpose rights "
+    "share should source special state style terms their there these those under unless which whether "
+    "without works would wrote".split()
+)
 
 
 def _normal(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def template_bigrams() -> list[tuple[int, str, int, str]]:
+def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, int, str]]:
     """(template, licence, number of bigrams, bigram)."""
     rows = []
-    for i, (licence, text) in enumerate(TEMPLATES):
+    for i, (licence, text) in enumerate(templates):
         words = _normal(text)
         pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
         rows += [(i, licence, len(pairs), pair) for pair in pairs]
@@ -68,17 +75,18 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
 
     Such a passage holds b t / (2 - t) of a template's b bigrams at least. So once the
     bigrams without a key word are fewer, one with a key word is among those held.
-    Words of five letters or more are taken, those that leave the fewest bigrams first.
+    Words of five letters or more that are not ``COMMON`` are taken, those that leave the
+    fewest bigrams first.
     """
     keys: set[str] = set()
-    for _, text in sorted(TEMPLATES, key=lambda t: len(t[1])):
+    for _, text in sorted(ALL, key=lambda t: len(t[1])):
         words = _normal(text)
         left = set(zip(words, words[1:], strict=False))
         needed = bounds(len(left), threshold)[0]
         left = {pair for pair in left if not keys & set(pair)}
         while len(left) >= needed:
             weight = Counter(w for pair in left for w in set(pair))
-            keys.add(max(weight, key=lambda w: (len(w) >= 5, weight[w], w)))
+            keys.add(max(weight, key=lambda w: (len(w) >= 5 and w not in COMMON, weight[w], w)))
             left = {pair for pair in left if not keys & set(pair)}
     return sorted(keys)
 
@@ -110,7 +118,7 @@ def _pairs(text: Column) -> Column:
 def _templates(threshold: float) -> Column:
     """The templates: licence, bounds, bigrams in order, distinct ones, and those that occur once."""
     rows = []
-    for licence, text in TEMPLATES:
+    for licence, text in ALL:
         words = _normal(text)
         pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
         distinct = sorted(set(pairs))
@@ -178,7 +186,7 @@ def _best_end(window: Column, start: Column, t: Column, threshold: float) -> Col
 
 def _ranges(rest: Column, threshold: float) -> Column:
     """(dice, licence, first, last) of the ranges of ``rest`` that agree and do not overlap."""
-    known = sorted({pair for *_, pair in template_bigrams()})
+    known = sorted({pair for *_, pair in template_bigrams(ALL)})
 
     def of_template(pairs: Column, hits: Column, t: Column) -> Column:
         once = F.filter(hits, lambda h: F.array_contains(t["once"], h["pair"]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberlog.llm import (
-    components, decontaminate, jaccard, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles,
+    components, decontaminate, jaccard, licence_texts, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles,
 )
 from emberlog.llm.words import ALNUM_LOWER, SPACED, window_hash, words_of
 from tests.llm import brute
@@ -162,6 +162,30 @@ def test_licences_inside_lines_and_over_paragraphs(spark):
     assert {r.doc_id: r.n_passages for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 1, 7: 0, 8: 0}
 
 
+def test_licences_without_a_notice_of_their_own(spark):
+    part = {name: getattr(licence_texts, name).strip() for name in ("BSD_CONDITIONS", "BSD_NAMES", "BSD_WARRANTY")}
+    lesser = GPL_FILE.replace("GNU General", "GNU Lesser General")
+    texts = {
+        1: ("Copyright (c) 2020, Foo\nAll rights reserved.\n\n" + "\n\n".join(part.values()), "BSD-3-Clause"),
+        2: (part["BSD_CONDITIONS"].replace(" 2. ", "\n\n2. ") + "\n\n" + part["BSD_WARRANTY"], "BSD-2-Clause"),
+        3: ("\n\n".join(p.strip() for p in re.split(r"(?=In jur|We make|THE SOFTWARE IS)", licence_texts.UNLICENSE)), "Unlicense"),
+        4: (f"Statement of Purpose\n\n{licence_texts.CC0_WAIVER}\n3. Public License Fallback.", "CC0-1.0"),
+        5: (lesser, "LGPL-3.0"),
+        6: (GPL_FILE.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+        7: (GPL_FILE.replace("version 3", "version 2"), "GPL-2.0"),
+        8: (lesser.replace("program", "library").replace("version 3", "version 2.1"), "LGPL-2.1"),
+        9: (GPL_FILE, "GPL-3.0"),
+    }
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    got = licences.licensed(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: want for i, (_, want) in texts.items()}
+    # A text that agrees with a template shares a bigram with it that the template holds once.
+    for t in licences.ALL:
+        words = licences._normal(t[1])
+        seen = Counter(zip(words, words[1:], strict=False))
+        assert sum(n > 1 for n in seen.values()) < licences.bounds(len(seen))[0]
+
+
 def test_quality_sites(docs, none, labels, spark):
     got = quality.scored(docs, labels, F.col("source"), F.col("lang")).collect()
     assert len(got) == len(ROWS)
