@@ -314,6 +314,29 @@ def test_cutoffs_hold(spark):
     assert {(r.kept, r.good) for r in judged.selectExpr("kept", "doc_id < 3000 AS good").distinct().collect()} == {(True, True), (False, False)}
 
 
+def test_joint_cutoffs_hold_on_small_strata(spark):
+    docs, labels = [], []
+    for lang, n in (("en", 300), ("de", 300), ("fr", 230), ("xx", 100)):
+        for i in range(n + 30):
+            mark = "###" if i >= n else ""
+            docs.append((len(docs), " ".join(f"w{i}x{j}{mark}" for j in range(30)), lang))
+            labels.append((len(labels), int(i < n)))
+    docs = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING")
+    labels = spark.createDataFrame(labels, "doc_id BIGINT, quality INT")
+    steps = rules.vectors()
+    cuts = {r.stratum: r for r in rules.joint_cutoffs(rules.measured(docs), labels).collect()}
+    assert {s: r.n_vectors for s, r in cuts.items()} == {"en": len(steps), "de": len(steps), "fr": len(steps), "xx": 0}
+    assert cuts["xx"].cut_symbol_ratio is None and cuts["fr"].cut_symbol_ratio == 0.05
+    kept = rules.passing(docs, labels).groupBy("lang").count().collect()
+    assert dict(map(tuple, kept)) == {"en": 300, "de": 300, "fr": 230, "xx": 130}
+    # What all rules reject together is counted: 1 % by each of two rules is too much of 300.
+    bad = {3: "###", 6: "###", 9: "###", 12: "!!!", 15: "!!!", 18: "!!!"}
+    rows = [(i, " ".join(f"w{i}x{j}{bad.get(i, '')}" for j in range(30)), "en") for i in range(300)]
+    rows = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    one = rules.joint_cutoffs(rules.measured(rows), labels.where("quality = 1")).first()
+    assert one.n_vectors == 0 or rules.LADDERS["mark_ratio"][0] != one.cut_mark_ratio
+
+
 def test_token_files(docs, none, spark, tmp_path):
     known = [(i, t) for i, t in PAIRS if i != 904]
     want = brute.tokens(known, Tokenizer.from_file(TOKENIZER))
