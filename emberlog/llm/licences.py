@@ -29,7 +29,6 @@ answers; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import cache, reduce
 from operator import or_
 
@@ -44,7 +43,7 @@ ALL = TEMPLATES + FURTHER
 FOREIGN = "foundbefore"
 # Words that most English texts hold, so they are poor key words.
 COMMON = frozenset(
-    "above action after change future including other product project provided public purpose rights "
+    "above action after by change future including other product project provided public purpose rights "
     "share should source special state style terms their there these those under unless which whether "
     "without works would wrote".split()
 )
@@ -75,20 +74,24 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
 
     Such a passage holds b t / (2 - t) of a template's b bigrams at least. So once the
     bigrams without a key word are fewer, one with a key word is among those held.
-    Words of five letters or more that are not ``COMMON`` are taken, those that leave the
+    Words that are not ``COMMON``, of five letters or more, are taken first, those that leave the
     fewest bigrams first.
     """
-    keys: set[str] = set()
-    for _, text in sorted(ALL, key=lambda t: len(t[1])):
+    keys: list[str] = []
+    # A key word stands for all words that it is a part of.
+    free = lambda pairs: {p for p in pairs if not any(k in w for w in p for k in keys)}
+    sets = []
+    for _, text in ALL:
         words = _normal(text)
-        left = set(zip(words, words[1:], strict=False))
-        needed = bounds(len(left), threshold)[0]
-        left = {pair for pair in left if not keys & set(pair)}
-        while len(left) >= needed:
-            weight = Counter(w for pair in left for w in set(pair))
-            keys.add(max(weight, key=lambda w: (len(w) >= 5 and w not in COMMON, weight[w], w)))
-            left = {pair for pair in left if not keys & set(pair)}
-    return sorted(keys)
+        sets.append(set(zip(words, words[1:], strict=False)))
+    needed = [bounds(len(pairs), threshold)[0] for pairs in sets]
+    while True:
+        open_ = [left for pairs, n in zip(sets, needed, strict=True) if len(left := free(pairs)) >= n]
+        if not open_:
+            return sorted(k for k in keys if not any(o in k for o in keys if o != k))
+        words = {w for left in open_ for pair in left for w in pair}
+        gain = {w: sum(any(w in x for x in pair) for left in open_ for pair in left) for w in words}
+        keys.append(max(words, key=lambda w: (w not in COMMON, len(w) >= 5, gain[w], w)))
 
 
 def _let(value: Column, body) -> Column:
