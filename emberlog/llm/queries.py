@@ -1,7 +1,19 @@
 """The registered queries on training text, and the SQL of those that have one."""
 
 import corpus_pipeline
-from emberlog.llm import decontaminate, jaccard, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles
+from emberlog.llm import (
+    decontaminate,
+    jaccard,
+    licences,
+    mixing,
+    quality,
+    rules,
+    secrets,
+    sharding,
+    substrings,
+    tokenfiles,
+    tries,
+)
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -14,6 +26,7 @@ QUERIES = {
     "op8_token_files": tokenfiles.query,
     "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
+    "op12_conversation_trie": tries.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +36,5 @@ ORACLES = {
     "op7_quality_rules": rules.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_conversation_trie": tries.ORACLE,
 }
