@@ -2,10 +2,12 @@
 
 import corpus_pipeline
 from emberlog.llm import (
+    collocations,
     decontaminate,
     jaccard,
     licences,
     mixing,
+    personal,
     quality,
     rules,
     secrets,
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_token_files": tokenfiles.query,
     "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
+    "op11_personal_data": personal.query,
     "op12_conversation_trie": tries.query,
+    "op13_collocations": collocations.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +41,5 @@ ORACLES = {
     "op9_substring_dedup": substrings.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op12_conversation_trie": tries.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
