@@ -22,17 +22,6 @@ def _lifecycle_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def _first_seen(rows: DataFrame, task_firsts: DataFrame) -> DataFrame:
-    """Every executor and the place of the event that created it, in any family."""
-    creators = rows.where(F.col("event").isin("ExecutorAdded", "BlockManagerAdded"))
-    return (
-        creators.select(*EXECUTOR_KEY, "seq")
-        .unionByName(task_firsts)
-        .groupBy(*EXECUTOR_KEY)
-        .agg(F.min("seq").alias("first_seen"))
-    )
-
-
 def known_executors(events: DataFrame) -> DataFrame:
     """Distinct (log_id, executor_id) of every executor that some event created."""
     creators = _lifecycle_rows(events).where(F.col("event").isin("ExecutorAdded", "BlockManagerAdded"))
@@ -43,138 +32,157 @@ def known_executors(events: DataFrame) -> DataFrame:
     )
 
 
-def with_end(seen: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds the first application end after each executor was first seen.
+_ADDED, _REGISTERED = "event = 'ExecutorAdded'", "event = 'BlockManagerAdded'"
+_REMOVED, _UNREGISTERED = "event = 'ExecutorRemoved'", "event = 'BlockManagerRemoved'"
+# Facts of an executor: first or last place of some of its events, and what was said there.
+_FACTS = {
+    "added": ("max", _ADDED, "struct(time, total_cores, log_urls)"),
+    "manager": ("min", f"{_REGISTERED} AND time <> 0", "time"),
+    "registered": ("max", _REGISTERED, "max_mem"),
+    "storage_added": ("max", f"{_ADDED} OR {_REGISTERED}", "time"),
+    "removed": ("max", _REMOVED, "time"),
+    "unregistered": ("max", _UNREGISTERED, "time"),
+}
+
+
+def executor_facts(events: DataFrame) -> DataFrame:
+    """Per (log, executor): what its own events say; parts of a log merge (``merged_facts``).
 
-    A log holds one end, rarely more; a later one closes what came after the earlier.
+    ``created`` and ``first_registered`` are first places, ``removals`` all places of its
+    removals (an executor has one, rarely more); ``<fact>_seq`` and ``<fact>`` are a place
+    and the value there. Rules that need the whole log are left to ``lifecycle``.
     """
-    ends = (
-        events.where(F.col("family") == "application")
-        .where(F.col("event") == "ApplicationEnd")
-        .select("log_id", F.col("seq").alias("end_seq"), F.col("time").alias("end_time"))
+    return _lifecycle_rows(events).groupBy(*EXECUTOR_KEY).agg(
+        F.expr(f"min(seq) FILTER (WHERE {_ADDED} OR {_REGISTERED}) AS created"),
+        F.expr(f"min(seq) FILTER (WHERE {_REGISTERED}) AS first_registered"),
+        F.expr(f"collect_list(seq) FILTER (WHERE {_REMOVED}) AS removals"),
+        *[
+            F.expr(f"{sql} FILTER (WHERE {when}) AS {column}")
+            for name, (pick, when, value) in _FACTS.items()
+            for column, sql in ((f"{name}_seq", f"{pick}(seq)"), (name, f"{pick}_by({value}, seq)"))
+        ],
     )
-    later = F.col("end_seq") > F.col("first_seen")
-    return (
-        seen.join(ends, "log_id", "left")
-        .groupBy(*EXECUTOR_KEY, "first_seen")
-        .agg(
-            F.min(F.when(later, F.col("end_seq"))).alias("app_end_seq"),
-            F.min_by(F.when(later, F.col("end_time")), F.when(later, F.col("end_seq"))).alias("app_end_time"),
-        )
+
+
+def first_task_facts(firsts: DataFrame) -> DataFrame:
+    """(log, executor, seq) of first task events as facts: a task event creates its executor too."""
+    return firsts.select(*EXECUTOR_KEY, F.col("seq").alias("created"))
+
+
+def merged_facts(parts: DataFrame) -> DataFrame:
+    """The facts of whole logs from those of their parts, in any order."""
+    return parts.groupBy(*EXECUTOR_KEY).agg(
+        F.min("created").alias("created"),
+        F.min("first_registered").alias("first_registered"),
+        F.flatten(F.collect_list("removals")).alias("removals"),
+        *[
+            F.expr(f"{sql} AS {column}")
+            for name, (pick, _, _) in _FACTS.items()
+            for column, sql in (
+                (f"{name}_seq", f"{pick}({name}_seq)"),
+                (name, f"{pick}_by({name}, {name}_seq)"),
+            )
+        ],
     )
 
 
-def driver_starts(events: DataFrame, rows: DataFrame) -> DataFrame:
-    """The driver executor each application start with driver logs applies to.
+def application_facts(events: DataFrame) -> DataFrame:
+    """Per log: its last start with driver logs, and its ends; parts merge (``merged_applications``).
 
-    That is the first registered driver block manager, if it precedes the start.
+    A log holds one end, rarely more.
     """
-    starts = (
+    start = "event = 'ApplicationStart' AND log_urls IS NOT NULL"
+    return (
         events.where(F.col("family") == "application")
-        .where((F.col("event") == "ApplicationStart") & F.col("log_urls").isNotNull())
-        .groupBy("log_id")
-        .agg(
-            F.max("seq").alias("app_start_seq"),
-            F.max_by("time", "seq").alias("app_start_time"),
-            F.max_by("log_urls", "seq").alias("driver_logs"),
-        )
-    )
-    drivers = (
-        rows.where(F.col("event") == "BlockManagerAdded")
-        .where(F.col("executor_id").isin(list(DRIVER_IDS)))
         .groupBy("log_id")
         .agg(
-            F.min_by("executor_id", "seq").alias("executor_id"),
-            F.min("seq").alias("driver_seq"),
+            F.expr(f"max(seq) FILTER (WHERE {start}) AS app_start_seq"),
+            F.expr(f"max_by(struct(time, log_urls), seq) FILTER (WHERE {start}) AS app_start"),
+            F.expr("collect_list(struct(seq, time)) FILTER (WHERE event = 'ApplicationEnd') AS app_ends"),
         )
     )
-    return (
-        starts.join(drivers, "log_id")
-        .where(F.col("driver_seq") < F.col("app_start_seq"))
-        .drop("driver_seq")
+
+
+def merged_applications(parts: DataFrame) -> DataFrame:
+    """Application facts of whole logs from those of their parts, in any order."""
+    return parts.groupBy("log_id").agg(
+        F.max("app_start_seq").alias("app_start_seq"),
+        F.max_by("app_start", "app_start_seq").alias("app_start"),
+        F.flatten(F.collect_list("app_ends")).alias("app_ends"),
     )
 
 
-def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None) -> DataFrame:
-    """One row per (log, executor): added and removed times, flags, cores, log URLs.
+def lifecycle(facts: DataFrame, applications: DataFrame) -> DataFrame:
+    """One row per (log, executor) of ``merged_facts``, by the rules that need the whole log.
 
-    ``task_firsts`` is (log_id, executor_id, seq) of the first task event of each
-    executor, when the caller has it already.
+    A removal counts only behind the event that created its executor. Each application
+    end closes the executors open then: of an executor counts the first one after it was
+    created. An application start with driver logs applies to the first registered
+    driver, if that one precedes it.
     """
-    if task_firsts is None:
-        task_firsts = land(
-            task_events(events).groupBy(*EXECUTOR_KEY).agg(F.min("seq").alias("seq")),
-            "first_tasks",
-        )
-    rows = _lifecycle_rows(events)
-    seen = _first_seen(rows, task_firsts)
-    ended = with_end(seen, events)
-
-    added, registered = "event = 'ExecutorAdded'", "event = 'BlockManagerAdded'"
-    # A removal counts only once its executor is known.
-    removed = "(event = 'ExecutorRemoved' AND seq > first_seen)"
-    unregistered = "(event = 'BlockManagerRemoved' AND seq > first_seen)"
-    facts = (
-        rows.join(ended, EXECUTOR_KEY)
-        .groupBy(*EXECUTOR_KEY)
+    known = facts.where(F.col("created").isNotNull()).withColumnRenamed("created", "first_seen")
+    drivers = (
+        known.where(F.col("executor_id").isin(list(DRIVER_IDS)) & F.col("first_registered").isNotNull())
+        .groupBy("log_id")
         .agg(
-            *[
-                F.expr(f"{value} FILTER (WHERE {when}) AS {name}")
-                for name, value, when in [
-                    ("added_seq", "max(seq)", added),
-                    ("added", "max_by(time, seq)", added),
-                    ("info", "max_by(struct(total_cores, log_urls), seq)", added),
-                    ("manager_first", "min_by(time, seq)", f"{registered} AND time <> 0"),
-                    ("max_mem", "max_by(max_mem, seq)", registered),
-                    ("removed_seq", "max(seq)", removed),
-                    ("removed", "max_by(time, seq)", removed),
-                    ("removals_before_end", "count(seq)", f"{removed} AND seq < app_end_seq"),
-                    ("storage_added", "max_by(time, seq)", f"{added} OR {registered}"),
-                    ("storage_removed_seq", "max(seq)", f"{removed} OR {unregistered}"),
-                    ("storage_removed", "max_by(time, seq)", f"{removed} OR {unregistered}"),
-                    ("storage_alive_seq", "max(seq)", f"{registered} OR {unregistered}"),
-                    (
-                        "storage_alive",
-                        f"max_by({registered}, seq)",
-                        f"{registered} OR {unregistered}",
-                    ),
-                ]
-            ]
+            F.min_by("executor_id", "first_registered").alias("driver_id"),
+            F.min("first_registered").alias("driver_seq"),
         )
     )
 
     def at_end(at: str) -> str:
         """The application end closed it, after whatever happened at ``at``."""
-        return f"closed AND coalesce({at} < app_end_seq, true)"
+        return f"closed AND coalesce({at} < app_end.seq, true)"
 
     return (
-        ended.join(facts, EXECUTOR_KEY, "left")
-        .join(driver_starts(events, rows), EXECUTOR_KEY, "left")
+        known.join(applications, "log_id", "left")
+        .join(drivers, "log_id", "left")
+        .selectExpr(
+            "*",
+            "array_min(filter(app_ends, e -> e.seq > first_seen)) AS app_end",
+            "if(removed_seq > first_seen, removed_seq, null) AS gone_seq",
+            "if(unregistered_seq > first_seen, unregistered_seq, null) AS off_seq",
+            "coalesce(executor_id = driver_id AND driver_seq < app_start_seq "
+            f"AND app_start_seq > coalesce(added_seq, first_seen), false) AS by_start",
+        )
         .selectExpr(
             "*",
-            "coalesce(first_seen < app_end_seq AND coalesce(removals_before_end, 0) = 0, false) "
-            "AS closed",
-            "coalesce(app_start_seq > coalesce(added_seq, first_seen), false) AS by_start",
+            "greatest(gone_seq, off_seq) AS storage_gone_seq",
+            "greatest(registered_seq, off_seq) AS storage_alive_seq",
+            "coalesce(first_seen < app_end.seq AND "
+            "NOT exists(removals, r -> r > first_seen AND r < app_end.seq), false) AS closed",
         )
         .selectExpr(
             *EXECUTOR_KEY,
             "first_seen",
-            "coalesce(info.total_cores, 0) AS total_cores",
-            "NOT closed AND removed_seq IS NULL AS is_alive",
-            "coalesce(if(by_start, driver_logs, null), info.log_urls, "
+            "coalesce(added.total_cores, 0) AS total_cores",
+            "NOT closed AND gone_seq IS NULL AS is_alive",
+            "coalesce(if(by_start, app_start.log_urls, null), added.log_urls, "
             "cast(map() AS MAP<STRING,STRING>)) AS executor_logs",
-            "coalesce(if(by_start, app_start_time, null), added, manager_first, 0L) AS added_time",
-            f"coalesce(if({at_end('removed_seq')}, app_end_time, removed), 0L) AS removed_time",
+            "coalesce(if(by_start, app_start.time, null), added.time, manager, 0L) AS added_time",
+            f"coalesce(if({at_end('gone_seq')}, app_end.time, if(gone_seq IS NULL, null, removed)), 0L) AS removed_time",
             "coalesce(storage_added, 0L) AS storage_add_time",
-            f"coalesce(if({at_end('storage_removed_seq')}, app_end_time, storage_removed), 0L) "
-            "AS storage_remove_time",
-            "coalesce(max_mem, 0L) AS max_mem",
-            f"coalesce(if({at_end('storage_alive_seq')}, false, storage_alive), true) "
-            "AS storage_is_alive",
+            f"coalesce(if({at_end('storage_gone_seq')}, app_end.time, "
+            "CASE storage_gone_seq WHEN gone_seq THEN removed WHEN off_seq THEN unregistered END), 0L) AS storage_remove_time",
+            "coalesce(registered, 0L) AS max_mem",
+            f"if({at_end('storage_alive_seq')}, false, "
+            "storage_alive_seq IS NULL OR coalesce(storage_alive_seq = registered_seq, false)) AS storage_is_alive",
         )
     )
 
 
+def executor_lifecycle(events: DataFrame, task_firsts: DataFrame | None = None) -> DataFrame:
+    """One row per (log, executor): added and removed times, flags, cores, log URLs.
+
+    ``task_firsts`` is (log_id, executor_id, seq) of the first task event of each
+    executor, when the caller has it already.
+    """
+    if task_firsts is None:
+        task_firsts = task_events(events).groupBy(*EXECUTOR_KEY).agg(F.min("seq").alias("seq"))
+    parts = executor_facts(events).unionByName(first_task_facts(task_firsts), allowMissingColumns=True)
+    return lifecycle(land(merged_facts(parts), "executor_facts"), application_facts(events))
+
+
 def executors(events: DataFrame, bits: int | None = None) -> DataFrame:
     """Lifecycle, task totals and active tasks of every executor (no storage use).
 

@@ -73,7 +73,7 @@ def running_total(
 def lowest_running_sum(
     rows: DataFrame, keys: Sequence[str], place: str, step: str, bits: int | None = None
 ) -> DataFrame:
-    """Per ``keys``: ``total`` of ``step`` and ``lowest`` value its running sum takes."""
+    """Per ``keys``: ``first`` place, ``total`` of ``step``, ``lowest`` value its running sum takes."""
     part = [*keys, "_chunk"]
     inside = Window.partitionBy(*part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,10 +81,11 @@ def lowest_running_sum(
         rows.withColumn("_chunk", chunk_of(place, bits))
         .withColumn("_run", F.sum(step).over(inside))
         .groupBy(*part)
-        .agg(F.sum(step).alias("_total"), F.min("_run").alias("_low"))
+        .agg(F.min(place).alias("_first"), F.sum(step).alias("_total"), F.min("_run").alias("_low"))
         .withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
         .groupBy(*keys)
         .agg(
+            F.min("_first").alias("first"),
             F.sum("_total").alias("total"),
             F.min(F.col("_before") + F.col("_low")).alias("lowest"),
         )

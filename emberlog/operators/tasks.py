@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.reasons import failed_reason, outcome, trace_stack
@@ -97,20 +97,42 @@ def executor_totals(events: DataFrame, mergeable: bool = False) -> DataFrame:
     )
 
 
-def active_tasks(events: DataFrame, bits: int | None = None) -> DataFrame:
-    """Per executor: +1 on a start, -1 on an end but never below 0, at the log's end."""
+def active_parts(events: DataFrame, bits: int | None = None) -> DataFrame:
+    """Per executor: first place, total of its +1 and -1 steps and their lowest running sum.
+
+    Parts of a log that follow each other merge without their events: totals add up,
+    and the lowest sum is the lower of the first part's and the second's behind it.
+    """
     steps = task_events(events).select(
         *EXECUTOR_KEY,
         "seq",
         F.when(F.col("event") == "TaskStart", 1).otherwise(-1).cast("bigint").alias("step"),
     )
-    lows = lowest_running_sum(steps, EXECUTOR_KEY, "seq", "step", bits)
-    return lows.select(
-        *EXECUTOR_KEY,
-        (F.col("total") - F.least(F.lit(0), F.col("lowest"))).alias("tasks_active"),
+    return lowest_running_sum(steps, EXECUTOR_KEY, "seq", "step", bits)
+
+
+def active_of(parts: DataFrame) -> DataFrame:
+    """Active tasks of whole logs from ``active_parts`` of parts with places of their own each."""
+    earlier = Window.partitionBy(*EXECUTOR_KEY).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("total").over(earlier), F.lit(0))
+    return (
+        parts.withColumn("before", before)
+        .groupBy(*EXECUTOR_KEY)
+        .agg(F.sum("total").alias("total"), F.min(F.col("before") + F.col("lowest")).alias("lowest"))
+        .select(*EXECUTOR_KEY, clamped_total().alias("tasks_active"))
     )
 
 
+def clamped_total() -> Column:
+    """A count that was never let below 0, from its total and its lowest sum."""
+    return F.col("total") - F.least(F.lit(0), F.col("lowest"))
+
+
+def active_tasks(events: DataFrame, bits: int | None = None) -> DataFrame:
+    """Per executor: +1 on a start, -1 on an end but never below 0, at the log's end."""
+    return active_parts(events, bits).select(*EXECUTOR_KEY, clamped_total().alias("tasks_active"))
+
+
 def tasks(events: DataFrame) -> DataFrame:
     """One row per (log, task id): start, end, flags, texts and metric sums.
 
