@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.operators import applications as apps
+from emberlog.operators.tasks import EXECUTOR_KEY
 from emberlog.plans import charts, reports
 from emberlog.plans.charts import PAGE_POINTS
+from emberlog.sources import sinks
 from emberlog.sources.logs import (
     application_lines,
-    check_codecs,
     corrupt_lines,
     damaged_logs,
     of_application,
     parse_events,
     read_lines,
 )
-from emberlog.sources.tables import land_events, read_event_table, shared_folder
+from emberlog.sources.tables import Written, land_events, read_event_table, shared_folder
+from emberlog.streaming import folds
+from emberlog.streaming.ingest import LogTable
 
 
 class EventLogs:
@@ -27,18 +30,34 @@ class EventLogs:
     Every method is a function of the logs and returns a sorted DataFrame; calling
     one twice gives the same answer twice. The text is parsed once: at the first
     report into the session's shared folder, or by ``land`` to a place of one's own.
+    What reports share (executors, tasks, samples, ids) is written once, too. ``close``, or
+    the end of a ``with`` block, deletes what was written; answers are read before that.
     """
 
     def __init__(self, events: DataFrame, lines: DataFrame | None = None):
         self._parsed = events
         self._landed = None if lines is not None else events
         self._lines = lines
+        self._written = Written(events.sparkSession)
+
+    def __enter__(self) -> EventLogs:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the tables that reports have written."""
+        self._written.drop()
+        if self._lines is not None:
+            self._landed = None
 
     @property
     def events(self) -> DataFrame:
         """The event table every report reads; written on first use."""
         if self._landed is None:
-            self._landed = land_events(self._parsed, shared_folder(self._parsed.sparkSession, "events"))
+            with self._written:
+                self._landed = land_events(self._parsed, shared_folder(self._parsed.sparkSession, "events"))
         return self._landed
 
     @classmethod
@@ -54,7 +73,6 @@ class EventLogs:
         ``strict`` fails on a bad line before the last of a log; otherwise bad lines
         are left out, and ``corrupt_lines`` counts them.
         """
-        check_codecs(spark, paths)
         return cls._of_lines(read_lines(spark, paths), strict)
 
     @classmethod
@@ -79,62 +97,93 @@ class EventLogs:
         """Write the parsed events to ``path`` and go on from there."""
         return EventLogs(land_events(self._parsed if self._landed is None else self._landed, path))
 
+    @staticmethod
+    def follow(spark: SparkSession, folder: str) -> FollowedLogs:
+        """Logs that keep arriving, kept under ``folder``."""
+        return FollowedLogs(spark, folder)
+
     def of(self, app_id: str) -> EventLogs:
         """Only this application's logs."""
         return EventLogs(of_application(self.events, app_id))
 
     def applications(self) -> DataFrame:
-        return apps.applications(self.events).orderBy("log_id")
+        return self._report(apps.applications).orderBy("log_id")
 
     def executor_summary(self) -> DataFrame:
-        return reports.executor_summary(self.events).orderBy("log_id", "first_seen")
+        return self._report(reports.executor_summary).orderBy("log_id", "first_seen")
 
     def executor(self, executor_id: str) -> DataFrame:
-        return reports.executor_by_id(self.events, executor_id).orderBy("log_id")
+        return self._report(reports.executor_by_id, executor_id).orderBy("log_id")
 
     def executor_tasks(self) -> DataFrame:
-        return self._by_start(reports.executor_tasks(self.events))
+        return self._by_start(self._report(reports.executor_tasks))
 
     def task_list(self, executor_id: str) -> DataFrame:
-        return self._by_start(reports.tasks_by_executor(self.events, executor_id))
+        return self._by_start(self._report(reports.tasks_by_executor, executor_id))
 
     def executor_shuffle(self) -> DataFrame:
-        return self._by_start(reports.executor_shuffle(self.events))
+        return self._by_start(self._report(reports.executor_shuffle))
 
     def executor_io(self) -> DataFrame:
-        return self._by_start(reports.executor_io(self.events))
+        return self._by_start(self._report(reports.executor_io))
 
     def executor_storage(self) -> DataFrame:
-        return self._by_sample(reports.executor_storage(self.events))
+        return self._by_sample(self._report(reports.executor_storage))
 
     def storage_list(self, executor_id: str) -> DataFrame:
-        return self._by_sample(reports.storage_by_executor(self.events, executor_id))
+        return self._by_sample(self._report(reports.storage_by_executor, executor_id))
+
+    def block_managers(self) -> DataFrame:
+        """Every registration of a block manager, and how much memory it has."""
+        return self._report(reports.block_managers).orderBy("log_id", "executor_id", "incarnation")
+
+    def executor_json(self) -> DataFrame:
+        """The executors as JSON rows; so do the next three with their reports."""
+        return sinks.executor_json(self.executor_summary())
+
+    def task_json(self) -> DataFrame:
+        return sinks.task_json(self.executor_tasks())
+
+    def storage_json(self) -> DataFrame:
+        return sinks.storage_json(self.executor_storage())
+
+    def block_manager_json(self) -> DataFrame:
+        return sinks.block_manager_json(self._report(reports.current_block_managers))
 
     def executor_task_series(self, executor_id: str | None = None) -> DataFrame:
-        return self._by_position(reports.executor_task_series(self.events, executor_id))
+        return self._by_position(self._report(reports.executor_task_series, executor_id))
 
     def executor_storage_series(self, executor_id: str | None = None) -> DataFrame:
-        return self._by_position(reports.executor_storage_series(self.events, executor_id))
+        return self._by_position(self._report(reports.executor_storage_series, executor_id))
 
     def executor_charts(
         self, executor_id: str | None = None, time_zone: str = "UTC", points: int = PAGE_POINTS
     ) -> DataFrame:
         """Chart specifications, at most ``points`` points a row; longer series go on in pages."""
-        drawn = charts.executor_charts(self.events, executor_id, time_zone, points)
+        drawn = self._report(charts.executor_charts, executor_id, time_zone, points)
         return drawn.orderBy("log_id", "executor_id", "chart", "page")
 
     def application_series(self) -> DataFrame:
-        return reports.application_series(self.events).orderBy("log_id", "position")
+        return self._report(reports.application_series).orderBy("log_id", "position")
+
+    def application_series_long(self) -> DataFrame:
+        """The application series as (position, series, value) rows."""
+        return self._report(reports.application_series_long).orderBy("log_id", "position", "series")
 
     def application_charts(self, time_zone: str = "UTC", points: int = PAGE_POINTS) -> DataFrame:
         """As ``executor_charts``, over the executors of each application."""
-        drawn = charts.application_charts(self.events, time_zone, points)
+        drawn = self._report(charts.application_charts, time_zone, points)
         return drawn.orderBy("log_id", "chart", "page")
 
     def environment(self, merged: bool = True) -> DataFrame:
         if merged:
-            return reports.merged_environment(self.events).orderBy("log_id", "name")
-        return reports.environment(self.events).orderBy("log_id", "scope", "name")
+            return self._report(reports.merged_environment).orderBy("log_id", "name")
+        return self._report(reports.environment).orderBy("log_id", "scope", "name")
+
+    def _report(self, report: Callable[..., DataFrame], *args: object) -> DataFrame:
+        events = self.events
+        with self._written:
+            return report(events, *args)
 
     @staticmethod
     def _by_start(rows: DataFrame) -> DataFrame:
@@ -147,3 +196,34 @@ class EventLogs:
     @staticmethod
     def _by_position(rows: DataFrame) -> DataFrame:
         return rows.orderBy("log_id", "executor_id", "position")
+
+
+class FollowedLogs:
+    """Reports over logs that keep arriving; each ``advance`` reads what is new under ``path``.
+
+    Running logs are read on from where they stopped. Totals, executors and storage samples
+    are kept from batch to batch; ``logs`` gives every other report over what has arrived.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.table = LogTable(spark, folder)
+
+    def advance(self, path: str, files_per_trigger: int | None = None) -> FollowedLogs:
+        """Read on; with ``files_per_trigger`` finished files only, from any store Spark reads."""
+        table = self.table
+        kept = [folds.keep_totals(table), folds.keep_lifecycle(table), folds.keep_samples(table)]
+        table.follow(path, kept, files_per_trigger)
+        return self
+
+    def executor_totals(self) -> DataFrame:
+        return folds.current_totals(self.table).orderBy(*EXECUTOR_KEY)
+
+    def executors(self) -> DataFrame:
+        return folds.current_executors(self.table).orderBy("log_id", "first_seen")
+
+    def executor_storage(self) -> DataFrame:
+        return folds.current_samples(self.table).orderBy(*EXECUTOR_KEY, "seq", "copy")
+
+    @property
+    def logs(self) -> EventLogs:
+        return EventLogs(self.table.events())

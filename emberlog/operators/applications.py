@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.sources.logs import name_without_attempt
-from emberlog.sources.tables import land
+from emberlog.sources.tables import Written, land, reused
 
 # Scopes in the order in which they overwrite each other.
 SCOPES = {"system": "system_properties", "spark": "spark_properties", "jvm": "jvm_information"}
@@ -47,7 +47,9 @@ def with_app_id(report: DataFrame, events: DataFrame) -> DataFrame:
     size: it is broadcast only under the threshold, and the report is then not
     shuffled; beyond it AQE splits a hot log in the join.
     """
-    ids = land(application_ids(events).select("log_id", "app_id"), "application_ids")
+    ids = reused(events, "application_ids", lambda: application_ids(events).select("log_id", "app_id"))
+    if Written.owner() is None:
+        ids = land(ids, "application_ids")
     return report.join(ids, "log_id", "left").select(
         F.coalesce("app_id", name_without_attempt(F.col("log_id"))).alias("app_id"),
         *report.columns,

@@ -32,6 +32,12 @@ def known_executors(events: DataFrame) -> DataFrame:
     )
 
 
+def of_executor(events: DataFrame, executor_id: str) -> DataFrame:
+    """Events that one executor's row is made of: its own, the driver's and the application's."""
+    ids = sorted({executor_id, *DRIVER_IDS})
+    return events.where((F.col("family") == "application") | F.col("executor_id").isin(ids))
+
+
 _ADDED, _REGISTERED = "event = 'ExecutorAdded'", "event = 'BlockManagerAdded'"
 _REMOVED, _UNREGISTERED = "event = 'ExecutorRemoved'", "event = 'BlockManagerRemoved'"
 # Facts of an executor: first or last place of some of its events, and what was said there.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.reasons import failed_reason, outcome, trace_stack
 from emberlog.operators.running import lowest_running_sum
 from emberlog.sources.schema import LOGGED_METRICS, METRIC_COLUMNS
+from emberlog.sources.tables import land
 
 EXECUTOR_KEY = ["log_id", "executor_id"]
 TASK_KEY = ["log_id", "task_id"]
@@ -133,63 +134,118 @@ def active_tasks(events: DataFrame, bits: int | None = None) -> DataFrame:
     return active_parts(events, bits).select(*EXECUTOR_KEY, clamped_total().alias("tasks_active"))
 
 
-def tasks(events: DataFrame) -> DataFrame:
-    """One row per (log, task id): start, end, flags, texts and metric sums.
+def executor_key_of(executor_id: str = "executor_id") -> Column:
+    """A number for an executor's name, so that aggregation buffers stay of fixed width."""
+    return F.when(F.col(executor_id).isNotNull(), F.xxhash64(executor_id))
+
+
+def task_folds(events: DataFrame) -> DataFrame:
+    """One row per (log, task id): places, times, flags and metric sums, all of them numbers.
 
-    Starts and ends meet in one grouping, so a task with only one of them needs
-    no outer join. ``start_seq`` is NULL for a task that was never started; such
-    a task counts for its executor but is in no executor's task list.
+    Starts and ends meet in one grouping, so a task with only one of them needs no outer
+    join. Every buffer has a fixed width, so both phases are hash aggregations: names
+    are numbers here, and texts are known by the place of their event.
     """
     is_end = F.col("event") == "TaskEnd"
     seq = F.col("seq")
-    rows = (
+    failed = F.col("result") == "failed"
+    return (
         task_events(events)
         .withColumn("result", F.when(is_end, outcome()))
         .withColumn("start_seq", F.when(~is_end, seq))
         .withColumn("end_seq", F.when(is_finished(), seq))
         .withColumn("took", F.when(is_finished(), F.col("time") - F.col("launch_time")))
-        .withColumn("failed_reason", failed_reason())
-        .withColumn("trace_stack", trace_stack())
-    )
-    failed = F.col("result") == "failed"
-    no, zero = F.lit(False), F.lit(0).cast("bigint")
-    return (
-        rows.groupBy(*TASK_KEY)
+        .withColumn("by", executor_key_of())
+        .groupBy(*TASK_KEY)
         .agg(
-            F.min_by("executor_id", "start_seq").alias("starter"),
-            F.min_by("executor_id", "seq").alias("executor_id"),
+            F.min_by("by", "start_seq").alias("starter"),
+            F.min_by("by", "seq").alias("first_by"),
             F.min("start_seq").alias("start_seq"),
             F.count("result").alias("ends"),
             F.count("end_seq").alias("finished_ends"),
             F.max_by("launch_time", "start_seq").alias("start_time"),
             F.max_by("time", "end_seq").alias("end_time"),
             F.max_by("took", "end_seq").alias("duration"),
-            F.bool_or(failed).alias("failed"),
-            F.bool_or(F.col("result") == "killed").alias("killed"),
-            F.max_by("failed_reason", F.when(failed, seq)).alias("failed_reason"),
-            F.max_by("trace_stack", F.when(F.col("trace_stack").isNotNull(), seq)).alias(
-                "trace_stack"
-            ),
+            F.max(F.when(failed, seq)).alias("failed_seq"),
+            F.max(F.when(F.col("result") == "killed", seq)).alias("killed_seq"),
+            F.max(F.when(is_end & (F.col("end_reason.Reason") == "ExceptionFailure"), seq)).alias("trace_seq"),
             *metric_sums(),
         )
-        .select(
-            *TASK_KEY,
-            F.coalesce("starter", "executor_id").alias("executor_id"),
-            "start_seq",
-            (F.col("ends") == 0).alias("is_alive"),
-            F.coalesce("start_time", zero).alias("start_time"),
-            F.coalesce("end_time", zero).alias("end_time"),
-            F.coalesce("duration", zero).alias("duration"),
-            F.coalesce("failed", no).alias("failed"),
-            F.coalesce("killed", no).alias("killed"),
-            "failed_reason",
-            "trace_stack",
-            (F.col("ends") > F.col("finished_ends")).alias("no_finish_time"),
-            *metric_columns(),
+    )
+
+
+def _with_texts(folded: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds failure texts: only ends that did not succeed are read for them and shuffled."""
+    bad = task_events(events).where(F.col("event") == "TaskEnd").where(F.col("end_reason.Reason") != "Success")
+    for name, text, place in (
+        ("failed_reason", failed_reason(), "failed_seq"),
+        ("trace_stack", trace_stack(), "trace_seq"),
+    ):
+        told = bad.select(*TASK_KEY, F.col("seq").alias("at"), text.alias(name)).where(F.col(name).isNotNull())
+        # The place is the last one of its kind: nothing of the task lies behind it.
+        folded = folded.join(told, [*[folded[k] == told[k] for k in TASK_KEY], F.col("at") >= F.col(place)], "left").select(
+            *[folded[c] for c in folded.columns], name
         )
+    return folded
+
+
+def tasks(events: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per (log, task id): start, end, flags, texts and metric sums.
+
+    ``start_seq`` is NULL for a task that was never started; such a task counts for its
+    executor but is in no executor's task list. ``texts`` leaves failure texts out.
+    """
+    folded = task_folds(events)
+    if texts:
+        folded = _with_texts(folded, events)
+    # One row per executor, written, so Spark knows how small it is.
+    names = land(
+        task_events(events).where(F.col("executor_id").isNotNull())
+        .groupBy(*EXECUTOR_KEY).agg(F.first(executor_key_of()).alias("by")),
+        "task_executors",
+    ).withColumnRenamed("log_id", "of_log")
+    zero = F.lit(0).cast("bigint")
+    owner = F.coalesce("starter", "first_by")
+    return folded.join(names, (F.col("log_id") == F.col("of_log")) & (owner == F.col("by")), "left").select(
+        *TASK_KEY,
+        "executor_id",
+        "start_seq",
+        (F.col("ends") == 0).alias("is_alive"),
+        F.coalesce("start_time", zero).alias("start_time"),
+        F.coalesce("end_time", zero).alias("end_time"),
+        F.coalesce("duration", zero).alias("duration"),
+        F.col("failed_seq").isNotNull().alias("failed"),
+        F.col("killed_seq").isNotNull().alias("killed"),
+        *(["failed_reason", "trace_stack"] if texts else []),
+        (F.col("ends") > F.col("finished_ends")).alias("no_finish_time"),
+        *metric_columns(),
     )
 
 
-def listed_tasks(events: DataFrame) -> DataFrame:
-    """The tasks in their executors' task lists: those that were started."""
-    return tasks(events).where(F.col("start_seq").isNotNull())
+def events_of_tasks_started_by(events: DataFrame, executor_id: str) -> DataFrame:
+    """Task events of one executor, which the scan filters by, and what other executors said of its tasks.
+
+    The latter are looked for in four narrow columns; there are none in logs that Spark wrote.
+    """
+    own = task_events(events).where(F.col("executor_id") == executor_id)
+    started = land(own.where(F.col("event") == "TaskStart").select(*TASK_KEY).distinct(), "started_tasks")
+    others = land(
+        task_events(events)
+        .where(~F.col("executor_id").eqNullSafe(F.lit(executor_id)))
+        .select(*TASK_KEY, "seq")
+        .join(started, TASK_KEY, "left_semi"),
+        "events_elsewhere",
+    )
+    if others.isEmpty():
+        return own
+    return own.unionByName(task_events(events).join(others, [*TASK_KEY, "seq"], "left_semi"))
+
+
+def listed_tasks(
+    events: DataFrame, executor_id: str | None = None, texts: bool = True
+) -> DataFrame:
+    """The tasks in their executors' task lists (or in one's): those that were started."""
+    if executor_id is None:
+        return tasks(events, texts).where(F.col("start_seq").isNotNull())
+    rows = tasks(events_of_tasks_started_by(events, executor_id), texts)
+    return rows.where(F.col("start_seq").isNotNull() & (F.col("executor_id") == executor_id))

@@ -47,10 +47,13 @@ from emberlog.sources.schema import METRIC_COLUMNS
 from emberlog.sources.tables import land, land_events, read_event_table, shared_folder
 from emberlog.streaming.folds import (
     current_executors,
+    current_samples,
     current_totals,
-    ingest_with_samples,
-    ingest_with_totals,
+    keep_lifecycle,
+    keep_samples,
+    keep_totals,
 )
+from emberlog.streaming.ingest import LogTable
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -179,7 +182,7 @@ def executor_task_totals(spark, sf_dir):
 
 
 def task_metrics(spark, sf_dir):
-    return tasks(events_of(spark, sf_dir)).select("log_id", "task_id", *METRIC_COLUMNS)
+    return tasks(events_of(spark, sf_dir), texts=False).select("log_id", "task_id", *METRIC_COLUMNS)
 
 
 def task_lifecycle(spark, sf_dir):
@@ -341,53 +344,40 @@ def storage_json(spark, sf_dir):
 
 
 def block_manager_json(spark, sf_dir):
-    events = events_of(spark, sf_dir)
-    latest = (
-        block_managers(events)
-        .groupBy(*EXECUTOR_KEY)
-        .agg(F.max_by("add_time", "incarnation").alias("add_time"))
-    )
-    return sinks.block_manager_json(apps.with_app_id(latest, events))
+    return sinks.block_manager_json(reports.current_block_managers(events_of(spark, sf_dir)))
 
 
 # Streaming
 
 
-def _streamed_totals(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with tables ``events`` and ``totals``, both filled by streams."""
+def _streamed(spark: SparkSession, sf_dir: str) -> LogTable:
+    """Totals and lifecycle kept by a stream over finished files, four in a batch."""
 
     def write(path: str) -> None:
-        ingest_with_totals(
-            spark, log_folder(spark, sf_dir), f"{path}/events", f"{path}/totals", f"{path}/state", 4
-        )
+        table = LogTable(spark, path)
+        table.follow(log_folder(spark, sf_dir), [keep_totals(table), keep_lifecycle(table)], files_per_trigger=4)
 
-    return _once(spark, sf_dir, "streamed", write)
+    return LogTable(spark, _once(spark, sf_dir, "streamed", write))
 
 
 def streaming_executor_totals(spark, sf_dir):
-    path = _streamed_totals(spark, sf_dir)
-    return current_totals(spark, f"{path}/totals").drop("first_task_seq")
+    return current_totals(_streamed(spark, sf_dir)).drop("first_task_seq")
 
 
 def streaming_executors(spark, sf_dir):
-    path = _streamed_totals(spark, sf_dir)
-    rows = current_executors(spark, f"{path}/events", f"{path}/totals")
+    rows = current_executors(_streamed(spark, sf_dir))
     return rows.withColumn("executor_logs", F.to_json("executor_logs")).drop("first_seen")
 
 
 def streaming_storage_samples(spark, sf_dir):
+    """Samples kept by a stream, by state carried from batch to batch."""
+
     def write(path: str) -> None:
-        ingest_with_samples(
-            spark,
-            log_folder(spark, sf_dir),
-            f"{path}/events",
-            f"{path}/samples",
-            f"{path}/state",
-        )
+        table = LogTable(spark, path)
+        table.follow(log_folder(spark, sf_dir), [keep_samples(table)], files_per_trigger=12)
 
-    path = _once(spark, sf_dir, "streamed-samples", write)
-    rows = spark.read.parquet(f"{path}/samples")
-    return position(rows, EXECUTOR_KEY, ["seq", "copy"]).drop("seq", "copy")
+    rows = current_samples(LogTable(spark, _once(spark, sf_dir, "streamed-samples", write)))
+    return position(land(rows, "streamed_rows"), EXECUTOR_KEY, ["seq", "copy"]).drop("seq", "copy")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

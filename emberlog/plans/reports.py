@@ -16,13 +16,14 @@ from emberlog.functions.units import kilobytes, millis_of_nanos
 from emberlog.operators.applications import environment as environment_rows
 from emberlog.operators.applications import merged_environment as merged_rows
 from emberlog.operators.applications import with_app_id
-from emberlog.operators.executors import executors
+from emberlog.operators.executors import executors, of_executor
 from emberlog.operators.running import position, running_total
+from emberlog.operators.storage import block_managers as manager_rows
 from emberlog.operators.storage import block_updates, storage_in_use
 from emberlog.operators.storage import storage_samples as sample_rows
 from emberlog.operators.tasks import EXECUTOR_KEY, listed_tasks
 from emberlog.sources.schema import IO_COLUMNS, METRIC_COLUMNS, SHUFFLE_COLUMNS
-from emberlog.sources.tables import land
+from emberlog.sources.tables import Written, land, reused
 
 # The application series, in report order, and how each is computed.
 SERIES = {
@@ -109,58 +110,76 @@ def summary_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
     )
 
 
+def shared_summary(events: DataFrame, bits: int | None = None) -> DataFrame:
+    return reused(events, "executors", lambda: summary_rows(events, bits), bits)
+
+
+def shared_tasks(events: DataFrame, executor_id: str | None = None, texts: bool = True) -> DataFrame:
+    """``listed_tasks``; a written task table serves reports with texts and without."""
+    if executor_id is None and Written.owner() is not None:
+        return reused(events, "tasks", lambda: listed_tasks(events))
+    return listed_tasks(events, executor_id, texts)
+
+
 def executor_summary(events: DataFrame, bits: int | None = None) -> DataFrame:
     """One row per executor, all its figures."""
-    return with_app_id(summary_rows(events, bits), events)
+    return with_app_id(shared_summary(events, bits), events)
 
 
 def executor_by_id(events: DataFrame, executor_id: str, bits: int | None = None) -> DataFrame:
     """Summary of one executor (per application); no row if it never appeared."""
-    return executor_summary(events, bits).where(F.col("executor_id") == executor_id)
+    rows = summary_rows(of_executor(events, executor_id), bits)
+    return with_app_id(rows.where(F.col("executor_id") == executor_id), events)
 
 
-def executor_tasks(events: DataFrame) -> DataFrame:
-    """All started tasks with their metrics, by executor."""
-    rows = listed_tasks(events).select(*EXECUTOR_KEY, *TASK_COLUMNS, *METRIC_COLUMNS)
+def executor_tasks(events: DataFrame, executor_id: str | None = None) -> DataFrame:
+    """All started tasks with their metrics, by executor (or of one)."""
+    rows = shared_tasks(events, executor_id).select(*EXECUTOR_KEY, *TASK_COLUMNS, *METRIC_COLUMNS)
     return with_app_id(rows, events)
 
 
 def tasks_by_executor(events: DataFrame, executor_id: str) -> DataFrame:
     """Task list of one executor (per application)."""
-    return executor_tasks(events).where(F.col("executor_id") == executor_id)
+    return executor_tasks(events, executor_id)
 
 
 def executor_shuffle(events: DataFrame) -> DataFrame:
     """Shuffle metrics of every started task, by executor."""
-    rows = listed_tasks(events).select(*EXECUTOR_KEY, "task_id", "start_seq", *SHUFFLE_COLUMNS)
+    rows = shared_tasks(events, texts=False).select(
+        *EXECUTOR_KEY, "task_id", "start_seq", *SHUFFLE_COLUMNS
+    )
     return with_app_id(rows, events)
 
 
 def executor_io(events: DataFrame) -> DataFrame:
     """IO metrics of every started task, by executor."""
-    rows = listed_tasks(events).select(*EXECUTOR_KEY, "task_id", "start_seq", *IO_COLUMNS)
+    rows = shared_tasks(events, texts=False).select(*EXECUTOR_KEY, "task_id", "start_seq", *IO_COLUMNS)
     return with_app_id(rows, events)
 
 
 def executor_storage(events: DataFrame, bits: int | None = None) -> DataFrame:
     """Storage samples of every executor."""
-    return with_app_id(sample_rows(events, bits=bits), events)
+    return with_app_id(_samples(events, None, bits), events)
 
 
 def storage_by_executor(events: DataFrame, executor_id: str, bits: int | None = None) -> DataFrame:
     """Storage samples of one executor (per application)."""
-    return executor_storage(events, bits).where(F.col("executor_id") == executor_id)
+    return with_app_id(_samples(events, executor_id, bits), events)
 
 
-def _of_executor(rows: DataFrame, executor_id: str | None) -> DataFrame:
-    return rows if executor_id is None else rows.where(F.col("executor_id") == executor_id)
+def _samples(events: DataFrame, executor_id: str | None, bits: int | None) -> DataFrame:
+    """Storage samples; of one executor, only its own updates are read and folded."""
+    if executor_id is None:
+        return reused(events, "samples", lambda: sample_rows(events, bits=bits), bits)
+    own = events.where(F.col("executor_id") == executor_id)
+    return sample_rows(events, land(block_updates(own, bits), "block_updates"), bits)
 
 
 def task_series_rows(
     events: DataFrame, executor_id: str | None = None, bits: int | None = None
 ) -> DataFrame:
     """Per started task: position in its executor's list, end time and 11 series."""
-    points = _of_executor(listed_tasks(events), executor_id).select(
+    points = shared_tasks(events, executor_id, texts=False).select(
         *EXECUTOR_KEY, "start_seq", F.col("end_time").alias("time"), *series(*TASK_SERIES)
     )
     written = land(points, "task_series")
@@ -171,7 +190,7 @@ def storage_series_rows(
     events: DataFrame, executor_id: str | None = None, bits: int | None = None
 ) -> DataFrame:
     """Per storage sample: position in its executor's list, time and 2 series."""
-    points = _of_executor(sample_rows(events, bits=bits), executor_id).select(
+    points = _samples(events, executor_id, bits).select(
         *EXECUTOR_KEY, "seq", "copy", "time", *series(*STORAGE_SERIES)
     )
     written = land(points, "storage_series")
@@ -211,7 +230,7 @@ def removal_position(rows: DataFrame, bits: int | None = None) -> DataFrame:
 
 
 def application_series_rows(events: DataFrame, bits: int | None = None) -> DataFrame:
-    points = summary_rows(events, bits).select(
+    points = shared_summary(events, bits).select(
         *EXECUTOR_KEY, "first_seen", "removed_time", *series(*SERIES)
     )
     written = land(points, "application_series")
@@ -231,6 +250,17 @@ def application_series_long(events: DataFrame, bits: int | None = None) -> DataF
     )
 
 
+def block_managers(events: DataFrame, bits: int | None = None) -> DataFrame:
+    """Every registration of a block manager in order."""
+    return with_app_id(manager_rows(events, bits).drop("seq"), events)
+
+
+def current_block_managers(events: DataFrame, bits: int | None = None) -> DataFrame:
+    """The last registration of every executor's block manager: when it was added."""
+    latest = manager_rows(events, bits).groupBy(*EXECUTOR_KEY)
+    return with_app_id(latest.agg(F.max_by("add_time", "incarnation").alias("add_time")), events)
+
+
 def environment(events: DataFrame) -> DataFrame:
     """Properties of each application by scope."""
     return with_app_id(environment_rows(events).drop("scope_rank"), events)

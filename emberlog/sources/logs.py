@@ -23,14 +23,14 @@ from emberlog.sources.tables import land
 # monotonically_increasing_id() counts rows of one task in its low 33 bits.
 _ROW_BITS = (1 << 33) - 1
 # A rolled file's place: its number above these bits, the place in it below.
-_ROLL_BITS = 40
+ROLL_BITS = 40
 
 # Names in an event-log directory (public Spark format).
-_ROLLED_FOLDERS = ("eventlog_v2_", "log_id=")
-_ROLLED_FILE = r"^(?:events_|part-)(\d+)"
-_SUFFIXES = r"(\.(?:zstd|zst|lz4|lzf|snappy|gz))?(\.inprogress)?(\.compact)?$"
+ROLLED_FOLDERS = ("eventlog_v2_", "log_id=")
+ROLLED_FILE = r"^(?:events_|part-)(\d+)"
+SUFFIXES = r"(\.(?:zstd|zst|lz4|lzf|snappy|gz))?(\.inprogress)?(\.compact)?$"
 _UNREADABLE_CODECS = "*.{lz4,lzf,snappy,lz4.inprogress,lzf.inprogress,snappy.inprogress}"
-_UNREADABLE_NAME = r"\.(lz4|lzf|snappy)(\.inprogress)?$"
+UNREADABLE_NAME = r"\.(lz4|lzf|snappy)(\.inprogress)?$"
 _ATTEMPT = r"^(application_\d+_\d+)_\d+$"
 
 
@@ -63,7 +63,7 @@ def place_in_log(roll: Column) -> Column:
     start, length = F.col("file_block_start"), F.col("file_block_length")
     place = start + row
     overlaps = (start + length < F.col("file_size")) & (row >= length)
-    too_long = (roll > 0) & (place >= F.lit(1 << _ROLL_BITS))
+    too_long = (roll > 0) & (place >= F.lit(1 << ROLL_BITS))
     return F.when(
         overlaps | too_long,
         F.raise_error(
@@ -73,7 +73,7 @@ def place_in_log(roll: Column) -> Column:
                 F.lit("; read it with a smaller spark.sql.files.maxPartitionBytes"),
             )
         ).cast("bigint"),
-    ).otherwise(F.shiftleft(roll, _ROLL_BITS) + place)
+    ).otherwise(F.shiftleft(roll, ROLL_BITS) + place)
 
 
 # File metadata columns the placing needs, read with every line.
@@ -86,12 +86,12 @@ def name_parts(path: Column) -> dict[str, Column]:
     parent = F.regexp_replace(path, "/[^/]*$", "")
     folder = F.substring_index(parent, "/", -1)
     rolled = F.lit(None).cast("string")
-    for prefix in _ROLLED_FOLDERS:
+    for prefix in ROLLED_FOLDERS:
         name = F.substr(folder, F.lit(len(prefix) + 1))
         rolled = F.when(folder.startswith(prefix), name).otherwise(rolled)
-    number = F.nullif(F.regexp_extract(file, _ROLLED_FILE, 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(file, ROLLED_FILE, 1), F.lit(""))
     return {
-        "log": F.coalesce(rolled, F.regexp_replace(file, _SUFFIXES, "")),
+        "log": F.coalesce(rolled, F.regexp_replace(file, SUFFIXES, "")),
         "folder": F.when(rolled.isNotNull(), F.regexp_replace(parent, "/[^/]*$", "")).otherwise(parent),
         "roll": F.when(rolled.isNotNull(), F.coalesce(number.cast("bigint"), F.lit(0))).otherwise(F.lit(0)),
         "compacted": rolled.isNotNull() & file.endswith(".compact"),
@@ -106,7 +106,7 @@ def with_place(scan: DataFrame) -> DataFrame:
     """
     parts = name_parts(F.col("file_path"))
     log_id = F.when(
-        F.col("file_name").rlike(_UNREADABLE_NAME),
+        F.col("file_name").rlike(UNREADABLE_NAME),
         F.raise_error(F.concat(F.col("file_path"), F.lit(": a codec that cannot be read as text"))).cast("string"),
     ).otherwise(parts["log"])
     return scan.select(log_id.alias("log_id"), place_in_log(parts["roll"]).alias("seq"), "value", "file_path")
@@ -206,8 +206,10 @@ def event_name(value: Column) -> Column:
     )
 
 
-def parse_events(lines: DataFrame, kinds: Sequence[str] = HANDLED_EVENTS) -> DataFrame:
-    """(log_id, seq, value) -> one typed row per handled event.
+def parse_events(
+    lines: DataFrame, kinds: Sequence[str] = HANDLED_EVENTS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(log_id, seq, value) -> one typed row per handled event, with the columns ``keep``.
 
     Other event types are dropped before the JSON parse; a torn line parses to
     NULLs and is dropped after it (``corrupt_lines`` counts those).
@@ -221,6 +223,7 @@ def parse_events(lines: DataFrame, kinds: Sequence[str] = HANDLED_EVENTS) -> Dat
             "log_id",
             "seq",
             "event",
+            *keep,
             F.explode(F.array(F.from_json("value", EVENT_SCHEMA))).alias("j"),
         )
         .where(F.col("j.Event").isNotNull())
@@ -284,6 +287,7 @@ def parse_events(lines: DataFrame, kinds: Sequence[str] = HANDLED_EVENTS) -> Dat
         F.col("j.`System Properties`").alias("system_properties"),
         F.col("j.`Spark Properties`").alias("spark_properties"),
         F.col("j.`JVM Information`").alias("jvm_information"),
+        *keep,
     )
 
 
@@ -300,7 +304,7 @@ def application_lines(
     """Lines of the given applications' logs, found by id under ``base``."""
     given = [app_ids] if isinstance(app_ids, str) else list(app_ids)
     ids = sorted({name for app in given for name in (app, log_name(app))})
-    names = "{" + ",".join(f"{prefix}{app}*" for app in ids for prefix in ("", *_ROLLED_FOLDERS)) + "}"
+    names = "{" + ",".join(f"{prefix}{app}*" for app in ids for prefix in ("", *ROLLED_FOLDERS)) + "}"
     return read_lines(spark, f"{base.rstrip('/')}/{names}", ids)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +31,106 @@ spark_properties MAP<STRING,STRING>, jvm_information MAP<STRING,STRING>, family
 """
 
 
+class Written:
+    """Tables written while it is entered: they belong to it, are shared in it, and go with it.
+
+    ``reused`` writes a table once per input and arguments as long as its owner lives.
+    ``drop`` deletes all of them; answers built on them cannot be read then. Without an
+    owner a table lives until the session ends.
+    """
+
+    _entered: list[Written] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+        self.known: dict[Hashable, DataFrame] = {}
+
+    def __enter__(self) -> Written:
+        Written._entered.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        Written._entered.remove(self)
+
+    @staticmethod
+    def owner() -> Written | None:
+        return Written._entered[-1] if Written._entered else None
+
+    def drop(self, still_read: DataFrame | None = None) -> None:
+        """Delete the tables, but for those whose files ``still_read`` reads."""
+        files = [] if still_read is None else still_read.inputFiles()
+        kept = []
+        for path in self.paths:
+            if any(path.rsplit("/", 1)[-1] in file for file in files):
+                kept.append(path)
+            else:
+                system, jvm_path = _folder(self.spark, path)
+                system.delete(jvm_path, True)
+        self.paths = kept
+        self.known.clear()
+
+
+def reused(events: DataFrame, name: str, build: Callable[[], DataFrame], *args: Hashable) -> DataFrame:
+    """``build()``; where an owner is entered, written once per event table and arguments."""
+    owner = Written.owner()
+    if owner is None:
+        return build()
+    key = (name, events.semanticHash(), args)
+    if key not in owner.known:
+        owner.known[key] = land(build(), name)
+    return owner.known[key]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in a folder all executors share.
 
     That is the session's ``spark.checkpoint.dir``; where it is unset, the
-    warehouse folder. It is deleted when the session's JVM ends, since the
-    answers built on it are lazy and may be read until then.
+    warehouse folder. It is deleted with its owner (``Written``), at the latest when
+    the session's JVM ends, since the answers built on it are lazy.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    if owner := Written.owner():
+        owner.paths.append(path)
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, by whatever store it is in."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Complete tables ``version=<n>`` of a folder by number."""
+    system, path = _folder(spark, folder)
+    if not system.exists(path):
+        return {}
+    found = {}
+    for status in system.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("version=") and system.exists(_folder(spark, f"{folder}/{name}/_SUCCESS")[1]):
+            found[int(name.removeprefix("version="))] = f"{folder}/{name}"
+    return found
+
+
+def latest_version(spark: SparkSession, folder: str, before: int | None = None) -> str | None:
+    """The newest complete table ``version=<n>`` of a folder, with n below ``before``."""
+    found = {n: path for n, path in _versions(spark, folder).items() if before is None or n < before}
+    return found[max(found)] if found else None
+
+
+def drop_versions(spark: SparkSession, folder: str, current: int) -> None:
+    """Delete versions that neither a reader nor a batch that runs again needs: all but the last two."""
+    for n, path in sorted(_versions(spark, folder).items())[:-2]:
+        if n < current - 1:
+            system, jvm_path = _folder(spark, path)
+            system.delete(jvm_path, True)
+
+
 def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write typed events once as Parquet; reports then read only what they need.
 

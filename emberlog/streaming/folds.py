@@ -1,53 +1,64 @@
 """Reports kept up to date while logs arrive.
 
-Any event updates its executor whenever it arrives: there is no watermark and no
-late data. What depends on order (active tasks, storage samples) is recomputed
-from the event table for the logs a batch touched.
+Each fold keeps what it needs to go on, so a batch reads its own events and that state,
+and a reader reads the state only; the event table is read again for logs that are renewed
+(see ``ingest``).
+
+- Totals, facts of the executors' lifecycle and facts of applications merge in any order:
+  a batch writes its own, readers merge them.
+- Active tasks are never below 0, so parts merge in the order of their places: (total,
+  lowest running sum) of each.
+- Storage samples depend on all blocks held. The state is written as the shortest log that
+  leaves the fold where it stands: the registrations so far, an update for every block
+  still stored, and the timeline. Put in front of a batch's events it gives that batch's
+  samples, by the same code as for a whole log. Logs that ended keep no state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.operators.executors import executor_lifecycle
-from emberlog.operators.storage import storage_samples
-from emberlog.operators.tasks import EXECUTOR_KEY, active_tasks, executor_totals
-from emberlog.streaming.ingest import event_table, ingest
+from emberlog.operators.applications import app_timeline
+from emberlog.operators.executors import (
+    application_facts,
+    executor_facts,
+    first_task_facts,
+    lifecycle,
+    merged_applications,
+    merged_facts,
+)
+from emberlog.operators.storage import (
+    BLOCK_KEY,
+    block_updates,
+    registrations,
+    storage_samples,
+)
+from emberlog.operators.tasks import EXECUTOR_KEY, active_of, active_parts, executor_totals
+from emberlog.sources.tables import EVENT_TABLE_SCHEMA, drop_versions, land, latest_version
+from emberlog.streaming.ingest import Batch, Fold, LogTable
 
+# Places of a state's events, before all places of a log.
+_REGISTERED, _BLOCKS, _TIMED = -(1 << 42), -(1 << 41), -(1 << 40)
+_BLOCK_PLACES = 1 << 27
 
-def keep_totals(totals: str) -> Callable[[DataFrame, int], None]:
-    """A hook for ``ingest``: writes each batch's own totals of its executors.
 
-    A batch overwrites its folder, so one that runs again after a failure counts
-    once; readers merge the folders.
-    """
+def keep_totals(table: LogTable) -> Fold:
+    """Writes each batch's own totals of its executors."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        executor_totals(batch, mergeable=True).write.mode("overwrite").parquet(
-            f"{totals}/batch={batch_id}"
-        )
+    def fold(batch: Batch) -> None:
+        batch.write_parts(executor_totals(batch.events, mergeable=True), table.path("totals"))
 
-    return write
+    return fold
 
 
-def ingest_with_totals(
-    spark: SparkSession,
-    path: str,
-    table: str,
-    totals: str,
-    checkpoint: str,
-    files_per_trigger: int = 1000,
-) -> None:
-    """Ingest new files and write what they add to their executors' totals."""
-    ingest(spark, path, table, checkpoint, files_per_trigger, after=keep_totals(totals))
+def current_totals(table: LogTable) -> DataFrame:
+    """The totals of every executor over all batches."""
+    return table.named(_merged_totals(table))
 
 
-def current_totals(spark: SparkSession, totals: str) -> DataFrame:
-    """The totals of every executor over all batches."""
-    parts = spark.read.parquet(totals).drop("batch")
+def _merged_totals(table: LogTable) -> DataFrame:
+    parts = table.parts("totals")
     sums = [
         c
         for c in parts.columns
@@ -60,52 +71,99 @@ def current_totals(spark: SparkSession, totals: str) -> DataFrame:
     )
 
 
-def current_executors(spark: SparkSession, table: str, totals: str) -> DataFrame:
-    """Executors as of now: streamed totals, with lifecycle and active tasks.
-
-    An application end closes executors it does not name, so lifecycle rules are
-    applied here, on the few executor and application events ingested so far.
-    """
-    events = event_table(spark, table)
-    streamed = current_totals(spark, totals)
-    firsts = streamed.select(*EXECUTOR_KEY, F.col("first_task_seq").alias("seq"))
-    counts = [c for c in streamed.columns if c not in (*EXECUTOR_KEY, "first_task_seq")]
-    return (
-        executor_lifecycle(events, firsts)
-        .join(streamed.drop("first_task_seq"), EXECUTOR_KEY, "left")
-        .join(active_tasks(events), EXECUTOR_KEY, "left")
-        .fillna(0, [*counts, "tasks_active"])
-    )
-
+def keep_lifecycle(table: LogTable) -> Fold:
+    """Writes each batch's facts of executors and applications, and parts of active tasks."""
 
-def of_logs(events: DataFrame, touched: DataFrame) -> DataFrame:
-    """Events of the logs in ``touched`` (log_id)."""
-    return events.join(touched.distinct(), "log_id", "left_semi")
+    def fold(batch: Batch) -> None:
+        batch.write_parts(executor_facts(batch.events), table.path("executor_facts"))
+        batch.write_parts(application_facts(batch.events), table.path("application_facts"))
+        batch.write_parts(active_parts(batch.events), table.path("active_parts"))
 
+    return fold
 
-def ingest_with_samples(
-    spark: SparkSession,
-    path: str,
-    table: str,
-    samples: str,
-    checkpoint: str,
-    files_per_trigger: int = 1000,
-) -> None:
-    """Ingest new files and renew the storage samples of the logs they belong to."""
-    ingest(spark, path, table, checkpoint, files_per_trigger, after=renew_samples(spark, table, samples))
 
+def current_executors(table: LogTable) -> DataFrame:
+    """Executors as of now: totals, lifecycle and active tasks, from the parts alone."""
+    totals = land(_merged_totals(table), "streamed_totals")
+    firsts = totals.select(*EXECUTOR_KEY, F.col("first_task_seq").alias("seq"))
+    parts = table.parts("executor_facts").unionByName(first_task_facts(firsts), allowMissingColumns=True)
+    counts = [c for c in totals.columns if c not in (*EXECUTOR_KEY, "first_task_seq")]
+    rows = (
+        lifecycle(land(merged_facts(parts), "streamed_facts"), merged_applications(table.parts("application_facts")))
+        .join(totals.drop("first_task_seq"), EXECUTOR_KEY, "left")
+        .join(active_of(table.parts("active_parts")), EXECUTOR_KEY, "left")
+        .fillna(0, [*counts, "tasks_active"])
+    )
+    return table.named(rows)
 
-def renew_samples(spark: SparkSession, table: str, samples: str) -> Callable[[DataFrame, int], None]:
-    """A hook for ``ingest``: rewrites the storage samples of the logs of each batch."""
 
-    def renew(batch: DataFrame, batch_id: int) -> None:
-        events = of_logs(event_table(spark, table), batch.select("log_id"))
-        (
-            storage_samples(events)
-            .write.partitionBy("log_id")
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(samples)
-        )
+def storage_state(events: DataFrame, updates: DataFrame) -> DataFrame:
+    """The shortest log that leaves the storage fold where ``events`` leave it.
 
-    return renew
+    Blocks of one manager are spread over places by their names; their order among
+    themselves changes nothing.
+    """
+    counts = registrations(events).groupBy(*EXECUTOR_KEY).agg(F.count("*").alias("n"))
+    registered = counts.select(
+        *EXECUTOR_KEY,
+        F.explode(F.sequence(F.lit(_REGISTERED), F.lit(_REGISTERED - 1) + F.col("n"))).alias("seq"),
+        F.lit("BlockManagerAdded").alias("event"),
+        F.lit("executor").alias("family"),
+    )
+    held = (
+        updates.groupBy(*BLOCK_KEY)
+        .agg(F.max_by(F.struct("mem", "disk", "stored"), F.struct("seq", "pos")).alias("last"))
+        .where("last.stored")
+        # Registering again starts empty.
+        .join(counts.withColumnRenamed("n", "incarnation"), [*EXECUTOR_KEY, "incarnation"], "left_semi")
+    )
+    blocks = held.select(
+        *EXECUTOR_KEY,
+        (F.pmod(F.xxhash64("block_id"), F.lit(_BLOCK_PLACES)) + F.lit(_BLOCKS)).alias("seq"),
+        F.lit("BlockUpdated").alias("event"),
+        F.lit("block").alias("family"),
+        F.array(F.struct("block_id", "last.mem", "last.disk", "last.stored")).alias("blocks"),
+    )
+    times = app_timeline(events).where("timeline >= 0").select(
+        "log_id",
+        F.lit(_TIMED).cast("bigint").alias("seq"),
+        F.lit("Timeline").alias("event"),
+        F.lit("application").alias("family"),
+        F.col("timeline").alias("time"),
+    )
+    return registered.unionByName(blocks, allowMissingColumns=True).unionByName(times, allowMissingColumns=True)
+
+
+def keep_samples(table: LogTable) -> Fold:
+    """Writes each batch's storage samples and the state of the logs that go on."""
+    versions = table.path("storage_state")
+
+    def state_before(spark: SparkSession, batch_id: int) -> DataFrame:
+        empty = spark.createDataFrame([], EVENT_TABLE_SCHEMA)
+        at = latest_version(spark, versions, batch_id)
+        if at is None:
+            return empty
+        return empty.unionByName(spark.read.parquet(at), allowMissingColumns=True)
+
+    def fold(batch: Batch) -> None:
+        before = state_before(batch.spark, batch.batch_id)
+        going_on = batch.manifest.where("touched AND NOT renewed").select("log_id")
+        front = before.join(going_on, "log_id", "left_semi")
+        # Only what the fold reads, so that wide metric columns are not carried along.
+        columns = [*EXECUTOR_KEY, "seq", "event", "family", "time", "blocks", "rdd_id"]
+        rows = land(front.select(columns).unionByName(batch.events.select(columns)), "storage_input")
+        updates = land(block_updates(rows), "block_updates")
+        batch.write_parts(storage_samples(rows, updates).where("seq >= 0"), table.path("samples"))
+        kept = batch.manifest.where("touched AND NOT ended").select("log_id")
+        others = batch.manifest.where("NOT touched").select("log_id")
+        state = storage_state(rows, updates).join(kept, "log_id", "left_semi")
+        untouched = before.join(others, "log_id", "left_semi").select(state.columns)
+        state.unionByName(untouched).write.mode("overwrite").parquet(f"{versions}/version={batch.batch_id}")
+        drop_versions(batch.spark, versions, batch.batch_id)
+
+    return fold
+
+
+def current_samples(table: LogTable) -> DataFrame:
+    """All storage samples so far."""
+    return table.named(table.parts("samples"))
