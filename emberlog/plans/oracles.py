@@ -515,6 +515,15 @@ def _json(fields: dict) -> str:
 
 _SUMMARY = "SELECT * EXCLUDE (first_seen) FROM summary"
 _LISTED = "SELECT log_id AS app_id, * EXCLUDE (start_seq, position) FROM listed"
+# Task starts that count in the odd layouts: of the first half of app-0 compaction left every second one.
+_ODD_STARTS = """, odd AS (
+  SELECT CASE WHEN log_id <> 'app-2' THEN log_id WHEN id % 3 = 0 THEN 'east/app-2' ELSE 'west/app-2' END AS log_id,
+         executor_id, id
+  FROM starts
+  WHERE log_id <> 'app-0' OR id * 4 // ((SELECT max(id) FROM starts) + 1) >= 2 OR id % 2 = 0
+)"""
+_ODD_ORDER = """SELECT log_id, executor_id, id AS task_id,
+  count(*) OVER (PARTITION BY log_id, executor_id ORDER BY id) - 1 AS position FROM odd"""
 _TOTAL_EVENTS = "SELECT log_id, family, event, count(*) AS events FROM kinds"
 
 ORACLES = {
@@ -533,6 +542,13 @@ ORACLES = {
         "SELECT log_id, executor_id, id AS task_id, count(*) OVER (PARTITION BY log_id, executor_id "
         "ORDER BY id) - 1 AS position FROM starts"
     ),
+    "odd_layout_lines": sql(
+        f"{_ODD_STARTS}, torn AS (SELECT * FROM (VALUES ('app-0'), ('west/app-2')) AS t(log_id)) "
+        "SELECT log_id, count(*) + (SELECT count(*) FROM torn WHERE torn.log_id = odd.log_id) AS lines, "
+        "(SELECT count(*) FROM torn WHERE torn.log_id = odd.log_id) AS corrupt_lines FROM odd GROUP BY log_id"
+    ),
+    "odd_layout_order": sql(f"{_ODD_STARTS} {_ODD_ORDER}"),
+    "streaming_odd_layouts": sql(f"{_ODD_STARTS} {_ODD_ORDER}"),
     "app_timeline": sql("SELECT log_id, max(t)::BIGINT AS timeline FROM clock GROUP BY log_id"),
     "applications": sql(
         "SELECT s.log_id AS app_id, s.log_id, 'job ' || s.app AS app_name, (t0 - 2500)::BIGINT AS "

@@ -34,7 +34,7 @@ from emberlog.operators.tasks import (
 )
 from emberlog.plans import charts, reports
 from emberlog.sources import sinks
-from emberlog.sources.derived import derive_logs
+from emberlog.sources.derived import derive_logs, derive_odd_logs
 from emberlog.sources.logs import (
     corrupt_lines,
     event_name,
@@ -132,6 +132,38 @@ def event_order(spark, sf_dir):
     )
 
 
+def odd_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Task starts as rolled, compacted, unfinished, torn and same-named logs."""
+    return _once(spark, sf_dir, "odd-logs", lambda path: derive_odd_logs(spark, sf_dir, path)) + "/logs"
+
+
+def _below_folder(rows: DataFrame) -> DataFrame:
+    """Logs that share a name are called by their folder too; here by the last part of it."""
+    return rows.withColumn("log_id", F.regexp_extract("log_id", "(?:(?:east|west)/)?[^/]*$", 0))
+
+
+def odd_layout_lines(spark, sf_dir):
+    return _below_folder(corrupt_lines(read_lines(spark, odd_log_folder(spark, sf_dir))))
+
+
+def odd_layout_order(spark, sf_dir):
+    """Place of every task start among its executor's, over all files that count."""
+    events = read_events(spark, odd_log_folder(spark, sf_dir), ["TaskStart"])
+    rows = position(events.select(*EXECUTOR_KEY, "task_id", "seq"), EXECUTOR_KEY, ["seq"])
+    return _below_folder(rows.drop("seq"))
+
+
+def streaming_odd_layouts(spark, sf_dir):
+    """The same, followed as a stream that reads running logs up to their last whole line."""
+
+    def write(path: str) -> None:
+        LogTable(spark, path).follow(odd_log_folder(spark, sf_dir))
+
+    events = LogTable(spark, _once(spark, sf_dir, "streamed-odd", write)).events()
+    rows = land(events.select(*EXECUTOR_KEY, "task_id", "seq"), "odd_events")
+    return _below_folder(position(rows, EXECUTOR_KEY, ["seq"]).drop("seq"))
+
+
 # Applications
 
 
@@ -386,6 +418,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_lines": log_lines,
     "application_log": application_log,
     "event_order": event_order,
+    "odd_layout_lines": odd_layout_lines,
+    "odd_layout_order": odd_layout_order,
     "app_timeline": app_timeline,
     "applications": applications,
     "timeline_as_of": timeline_as_of,
@@ -425,4 +459,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "streaming_executor_totals": streaming_executor_totals,
     "streaming_executors": streaming_executors,
     "streaming_storage_samples": streaming_storage_samples,
+    "streaming_odd_layouts": streaming_odd_layouts,
 }

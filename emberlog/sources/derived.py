@@ -7,6 +7,8 @@ The lines are JSON text and go through the normal reader.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -394,3 +396,55 @@ def write_logs(events: DataFrame, path: str) -> None:
 def derive_logs(spark: SparkSession, table_dir: str, path: str) -> None:
     """Write the logs derived from ``<table_dir>/events.parquet`` under ``path``."""
     write_logs(spark.read.parquet(f"{table_dir}/events.parquet"), path)
+
+
+def odd_files(lines: DataFrame) -> DataFrame:
+    """(file, seq, value): task starts (id, log_id, value) in the layouts that logs can have.
+
+    ``app-0`` is rolled, its first two files stand compacted to every second line beside the
+    second one, and its last one is being written. ``app-1`` is finished, and its unfinished
+    file is still there. ``app-2`` is a name in two folders, one log being written. Logs being
+    written end in half a line.
+    """
+    last = lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = lines.withColumn("quarter", F.expr(f"id * 4 div {last + 1}"))
+    rolled = "eventlog_v2_app-0/events_"
+    choices = [
+        ("app-0", "quarter = 0", f"{rolled}1_app-0"),
+        ("app-0", "quarter = 1", f"{rolled}2_app-0"),
+        ("app-0", "quarter < 2 AND id % 2 = 0", f"{rolled}2_app-0.compact"),
+        ("app-0", "quarter = 2", f"{rolled}3_app-0"),
+        ("app-0", "quarter = 3", f"{rolled}4_app-0.inprogress"),
+        ("app-1", "true", "app-1"),
+        ("app-1", "quarter = 0", "app-1.inprogress"),
+        ("app-2", "id % 3 = 0", "east/app-2"),
+        ("app-2", "id % 3 <> 0", "west/app-2.inprogress"),
+    ]
+    files = F.array_compact(F.array(*[F.when(F.expr(f"log_id = '{log}' AND {cond}"), F.lit(file)) for log, cond, file in choices]))
+    placed = rows.select(F.explode(files).alias("file"), F.col("id").alias("seq"), "value")
+    torn = (
+        placed.where(F.col("file").isin(f"{rolled}4_app-0.inprogress", "west/app-2.inprogress"))
+        .groupBy("file")
+        .agg((F.max("seq") + 1).alias("seq"), F.max_by("value", "seq").alias("value"))
+        .withColumn("value", F.substring("value", 1, 60))
+    )
+    return placed.unionByName(torn)
+
+
+def derive_odd_logs(spark: SparkSession, table_dir: str, path: str) -> None:
+    """Write ``odd_files`` of the task starts of ``<table_dir>/events.parquet`` under ``path``."""
+    rows = keyed(spark.read.parquet(f"{table_dir}/events.parquet"))
+    cond, _, line = _row_lines()[0]
+    files = odd_files(rows.where(cond).select("id", "log_id", line.alias("value")))
+    (
+        files.repartition("file").sortWithinPartitions("file", "seq").select("file", "value")
+        .write.partitionBy("file").mode("overwrite").text(f"{path}/_written")
+    )
+    # A file has one writer; only its name is Spark's.
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(hadoop.Path(f"{path}/_written/file=*/part-*")):
+        name = unquote(found.getPath().getParent().getName().removeprefix("file="))
+        target = hadoop.Path(f"{path}/logs/{name}")
+        system.mkdirs(target.getParent())
+        system.rename(found.getPath(), target)
