@@ -29,8 +29,9 @@ answers; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
-from functools import cache, reduce
-from operator import or_
+from fractions import Fraction
+from functools import cache
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ FOREIGN = "foundbefore"
 COMMON = frozenset(
     "above action after by change future including other product project provided public purpose rights "
     "share should source special state style terms their there these those under unless which whether "
-    "without works would wrote".split()
+    "this without works would wrote".split()
 )
 
 
@@ -63,9 +64,10 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple
     return rows
 
 
-def bounds(size: Column | int, threshold: float = THRESHOLD) -> tuple:
-    """Fewest and most bigrams of a passage that can agree with ``size`` of a template."""
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+def bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Fewest and most bigrams of a passage that can agree with ``size`` of a template; exact."""
+    t = Fraction(str(threshold))
+    return ceil(size * t / (2 - t)), floor(size * (2 - t) / t)
 
 
 @cache
@@ -77,9 +79,8 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
     Words that are not ``COMMON``, of five letters or more, are taken first, those that leave the
     fewest bigrams first.
     """
-    keys: list[str] = []
-    # A key word stands for all words that it is a part of.
-    free = lambda pairs: {p for p in pairs if not any(k in w for w in p for k in keys)}
+    keys: set[str] = set()
+    free = lambda pairs: {p for p in pairs if not keys.intersection(p)}
     sets = []
     for _, text in ALL:
         words = _normal(text)
@@ -88,10 +89,10 @@ def key_words(threshold: float = THRESHOLD) -> list[str]:
     while True:
         open_ = [left for pairs, n in zip(sets, needed, strict=True) if len(left := free(pairs)) >= n]
         if not open_:
-            return sorted(k for k in keys if not any(o in k for o in keys if o != k))
+            return sorted(keys)
         words = {w for left in open_ for pair in left for w in pair}
-        gain = {w: sum(any(w in x for x in pair) for left in open_ for pair in left) for w in words}
-        keys.append(max(words, key=lambda w: (w not in COMMON, len(w) >= 5, gain[w], w)))
+        gain = {w: sum(w in pair for left in open_ for pair in left) for w in words}
+        keys.add(max(words, key=lambda w: (w not in COMMON, len(w) >= 5, gain[w], w)))
 
 
 def _let(value: Column, body) -> Column:
@@ -155,11 +156,12 @@ def _agreed(passage: Column, threshold: float) -> Column:
         )
     )
     found = _let(F.array_distinct(_pairs(passage)), best)
-    return F.when(_held(F.lower(passage), threshold), _let(found, lambda x: F.when(x["dice"] >= threshold, x)))
+    return F.when(_held(passage, threshold), _let(found, lambda x: F.when(x["dice"] >= threshold, x)))
 
 
-def _held(low: Column, threshold: float) -> Column:
-    return reduce(or_, [low.contains(w) for w in key_words(threshold)])
+def _held(text: Column, threshold: float) -> Column:
+    """Whether a text holds a key word."""
+    return F.arrays_overlap(_words(text), F.array(*[F.lit(w) for w in key_words(threshold)]))
 
 
 def _best_end(window: Column, start: Column, t: Column, threshold: float) -> Column:
@@ -301,10 +303,9 @@ def found(text: Column, threshold: float = THRESHOLD) -> Column:
 def licensed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: its licences by name, passages with one, and the best coefficient."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # explode() of the one lower-cased text keeps it from being made again per word,
-    # and of the one list of matches from being made again per column.
-    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.explode(F.array(F.lower(text))).alias("low"))
-    matches = F.when(_held(F.col("low"), threshold), found(F.col("text"), threshold))
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"))
+    # explode() of the one list of matches keeps it from being made again per column.
+    matches = F.when(_held(F.col("text"), threshold), found(F.col("text"), threshold))
     rows = rows.select("doc_id", F.explode(F.array(F.coalesce(matches, F.array().cast(FOUND)))).alias("found"))
     return rows.select(
         "doc_id",

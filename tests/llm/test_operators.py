@@ -114,6 +114,9 @@ def test_licences(docs, none, spark):
     texts = {1: header, 2: "x\n\n" + header.replace("obtain", "get") + "\n\ny", 3: "released UNDER the mit-license!\nb", 4: header * 2, 5: None}
     got = {r.doc_id: r.licences for r in licences.licensed(spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING")).collect()}
     assert got == {1: "Apache-2.0", 2: "Apache-2.0", 3: "MIT", 4: "Apache-2.0", 5: ""}
+    # 8 of 12 and of 8 bigrams: a coefficient of 0.8, no less.
+    edge = spark.createDataFrame([(1, "this work is licensed under a creative commons attribution")], "doc_id BIGINT, text STRING")
+    assert [(r.licences, r.best_dice) for r in licences.licensed(edge).collect()] == [("CC-BY-4.0", 0.8)]
     half = "licensed under the apache way of doing things version"
     twice = spark.createDataFrame([(1, half), (1, half), (2, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0.")], "doc_id BIGINT, text STRING")
     assert sorted((r.doc_id, r.licences, r.n_passages) for r in licences.licensed(twice).collect()) == [(1, "", 0)] * 2 + [(2, "CC-BY-4.0", 1)] * 2
