@@ -184,15 +184,15 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``SLICE`` bytes of text (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``size`` bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = text_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            stop = int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1
+            stop = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
             stop = min(max(stop, at + 1), batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
