@@ -100,7 +100,7 @@ class Edges:
         return mix(np.add.reduceat(each, self.first[:-1]) + mix(offset + np.uint64(1)))
 
 
-EDGE_SCHEMA = "edge BIGINT, hood BIGINT, doc_id BIGINT, tid INT, place INT"
+EDGE_SCHEMA = "edge BIGINT, hood BIGINT, doc_id BIGINT, tid BIGINT, place INT"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, text): ``tid`` tells texts of one id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint"), F.hash(text).alias("tid"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
 def same_key(left: DataFrame, right: DataFrame):
@@ -174,7 +174,7 @@ def _per_edge(
     return what
 
 
-WINDOW_SCHEMA = "hash BIGINT, known BOOLEAN, doc_id BIGINT, tid INT, start INT"
+WINDOW_SCHEMA = "hash BIGINT, known BOOLEAN, doc_id BIGINT, tid BIGINT, start INT"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-KEPT_SCHEMA = "doc_id BIGINT, tid INT, n_words BIGINT, n_removed BIGINT, kept STRING"
+KEPT_SCHEMA = "doc_id BIGINT, tid BIGINT, n_words BIGINT, n_removed BIGINT, kept STRING"
 
 
 def _kept(finish: Callable[[bytes], str]) -> Callable:
@@ -249,7 +249,8 @@ def without_repeats(docs: DataFrame, finish: Callable[[bytes], str] = bytes.deco
     spots = renamed(
         repeated_places(docs)
         .groupBy(*KEY)
-        .agg(F.collect_list(F.struct("place", "what")).alias("spots"))
+        # Repeated rows tell the same places again.
+        .agg(F.collect_set(F.struct("place", "what")).alias("spots"))
     )
     texts = keyed(docs)
     # Always by shuffle: the list of places follows the corpus, so a plan that
@@ -269,7 +270,7 @@ def without_repeats(docs: DataFrame, finish: Callable[[bytes], str] = bytes.deco
         windows.where("NOT known")
         .join(twice, "hash")
         .groupBy(*KEY)
-        .agg(F.collect_list("start").alias("starts"))
+        .agg(F.collect_set("start").alias("starts"))
     )
     changed = renamed(
         affected.join(starts, same_key(affected, starts), "left")
