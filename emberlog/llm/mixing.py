@@ -34,9 +34,13 @@ SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def seeded(doc_id: Column, seed: int) -> Column:
-    """A document's place in the seeded order: 32 hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def seeded(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's place in the seeded order: 32 hex digits.
+
+    The text counts too, so that rows of one id, or of none, are spread over the order.
+    """
+    name = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +57,7 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        seeded(F.col("doc_id"), seed).alias("place"),
+        seeded(F.col("doc_id"), F.col("text"), seed).alias("place"),
     ).withColumn("bucket", bucket_of(F.col("place")))
 
 
@@ -175,7 +179,7 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     sizes = land(sized(docs, seed), "mix_sizes")
     plan = mix_plan(sizes, **options)
     rows = docs.select(
-        F.struct("*").alias("doc"), bucket_of(seeded(F.col("doc_id"), seed)).alias("bucket")
+        F.struct("*").alias("doc"), bucket_of(seeded(F.col("doc_id"), F.col("text"), seed)).alias("bucket")
     ).join(plan, F.col("doc.source").eqNullSafe(F.col("t_source")))
     inside = rows.where(~F.col("bucket").eqNullSafe(F.col("last"))).select(
         "doc", (F.col("whole") + _once_more_before(F.col("bucket"))).alias("times")
@@ -220,7 +224,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS place
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
