@@ -13,9 +13,12 @@ on down to one document. All nodes of a level are summed in one aggregate; the d
 sees at most nodes x ``BINS`` sums, and the tree itself (leaves - 1 cuts) turns into
 one expression. Only one narrow row per document is written and read again.
 
+The law is ``bytes``; rows of equal texts are not kept together, since a group of copies
+may be larger than a shard.
+
 Defined results: a null text has no bytes; a null source, language or id is a value
-of its own; rows that repeat in full cannot be told apart by any cut and share a
-shard; an empty table gives no rows. Only ``doc_id``, ``text``, ``source`` and
+of its own; rows that repeat in full are numbered and cut between like others; a text
+of any length is one row; an empty table gives no rows. Only ``doc_id``, ``text``, ``source`` and
 ``lang`` are read.
 """
 
@@ -46,23 +49,42 @@ def metadata(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     name = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - VALUE_BITS)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # Ids may be as far apart as 64 bits allow, so their distance is a double.
     scale = ((1 << VALUE_BITS) - 1) / max(1, (high or 0) - (low or 0))
-    place = F.floor((F.col("doc_id") - F.lit(low or 0)) * F.lit(scale)).cast("bigint")
+    distance = F.col("doc_id").cast("double") - F.lit(float(low or 0))
+    place = F.least(F.floor(distance * F.lit(scale)).cast("bigint"), F.lit((1 << VALUE_BITS) - 1))
     size = (F.octet_length(text) + OVERHEAD).cast("bigint")
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32(text)), 64 - VALUE_BITS)
     values = [
         name("source"),
         name("lang"),
         F.floor(F.log2(size) * (1 << (VALUE_BITS - 6))).cast("bigint"),
         F.coalesce(place, F.lit(0).cast("bigint")),
     ]
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("bigint"),
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
-        tie.alias("tie"),
-        F.array(*[F.shiftleft(v, VALUE_BITS) + tie for v in values]).alias("keys"),
+        F.array(*values).alias("values"),
     )
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "nth"), 64 - VALUE_BITS)
+    return copies_numbered(rows).withColumn("tie", tie).select(
+        "doc_id", "size", "text_crc32", "tie",
+        F.transform("values", lambda v: F.shiftleft(v, VALUE_BITS) + F.col("tie")).alias("keys"),
+    )
+
+
+def copies_numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``nth`` from 0 among equal rows, so that a cut can go between copies.
+
+    Equal rows are counted and written out again by their count, in runs of ``SLOTS``
+    that are dealt out first: however many there are, no task gets all of them.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {SLOTS}"))))
+    many = runs.where(F.col("copies") > SLOTS).repartition("doc_id", "text_crc32", "run")
+    first = F.col("run") * SLOTS
+    nth = F.sequence(first, F.least(first + SLOTS, F.col("copies")) - 1)
+    return runs.where(F.col("copies") <= SLOTS).unionByName(many).select(*rows.columns, F.explode(nth).alias("nth"))
 
 
 @dataclass
