@@ -161,51 +161,6 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k > n * F.lit(rate), F.lit(1.0)).otherwise(top * steps)
 
 
-def cutoffs(
-    measures: DataFrame,
-    labels: DataFrame,
-    false_rejection: float = FALSE_REJECTION,
-    error: float = ERROR,
-) -> DataFrame:
-    """(stratum, one column per rule): the certified cutoffs, NULL where there is none."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_id"))
-    rungs = [(rule, i, cut) for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)]
-    # Documents that the base rule rejects are lost to it, not to a cutoff.
-    counted = (
-        measures.where("NOT base_failed")
-        .join(good, F.col("doc_id") == F.col("_id"))
-        .groupBy(F.col("lang").alias("stratum"))
-        .agg(
-            F.count("*").alias("n"),
-            *[F.count_if(F.col(rule) > cut).alias(f"_{rule}_{i}") for rule, i, cut in rungs],
-        )
-    )
-    counted = land(counted, "rule_counts")
-    tests = counted.count() * len(LADDERS)
-    rate = false_rejection / len(LADDERS)
-    fails = {
-        rule: F.coalesce(
-            *[
-                F.when(
-                    binomial_tail(F.col(f"_{rule}_{i}"), F.col("n"), rate) > error / max(tests, 1), i
-                )
-                for i in range(len(ladder))
-            ],
-            F.lit(len(ladder)),
-        )
-        for rule, ladder in LADDERS.items()
-    }
-    chosen = counted.select(
-        "stratum",
-        "n",
-        *[
-            F.get(F.array(*[F.lit(x) for x in ladder]), fails[rule] - 1).alias(f"cut_{rule}")
-            for rule, ladder in LADDERS.items()
-        ],
-    )
-    return land(chosen, "rule_cutoffs")
-
-
 def vectors() -> list[dict[str, int]]:
     """The fixed sequence of rung vectors: rule -> rungs in force, one rung more each time."""
     deepest = max(map(len, LADDERS.values()))
@@ -287,28 +242,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     measures = land(measured(docs), "rule_measures")
-    return judged(measures, cutoffs(measures, labels)).select(
+    return judged(measures, joint_cutoffs(measures, labels)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "failed_rules",
     )
 
 
 def _oracle() -> str:
-    rungs = [(r, i, c) for r, ladder in LADDERS.items() for i, c in enumerate(ladder)]
-    counts = ", ".join(f"count(*) FILTER ({r} > {c}) AS {r}_{i}" for r, i, c in rungs)
+    steps = vectors()
+    first = " ".join(
+        f"WHEN {' OR '.join(f'{r} > {LADDERS[r][d - 1]}' for r, d in v.items() if d)} THEN {i}" for i, v in enumerate(steps)
+    )
+    counts = ", ".join(f"count(*) FILTER (first <= {i}) AS v_{i}" for i in range(len(steps)))
+    rate = f"{FALSE_REJECTION!r}::DOUBLE"
     tail = lambda k: (
-        f"(CASE WHEN {k} > n * {FALSE_REJECTION / len(LADDERS)!r}::DOUBLE THEN 1 ELSE list_sum([exp("
-        f"lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({FALSE_REJECTION / len(LADDERS)!r}::DOUBLE)"
-        f" + (n - i) * ln(1 - {FALSE_REJECTION / len(LADDERS)!r}::DOUBLE)) FOR i IN range({k} + 1)]) END)"
+        f"(CASE WHEN {k} > n * {rate} THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
+        f" + i * ln({rate}) + (n - i) * ln(1 - {rate})) FOR i IN range({k} + 1)]) END)"
     )
-    chosen = []
-    for rule, ladder in LADDERS.items():
-        cases = " ".join(
-            f"WHEN {tail(f'{rule}_{i}')} > {ERROR} / ({len(LADDERS)} * (SELECT count(*) FROM counted)) "
-            f"THEN {ladder[i - 1] if i else 'NULL'}"
-            for i in range(len(ladder))
-        )
-        chosen.append(f"CASE {cases} ELSE {ladder[-1]} END AS cut_{rule}")
+    holds = " ".join(
+        f"WHEN {tail(f'v_{i}')} > {ERROR} / (SELECT count(*) FROM counted) THEN {i}" for i in range(len(steps))
+    )
+    values = lambda rule: ", ".join(str(LADDERS[rule][v[rule] - 1]) if v[rule] else "NULL" for v in steps)
+    chosen = [f"([{values(rule)}]::DOUBLE[])[n_vectors] AS cut_{rule}" for rule in LADDERS]
     broken = ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in LADDERS)
     return rf"""
 WITH t AS (
@@ -345,9 +300,12 @@ WITH t AS (
   FROM m
 ), counted AS (
   SELECT lang, count(*) AS n, {counts}
-  FROM q JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed GROUP BY lang
+  FROM (SELECT q.*, CASE {first} END AS first FROM q JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed)
+  GROUP BY lang
+), held AS (
+  SELECT lang, CASE {holds} ELSE {len(steps)} END AS n_vectors FROM counted
 ), cuts AS (
-  SELECT lang AS stratum, {", ".join(chosen)} FROM counted
+  SELECT lang AS stratum, {", ".join(chosen)} FROM held
 ), f AS (
   SELECT q.*, concat_ws(',', {broken}) AS failed_rules
   FROM q LEFT JOIN cuts ON lang IS NOT DISTINCT FROM stratum

@@ -234,6 +234,32 @@ def test_sharding_near_equal(spark):
     assert len(held) == 40 and max(held) - min(held) <= 2 * 96
 
 
+def test_sharding_of_copies_and_wide_ids(spark):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING"
+    rows = [(7, "y" * 10, "en", "a")] * 1000 + [(i, "x" * (i % 90), "en", f"s{i % 5}") for i in range(2000)]
+    rows += [(-(2**63), "low", None, None), (2**63 - 1, "high", None, None), (None, "none", "de", "a")]
+    got = sharding.sharded(spark.createDataFrame(rows, schema), 40).collect()
+    same([(r.doc_id, r["size"]) for r in got], [(r[0], len(r[1]) + 16) for r in rows])
+    held = Counter()
+    for r in got:
+        held[r.shard] += r["size"]
+    assert len(held) == 40 and max(held.values()) - min(held.values()) <= 2 * 106
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_many_rows_of_one_id(spark, doc_id):
+    texts = [" ".join(f"w{i}x{j}" for j in range(45)) for i in range(150)]
+    texts += [texts[0]] * 150 + [texts[1] + " more"]
+    rows = spark.createDataFrame([(doc_id, t, "en", "s") for t in texts], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    got = substrings.without_repeats(rows, substrings.sha256).collect()
+    same([(r.n_words, r.n_removed, r.kept) for r in got], brute.without_repeats(texts))
+    kept = jaccard.one_of_each(rows).collect()
+    # One of each text; the one with a word more is near to the one without.
+    assert len(kept) == 150 and len({r.text for r in kept}) == 150
+    plan = mixing.sized(rows)
+    assert plan.groupBy("bucket").count().agg(F.max("count")).first()[0] < 170
+
+
 def test_contamination(docs, none, items):
     got = decontaminate.contamination(docs, items).collect()
     want = by_row(brute.contamination([t for _, t in PAIRS], [("null" if i is None else i, t) for i, t in ITEMS]))
@@ -291,7 +317,7 @@ def test_components(spark):
 
 def test_rules(docs, none, labels, spark):
     measured = rules.measured(docs)
-    got = rules.judged(measured, rules.cutoffs(measured, labels)).collect()
+    got = rules.judged(measured, rules.joint_cutoffs(measured, labels)).collect()
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     same([tuple(r[c] for c in columns) for r in got], by_row(brute.measures(t) for _, t in PAIRS))
     assert all(r.kept == (not r.base_failed) for r in got)  # too few labels for any cutoff
@@ -313,7 +339,7 @@ def test_cutoffs_hold(spark):
     docs = [(i, " ".join(f"w{i}x{j}" + ("###" if i >= 3000 else "") for j in range(30)), "en") for i in range(3300)]
     labels = [(i, int(i < 3000)) for i in range(3300)]
     measured = rules.measured(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING"))
-    judged = rules.judged(measured, rules.cutoffs(measured, spark.createDataFrame(labels, "doc_id BIGINT, quality INT")))
+    judged = rules.judged(measured, rules.joint_cutoffs(measured, spark.createDataFrame(labels, "doc_id BIGINT, quality INT")))
     assert {(r.kept, r.good) for r in judged.selectExpr("kept", "doc_id < 3000 AS good").distinct().collect()} == {(True, True), (False, False)}
 
 
