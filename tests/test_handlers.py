@@ -183,3 +183,39 @@ def test_axis_label_zones(events):
     rows = charts.executor_charts(log, time_zone="Asia/Tokyo").where("chart = 'ioChart'").collect()
     axis = json.loads(rows[0]["chart_config"])["chartConfig"]["xAxis"]["data"]
     assert axis == ["01/01 09:00"]
+
+
+def parsed(spark, log):
+    rows = [("log", n, line) for n, line in enumerate(lines(log))]
+    return parse_events(spark.createDataFrame(rows, "log_id string, seq bigint, value string"))
+
+
+def test_end_without_finish_time(spark):
+    late = end(1, blocks=[("rdd_1_0", LEVEL, 5, 1)])
+    del late["Task Info"]["Finish Time"]
+    log = parsed(spark, [manager("1"), start(1), late, start(2), end(2, blocks=[("rdd_1_1", LEVEL, 2, 0)])])
+    rows = reports.executor_tasks(log).orderBy("start_seq").collect()
+    assert [(r.duration, r.end_time, r.no_finish_time, r.is_alive) for r in rows] == [(0, 0, True, False), (10, 20, False, False)]
+    samples = storage_samples(log, bits=2).orderBy("seq").collect()
+    assert [(r.time, r.mem_used, r.disk_used) for r in samples] == [(0, 5, 1), (20, 7, 1)]
+    summary = reports.executor_summary(log).collect()
+    assert [(r.tasks_complete, r.duration) for r in summary] == [(2, 10)]
+
+
+def test_application_without_executors_has_empty_charts(spark):
+    log = parsed(spark, [app_start(False), APP_END])
+    rows = charts.application_charts(log, bits=2).collect()
+    assert len(rows) == 8 and {r.page for r in rows} == {0}
+    for r in rows:
+        spec = json.loads(r.chart_config)["chartConfig"]
+        assert spec["xAxis"]["data"] == [] and all(line["data"] == [] for line in spec["series"])
+    assert charts.executor_charts(log, bits=2).count() == 0
+    assert reports.application_series(log).count() == 0
+
+
+def test_task_told_of_by_another_executor_stays_with_its_starter(spark):
+    log = parsed(spark, [start(1, "1"), start(2, "2"), end(1, "2"), end(2, "2", reason="ExecutorLostFailure"), end(9, "1")])
+    everyone = sorted(map(repr, reports.executor_tasks(log).collect()))
+    mine = [r for x in ("1", "2") for r in map(repr, reports.tasks_by_executor(log, x).collect())]
+    assert sorted(mine) == everyone and len(everyone) == 2
+    assert [r.task_id for r in reports.tasks_by_executor(log, "1").collect()] == [1]
