@@ -316,3 +316,105 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, trusted: int = TRUSTED,
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op11: personal data in all documents."""
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    # The patterns as the contract has them: RE2 needs no look-behinds to be linear.
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    ip, card = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+"
+    unit = rf"{PHONE}|[0-9](?:[\x20-]?[0-9]){{11,18}}|[^{BLANK}]*[0-9@][^{BLANK}]*"
+    patterns = (email, ip, card, PHONE)
+    rim = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]*"
+    luhn = (
+        "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 "
+        "THEN digits[i]::INT ELSE (2 * digits[i]::INT) // 10 + (2 * digits[i]::INT) % 10 END)) % 10 = 0"
+    )
+
+    def passes(kind: int, hit: str) -> str:
+        return (
+            f"{hit} <> ''",
+            f"regexp_full_match({hit}, '{PART}(?:\\.{PART}){{3}}')",
+            f"(SELECT length(digits) BETWEEN 12 AND 19 AND {luhn} FROM (SELECT translate({hit}, ' -', '') AS digits))",
+            f"length(regexp_replace({hit}, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
+        )[kind]
+
+    def found(name: str, kind: str, pattern: str) -> str:
+        return f"""
+{name} AS (
+  SELECT rn, {kind} AS kind, hit, gap, next,
+         (sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit))::BIGINT AS start
+  FROM (
+    SELECT rn, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(gaps[2:]) AS next, generate_subscripts(hits, 1) AS i
+    FROM (SELECT rn, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM d
+          WHERE regexp_matches(text, '[0-9@]')))
+  WINDOW w AS (PARTITION BY rn ORDER BY i ROWS UNBOUNDED PRECEDING)
+)"""
+
+    seeds = " OR ".join(
+        f"(regexp_extract(core, '{p}') <> '' AND {passes(k, f'regexp_extract(core, {chr(39)}{p}{chr(39)})')})" for k, p in enumerate(patterns)
+    )
+    lower = lambda s: f"translate({s}, '{UPPER}', '{LOWER}')"
+    cut = lambda s: f"string_split_regex(trim({lower(s)}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[{BLANK}]+')"
+    rounds = []
+    for i in range(1, ROUNDS + 1):
+        scores = f"i{i - 1}"
+        rounds.append(f"""
+p{i} AS (
+  SELECT pattern, score FROM (
+    SELECT e.pattern, sum(s.score) // (any_value(z.n) + {SMOOTH}) AS score, count(*) FILTER (s.score >= {TRUSTED}) AS backed
+    FROM e JOIN {scores} s USING (instance) JOIN pn z ON z.pattern = e.pattern GROUP BY e.pattern)
+  WHERE score >= {TRUSTED} AND backed >= {SUPPORT}
+), i{i} AS (
+  SELECT * FROM i0
+  UNION ALL
+  SELECT instance, sum(p.score) // any_value(n) AS score
+  FROM e JOIN p{i} p USING (pattern) JOIN ins USING (instance) WHERE NOT ins.seed GROUP BY instance
+)""")
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents
+), {", ".join(found(f"m{k}", str(k), p) for k, p in enumerate(patterns))}, {found("mu", "4", unit)},
+b AS (
+  {" UNION ALL ".join(f"SELECT rn, kind, start, start + length(hit) AS stop FROM m{k} WHERE {passes(k, 'hit')}" for k in range(4))}
+), u0 AS (
+  SELECT *, length(regexp_extract(hit, '^{rim}')) AS lead, length(regexp_extract(hit, '{rim}$')) AS tail,
+         regexp_matches(hit, '^\+[0-9]')::INT AS plus FROM mu
+), u1 AS (
+  SELECT rn, start + lead - plus AS start, substr(hit, lead - plus + 1, length(hit) - lead - tail + plus) AS core,
+         {cut(f"right(gap, {AROUND})")} AS near, {cut(f"left(next, {AROUND})")} AS after
+  FROM u0 WHERE lead < length(hit)
+), u AS (
+  SELECT rn, start, start + length(core) AS stop, core, ({seeds}) AS seed,
+         length(core) >= 6 AND length(regexp_replace(core, '[^0-9]', '', 'g')) >= 4 OR contains(core, '@') AS shaped,
+         list_filter([
+           CASE WHEN near[-1] <> '' THEN '< ' || coalesce(near[-2], '') || ' ' || near[-1] END,
+           CASE WHEN near[-1] <> '' AND after[1] <> '' THEN '| ' || near[-1] || ' _ ' || after[1] END
+         ], lambda x: x IS NOT NULL) AS patterns
+  FROM u1
+), e AS (
+  SELECT pattern, instance, max(seed) AS seed FROM (SELECT unnest(patterns) AS pattern, core AS instance, seed FROM u) GROUP BY ALL
+), pn AS (
+  SELECT pattern, count(*) AS n FROM e GROUP BY pattern
+), ins AS (
+  SELECT instance, count(*) AS n, max(seed) AS seed FROM e GROUP BY instance
+), i0 AS (
+  SELECT instance, {ONE}::HUGEINT AS score FROM ins WHERE seed
+), {", ".join(rounds)}, f AS (
+  SELECT DISTINCT rn, 4 AS kind, start, stop
+  FROM (SELECT rn, start, stop, unnest(patterns) AS pattern FROM u WHERE shaped) x SEMI JOIN p{ROUNDS} USING (pattern)
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rn = x.rn AND b.start < x.stop AND x.start < b.stop)
+), s AS (
+  SELECT *, ['email', 'ip', 'card', 'phone', 'ctx'][kind + 1] || ':' || start || ':' || stop AS span
+  FROM (SELECT * FROM b UNION ALL SELECT * FROM f)
+), g AS (
+  SELECT rn, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, n in enumerate(KINDS))},
+         string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 4) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM s GROUP BY rn
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rn)
+"""
+
+
+ORACLE = _oracle()

@@ -40,6 +40,7 @@ ORACLES = {
     "op7_quality_rules": rules.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_personal_data": personal.ORACLE,
     "op12_conversation_trie": tries.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }

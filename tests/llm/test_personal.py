@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from emberlog.llm import collocations, personal
@@ -140,6 +141,15 @@ def test_personal_data(spark, docs, rows):
     assert personal.personal_data(docs.limit(0)).count() == 0
 
 
+def test_sql_states_the_same(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    got = con.execute(personal.ORACLE).fetchall()
+    want = personal_data([t for _, t, _ in rows])
+    assert sorted(map(repr, got)) == sorted(repr((r[0], *w)) for r, w in zip(rows, want, strict=True))
+
+
 def test_unseen_identifiers_need_a_pattern_that_is_trusted():
     at = CONTEXTS.index("write to JO at ID-770-880 today, room no 550 is free")
     answers = personal_data([*OTHER, *CONTEXTS])
