@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +110,6 @@ _CLASS[[*range(0x41, 0x5B)]] = 1
 _CLASS[[*range(0x61, 0x7B)]] = 2
 _CLASS[[0x2B, 0x2D, 0x2F, 0x5F]] = 3
 _CLASS[0x80:] = 4
-# Counts of a token in one number, 12 bits each; of longer tokens the first 4,095 bytes.
-_COUNT = np.uint64(1) << (np.uint64(12) * _CLASS.astype(np.uint64))
 # Marks around a token: none or space, quote, equals, colon, other, letter.
 _AROUND = np.full(256, 4, np.uint8)
 _AROUND[[0, 9, 10, 11, 12, 13, 32]] = 0
@@ -147,22 +147,17 @@ def features(words: Words) -> list[np.ndarray]:
     kind = _CLASS[data]
     bounds = np.empty(2 * n, np.int64)
     bounds[::2], bounds[1::2] = start, end
-    short = np.where(size < 4096, end, start + 4095)
-    bounds[1::2] = short
-    padded = np.append(_COUNT[kind], np.uint64(0))
-    counts = np.add.reduceat(padded, bounds)[::2]
+    part = [np.add.reduceat(np.append(kind == k, False), bounds, dtype=np.int64)[::2] for k in range(5)]
     changed = np.append(np.concatenate([[0], kind[1:] != kind[:-1]]).astype(np.int32), 0)
     changes = np.add.reduceat(changed, bounds)[::2] - changed[start]
-    part = [(counts >> np.uint64(12 * k) & np.uint64(4095)).astype(np.int64) for k in range(5)]
-    seen = short - start
     digits, upper, lower, marks, beyond = part
 
     alphabetic = (digits == 0) & (marks == 0) & (size <= 16)
     word = np.where(alphabetic, (words.hash >> np.uint64(30)).astype(np.int64) & (_WORDS - 1), _WORDS)
     length = np.minimum(np.log2(size).astype(np.int64), 7)
-    share = np.where(digits == 0, 0, 1 + np.minimum(3, 4 * digits // seen))
-    case = 3 * np.minimum(2, np.where(upper == 0, 0, np.where(upper == seen, 2, 1))) + np.where(
-        lower == 0, 0, np.where(lower == seen, 2, 1)
+    share = np.where(digits == 0, 0, 1 + np.minimum(3, 4 * digits // size))
+    case = 3 * np.minimum(2, np.where(upper == 0, 0, np.where(upper == size, 2, 1))) + np.where(
+        lower == 0, 0, np.where(lower == size, 2, 1)
     )
     shape = (length * 5 + share) * 9 + case
     mixed = np.minimum(7, changes) * 4 + 2 * (marks > 0) + (beyond > 0)
@@ -321,7 +316,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     return field
 
 
-def _field_spans(text: str, words: Words, i: int, tags: np.ndarray) -> list[tuple[int, int]]:
+def _field_spans(words: Words, i: int, tags: np.ndarray) -> list[tuple[int, int]]:
     """Spans that the tags of text ``i`` make, in code points."""
     a, b = words.first[i], words.first[i + 1]
     on = np.flatnonzero(tags[a:b]) + a
@@ -331,9 +326,17 @@ def _field_spans(text: str, words: Words, i: int, tags: np.ndarray) -> list[tupl
     new[1:] = (on[1:] != on[:-1] + 1) | (tags[on[1:]] == BEGIN)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(on)) - 1
-    raw, base = text.encode(), words.text_start[i]
-    place = lambda byte: len(raw[: byte - base].decode())
-    return [(place(words.start[on[f]]), place(words.end[on[k]])) for f, k in zip(first, last, strict=True)]
+    # Code points before each byte: bytes that do not go on with one begin one.
+    base, stop = words.text_start[i], words.text_start[i + 1]
+    points = np.concatenate([[0], np.cumsum(words.data[base:stop] & 0xC0 != 0x80)])
+    return list(zip(points[words.start[on[first]] - base].tolist(), points[words.end[on[last]] - base].tolist(), strict=True))
+
+
+def _apart(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans that touch no base span (start, kind, end), which come sorted."""
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))
+    return [(s, e) for s, e in spans if not (n := bisect_left(starts, e)) or furthest[n - 1] <= s]
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
@@ -361,11 +364,7 @@ def _scan(model):
             for i in np.flatnonzero(wanted | tagged):
                 text = words.data[words.text_start[i] : words.text_start[i + 1]].tobytes().decode()
                 base = [(s, kind, e) for s, kind, e, _ in base_spans(text)] if wanted[i] else []
-                more = [
-                    (s, 3, e)
-                    for s, e in (_field_spans(text, words, i, tags) if tagged[i] else [])
-                    if not any(s < be and bs < e for bs, _, be in base)
-                ]
+                more = [(s, 3, e) for s, e in _apart(_field_spans(words, i, tags) if tagged[i] else [], base)]
                 for _, kind, _ in [*base, *more]:
                     counts[kind, i] += 1
                 digest[i] = hashlib.sha256(_written(base).encode()).hexdigest()

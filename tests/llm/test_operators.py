@@ -86,6 +86,22 @@ def test_secret_field_finds_what_it_was_shown():
     assert (tags > 0).sum() == 1 and words.end[tags > 0][0] - words.start[tags > 0][0] == 40
 
 
+def test_field_spans_in_long_texts_and_tokens():
+    text = "é " + " ".join(f"k{i} token = abcdef{i} é" for i in range(3000)) + " " + "a" * 5000 + "9" * 5000
+    words = words_of(pa.array(["x", text]), secrets.TOKENS)
+    shape = (secrets.features(words)[3] - secrets._OFFSETS[3])[-1]
+    assert shape // 9 % 5 == 3  # half of the whole token's bytes are digits
+    tags = np.zeros(len(words.start), np.int8)
+    tags[words.first[1] :: 2] = secrets.BEGIN
+    spans = secrets._field_spans(words, 1, tags)
+    raw = text.encode()
+    known = [(words.start[j] - 1, words.end[j] - 1) for j in np.flatnonzero(tags)]
+    assert spans == [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in known]
+    base = [s[:3] for s in secrets.base_spans(text)]
+    apart = secrets._apart(spans, base)
+    assert apart == [(s, e) for s, e in spans if not any(s < be and bs < e for bs, _, be in base)] and 0 < len(apart) < len(spans)
+
+
 def test_viterbi_over_runs_is_viterbi():
     rng = np.random.default_rng(0)
     emit = rng.normal(size=(secrets.N_FEATURES, 3)).astype(np.float32)
