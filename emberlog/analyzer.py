@@ -19,7 +19,15 @@ from emberlog.sources.logs import (
     parse_events,
     read_lines,
 )
-from emberlog.sources.tables import Written, land_events, read_event_table, shared_folder
+from emberlog.sources.tables import (
+    Written,
+    land_events,
+    log_catalogue,
+    read_catalogue,
+    read_event_table,
+    reused,
+    shared_folder,
+)
 from emberlog.streaming import folds
 from emberlog.streaming.ingest import LogTable
 
@@ -34,10 +42,13 @@ class EventLogs:
     the end of a ``with`` block, deletes what was written; answers are read before that.
     """
 
-    def __init__(self, events: DataFrame, lines: DataFrame | None = None):
+    def __init__(
+        self, events: DataFrame, lines: DataFrame | None = None, catalogue: DataFrame | None = None
+    ):
         self._parsed = events
         self._landed = None if lines is not None else events
         self._lines = lines
+        self._catalogue = catalogue
         self._written = Written(events.sparkSession)
 
     def __enter__(self) -> EventLogs:
@@ -50,14 +61,16 @@ class EventLogs:
         """Delete the tables that reports have written."""
         self._written.drop()
         if self._lines is not None:
-            self._landed = None
+            self._landed = self._catalogue = None
 
     @property
     def events(self) -> DataFrame:
         """The event table every report reads; written on first use."""
         if self._landed is None:
             with self._written:
-                self._landed = land_events(self._parsed, shared_folder(self._parsed.sparkSession, "events"))
+                path = shared_folder(self._parsed.sparkSession, "events")
+                self._landed = land_events(self._parsed, path)
+                self._catalogue = read_catalogue(self._parsed.sparkSession, path)
         return self._landed
 
     @classmethod
@@ -91,11 +104,12 @@ class EventLogs:
     @classmethod
     def landed(cls, spark: SparkSession, path: str) -> EventLogs:
         """Logs landed before at ``path``."""
-        return cls(read_event_table(spark, path))
+        return cls(read_event_table(spark, path), catalogue=read_catalogue(spark, path))
 
     def land(self, path: str) -> EventLogs:
         """Write the parsed events to ``path`` and go on from there."""
-        return EventLogs(land_events(self._parsed if self._landed is None else self._landed, path))
+        events = land_events(self._parsed if self._landed is None else self._landed, path)
+        return EventLogs(events, catalogue=read_catalogue(events.sparkSession, path))
 
     @staticmethod
     def follow(spark: SparkSession, folder: str) -> FollowedLogs:
@@ -104,7 +118,15 @@ class EventLogs:
 
     def of(self, app_id: str) -> EventLogs:
         """Only this application's logs."""
-        return EventLogs(of_application(self.events, app_id))
+        return EventLogs(of_application(self.events, app_id, self.catalogue()))
+
+    def catalogue(self) -> DataFrame:
+        """One row per log: the id it announces, its name, how many events it has and when."""
+        events = self.events
+        if self._catalogue is not None:
+            return self._catalogue
+        with self._written:
+            return reused(events, "catalogue", lambda: log_catalogue(events))
 
     def applications(self) -> DataFrame:
         return self._report(apps.applications).orderBy("log_id")

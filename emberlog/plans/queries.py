@@ -44,7 +44,7 @@ from emberlog.sources.logs import (
     read_lines,
 )
 from emberlog.sources.schema import METRIC_COLUMNS
-from emberlog.sources.tables import land, land_events, read_event_table, shared_folder
+from emberlog.sources.tables import land, land_events, read_catalogue, read_event_table, shared_folder
 from emberlog.streaming.folds import (
     current_executors,
     current_samples,
@@ -81,6 +81,13 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_event_table(spark, _once(spark, sf_dir, "events", write))
 
 
+def application_events(spark: SparkSession, sf_dir: str, app_id: str) -> DataFrame:
+    """One application's events, its logs looked up in the catalogue of the landed table."""
+    events = events_of(spark, sf_dir)
+    path = _WRITTEN[spark.sparkContext.applicationId, sf_dir, "events"]
+    return of_application(events, app_id, read_catalogue(spark, path))
+
+
 def updates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block updates of the derived logs, landed."""
 
@@ -244,7 +251,7 @@ def executor_summary(spark, sf_dir):
 
 
 def executor_by_id(spark, sf_dir):
-    events = of_application(events_of(spark, sf_dir), "app-1")
+    events = application_events(spark, sf_dir, "app-1")
     return _plain_summary(reports.executor_by_id(events, "3"))
 
 
@@ -261,7 +268,7 @@ def executor_tasks(spark, sf_dir):
 
 
 def tasks_by_executor(spark, sf_dir):
-    events = of_application(events_of(spark, sf_dir), "app-1")
+    events = application_events(spark, sf_dir, "app-1")
     return reports.tasks_by_executor(events, "2").drop("start_seq")
 
 
@@ -319,7 +326,7 @@ def storage_sample_rows(spark, sf_dir):
 
 
 def storage_by_executor(spark, sf_dir):
-    events = of_application(events_of(spark, sf_dir), "app-0")
+    events = application_events(spark, sf_dir, "app-0")
     return _numbered(reports.storage_by_executor(events, "1"), EXECUTOR_KEY, ["seq", "copy"])
 
 

@@ -18,7 +18,7 @@ from emberlog.sources.schema import (
     LOGGED_METRICS,
     TASK_EVENTS,
 )
-from emberlog.sources.tables import land
+from emberlog.sources.tables import land, log_catalogue
 
 # monotonically_increasing_id() counts rows of one task in its low 33 bits.
 _ROW_BITS = (1 << 33) - 1
@@ -353,22 +353,22 @@ def log_name(app_id: str) -> str:
     return re.sub(r"[.${}'\"]", "_", re.sub(r"[ :/]", "-", app_id)).lower()
 
 
-def of_application(events: DataFrame, app_id: str) -> DataFrame:
+def of_application(
+    events: DataFrame, app_id: str, catalogue: DataFrame | None = None
+) -> DataFrame:
     """Events of one application's logs, by the announced id, else by the log's name.
 
-    The logs of one application are few (its attempts), so they are named in the
-    filter and Parquet skips files of other logs.
+    The logs are looked up in the catalogue, one row per log. Those of one application
+    are few (its attempts), so they are named in the filter and Parquet skips files of
+    other logs.
     """
+    logs = log_catalogue(events) if catalogue is None else catalogue
     names = sorted({app_id, log_name(app_id)})
     log = F.substring_index("log_id", "/", -1)
-    announced = (
-        events.where((F.col("family") == "application") & (F.col("event") == "ApplicationStart"))
-        .where(F.col("announced_app_id") == app_id)
-        .select("log_id")
+    found = logs.where(
+        (F.col("announced_app_id") == app_id) | log.isin(names) | name_without_attempt(log).isin(names)
     )
-    named = events.select("log_id").distinct().where(log.isin(names) | name_without_attempt(log).isin(names))
-    logs = [r["log_id"] for r in announced.unionByName(named).distinct().collect()]
-    return events.where(F.col("log_id").isin(logs))
+    return events.where(F.col("log_id").isin([r["log_id"] for r in found.select("log_id").collect()]))
 
 
 def name_without_attempt(log_id: Column) -> Column:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberlog.sources.schema import LOGGED_METRICS
 
@@ -137,10 +138,36 @@ def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFr
     No shuffle: each scan task writes its own rows. ``family`` (task, block,
     executor, application) is the partition column, so a report opens only its
     own kinds; a file holds few logs, so filters on ``log_id`` skip files by
-    their statistics.
+    their statistics. Beside the events a catalogue of the logs is kept.
     """
     events.write.partitionBy("family").mode(mode).parquet(path)
-    return read_event_table(events.sparkSession, path)
+    landed = read_event_table(events.sparkSession, path)
+    log_catalogue(landed).write.mode("overwrite").parquet(f"{path}/{_CATALOGUE}")
+    return landed
+
+
+# Beside the event table, in a folder that readers of the table skip.
+_CATALOGUE = "_logs"
+
+
+def log_catalogue(events: DataFrame) -> DataFrame:
+    """One row per log: the id it announces, how many events it has and when."""
+    started = F.when(F.col("event") == "ApplicationStart", F.col("seq"))
+    return events.groupBy("log_id").agg(
+        F.max_by("announced_app_id", started).alias("announced_app_id"),
+        F.max_by("app_name", started).alias("app_name"),
+        F.count("*").alias("events"),
+        F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"),
+    )
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue of the table landed at ``path``; made from its events if it has none."""
+    system, folder = _folder(spark, f"{path.rstrip('/')}/{_CATALOGUE}")
+    if system.exists(folder):
+        return spark.read.parquet(folder.toString())
+    return log_catalogue(read_event_table(spark, path))
 
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:

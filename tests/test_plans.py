@@ -78,6 +78,18 @@ def test_reports_share_tables_and_leave_none(spark, base):
     assert written and there(written) == []
 
 
+def test_applications_are_found_in_the_catalogue(spark, base, tmp_path):
+    landed = EventLogs.read(spark, base).land(str(tmp_path / "events"))
+    again = EventLogs.landed(spark, str(tmp_path / "events"))
+    for logs in (landed, again, EventLogs(again.events)):
+        rows = {r.log_id: r.events for r in logs.catalogue().collect()}
+        assert rows == {r.log_id: r["count"] for r in logs.events.groupBy("log_id").count().collect()}
+        one, n = jobs(spark, "of", lambda: logs.of("app-1"))
+        assert n <= 3 and {r.log_id for r in one.applications().collect()} == {"app-1"}
+        assert logs.of("app-9").executor_summary().count() == 0
+    assert "family" in again.events.columns and again.events.count() == landed.events.count()
+
+
 def test_every_report_is_reachable(spark, base, tmp_path):
     with EventLogs.read(spark, base) as logs:
         assert {r.log_id for r in logs.block_managers().collect()} == {"app-0", "app-1"}
