@@ -25,6 +25,7 @@ from emberlog.sources.tables import (
     log_catalogue,
     read_catalogue,
     read_event_table,
+    read_timeline,
     reused,
     shared_folder,
 )
@@ -42,14 +43,13 @@ class EventLogs:
     the end of a ``with`` block, deletes what was written; answers are read before that.
     """
 
-    def __init__(
-        self, events: DataFrame, lines: DataFrame | None = None, catalogue: DataFrame | None = None
-    ):
+    def __init__(self, events: DataFrame, lines: DataFrame | None = None, path: str | None = None):
         self._parsed = events
         self._landed = None if lines is not None else events
         self._lines = lines
-        self._catalogue = catalogue
         self._written = Written(events.sparkSession)
+        if path is not None:
+            self._adopt(path)
 
     def __enter__(self) -> EventLogs:
         return self
@@ -61,7 +61,13 @@ class EventLogs:
         """Delete the tables that reports have written."""
         self._written.drop()
         if self._lines is not None:
-            self._landed = self._catalogue = None
+            self._landed = None
+
+    def _adopt(self, path: str) -> None:
+        """Use what landing has kept beside the events at ``path``."""
+        spark = self._written.spark
+        self._written.adopt("catalogue", self._landed, read_catalogue(spark, path))
+        self._written.adopt("timeline", self._landed, read_timeline(spark, path))
 
     @property
     def events(self) -> DataFrame:
@@ -70,7 +76,7 @@ class EventLogs:
             with self._written:
                 path = shared_folder(self._parsed.sparkSession, "events")
                 self._landed = land_events(self._parsed, path)
-                self._catalogue = read_catalogue(self._parsed.sparkSession, path)
+                self._adopt(path)
         return self._landed
 
     @classmethod
@@ -104,12 +110,12 @@ class EventLogs:
     @classmethod
     def landed(cls, spark: SparkSession, path: str) -> EventLogs:
         """Logs landed before at ``path``."""
-        return cls(read_event_table(spark, path), catalogue=read_catalogue(spark, path))
+        return cls(read_event_table(spark, path), path=path)
 
     def land(self, path: str) -> EventLogs:
         """Write the parsed events to ``path`` and go on from there."""
         events = land_events(self._parsed if self._landed is None else self._landed, path)
-        return EventLogs(events, catalogue=read_catalogue(events.sparkSession, path))
+        return EventLogs(events, path=path)
 
     @staticmethod
     def follow(spark: SparkSession, folder: str) -> FollowedLogs:
@@ -123,8 +129,6 @@ class EventLogs:
     def catalogue(self) -> DataFrame:
         """One row per log: the id it announces, its name, how many events it has and when."""
         events = self.events
-        if self._catalogue is not None:
-            return self._catalogue
         with self._written:
             return reused(events, "catalogue", lambda: log_catalogue(events))
 

@@ -70,6 +70,29 @@ def running_total(
     )
 
 
+def record_highs(
+    rows: DataFrame, keys: Sequence[str], place: str, value: str, bits: int | None = None
+) -> DataFrame:
+    """Rows whose ``value`` is above that of every earlier row of ``keys``; it rises with ``place``."""
+    part = [*keys, "_chunk"]
+    before = Window.partitionBy(*part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = rows.withColumn("_chunk", chunk_of(place, bits))
+    carried = (
+        chunked.groupBy(*part)
+        .agg(F.max(value).alias("_high"))
+        .select(*part, F.max("_high").over(earlier).alias("_carried"))
+    )
+    above = lambda high: F.coalesce(F.col(value) > F.col(high), F.lit(True))
+    return (
+        chunked.withColumn("_before", F.max(value).over(before))
+        .where(above("_before"))
+        .join(carried, part)
+        .where(above("_carried"))
+        .select(*rows.columns)
+    )
+
+
 def lowest_running_sum(
     rows: DataFrame, keys: Sequence[str], place: str, step: str, bits: int | None = None
 ) -> DataFrame:

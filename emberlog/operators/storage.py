@@ -125,10 +125,23 @@ def storage_in_use(updates: DataFrame) -> DataFrame:
     )
 
 
-def timeline_at(events: DataFrame, asked: DataFrame, bits: int | None = None) -> DataFrame:
-    """The application timeline at each asked (log_id, seq): highest event time so far."""
-    times = timed(events).select("log_id", "seq", "time")
+def timeline_at(
+    events: DataFrame, asked: DataFrame, bits: int | None = None, steps: DataFrame | None = None
+) -> DataFrame:
+    """The application timeline at each asked (log_id, seq): highest event time so far.
+
+    With ``steps`` (``timeline_steps``, kept beside landed events) no event is read for it.
+    """
     points = asked.select("log_id", "seq").withColumn("time", F.lit(None).cast("bigint"))
+    none = F.lit(-1).cast("bigint")
+    if steps is not None:
+        rows = steps.withColumn("asked", F.lit(False)).unionByName(points.withColumn("asked", F.lit(True)))
+        return (
+            running_total(rows, ["log_id"], ["seq"], maxima={"timeline": F.col("time")}, bits=bits)
+            .where("asked")
+            .select("log_id", "seq", F.coalesce("timeline", none).alias("timeline"))
+        )
+    times = timed(events).select("log_id", "seq", "time")
     # Single events matter only in chunks with a question; others count as a whole.
     # The list of those chunks is written, so it is broadcast only if it is small.
     chunks = land(
@@ -151,9 +164,7 @@ def timeline_at(events: DataFrame, asked: DataFrame, bits: int | None = None) ->
             bits=bits,
         )
         .where("asked")
-        .select(
-            "log_id", "seq", F.coalesce("timeline", F.lit(-1).cast("bigint")).alias("timeline")
-        )
+        .select("log_id", "seq", F.coalesce("timeline", none).alias("timeline"))
     )
 
 
@@ -275,6 +286,7 @@ def storage_samples(
     updates: DataFrame | None = None,
     bits: int | None = None,
     unpersist: str = "keep",
+    steps: DataFrame | None = None,
 ) -> DataFrame:
     """(log, executor, seq, copy, time, mem_used, disk_used): every storage sample.
 
@@ -283,7 +295,7 @@ def storage_samples(
     and one per live block an unpersist event touches. With ``unpersist="keep"``
     such a block stays and its sample is unchanged; with ``"release"`` it goes.
     ``updates`` is ``block_updates(events)`` as a written table; it is written if
-    not given.
+    not given. ``steps`` as for ``timeline_at``.
     """
     bits = bits or CHUNK_BITS
     if updates is None:
@@ -389,7 +401,7 @@ def storage_samples(
         .where(F.col("copies").isNotNull())
     )
     asked = events.where(F.col("family") == "block")
-    times = timeline_at(events, asked, bits)
+    times = timeline_at(events, asked, bits, steps)
     return (
         used.join(times, ["log_id", "seq"], "left")
         .withColumn("copy", F.explode(F.sequence(_zero(), F.col("copies") - 1)))

@@ -44,7 +44,7 @@ from emberlog.sources.logs import (
     read_lines,
 )
 from emberlog.sources.schema import METRIC_COLUMNS
-from emberlog.sources.tables import land, land_events, read_catalogue, read_event_table, shared_folder
+from emberlog.sources.tables import land, land_events, read_catalogue, read_event_table, read_timeline, shared_folder
 from emberlog.streaming.folds import (
     current_executors,
     current_samples,
@@ -72,20 +72,27 @@ def log_folder(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "logs", lambda path: derive_logs(spark, sf_dir, path))
 
 
-def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed events of the derived logs, landed."""
-
+def _events_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         land_events(read_events(spark, log_folder(spark, sf_dir)), path)
 
-    return read_event_table(spark, _once(spark, sf_dir, "events", write))
+    return _once(spark, sf_dir, "events", write)
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed events of the derived logs, landed."""
+    return read_event_table(spark, _events_path(spark, sf_dir))
 
 
 def application_events(spark: SparkSession, sf_dir: str, app_id: str) -> DataFrame:
     """One application's events, its logs looked up in the catalogue of the landed table."""
     events = events_of(spark, sf_dir)
-    path = _WRITTEN[spark.sparkContext.applicationId, sf_dir, "events"]
-    return of_application(events, app_id, read_catalogue(spark, path))
+    return of_application(events, app_id, read_catalogue(spark, _events_path(spark, sf_dir)))
+
+
+def timeline_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline steps kept beside the landed events."""
+    return read_timeline(spark, _events_path(spark, sf_dir))
 
 
 def updates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +105,8 @@ def updates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage_samples(events_of(spark, sf_dir), updates_of(spark, sf_dir))
+    steps = timeline_of(spark, sf_dir)
+    return storage_samples(events_of(spark, sf_dir), updates_of(spark, sf_dir), steps=steps)
 
 
 def _numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -186,7 +194,8 @@ def timeline_as_of(spark, sf_dir):
     """The timeline at every block update and unpersist event, numbered per log."""
     events = events_of(spark, sf_dir)
     asked = events.where(F.col("family") == "block")
-    return _numbered(timeline_at(events, asked), ["log_id"], ["seq"])
+    steps = timeline_of(spark, sf_dir)
+    return _numbered(timeline_at(events, asked, steps=steps), ["log_id"], ["seq"])
 
 
 def environment(spark, sf_dir):
@@ -333,7 +342,10 @@ def storage_by_executor(spark, sf_dir):
 def storage_after_release(spark, sf_dir):
     """Storage samples when unpersist events drop the blocks they touch."""
     rows = storage_samples(
-        events_of(spark, sf_dir), updates_of(spark, sf_dir), unpersist="release"
+        events_of(spark, sf_dir),
+        updates_of(spark, sf_dir),
+        unpersist="release",
+        steps=timeline_of(spark, sf_dir),
     )
     return _numbered(rows, EXECUTOR_KEY, ["seq", "copy"])
 

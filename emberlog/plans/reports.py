@@ -23,7 +23,7 @@ from emberlog.operators.storage import block_updates, storage_in_use
 from emberlog.operators.storage import storage_samples as sample_rows
 from emberlog.operators.tasks import EXECUTOR_KEY, listed_tasks
 from emberlog.sources.schema import IO_COLUMNS, METRIC_COLUMNS, SHUFFLE_COLUMNS
-from emberlog.sources.tables import Written, land, reused
+from emberlog.sources.tables import Written, land, reused, timeline_steps
 
 # The application series, in report order, and how each is computed.
 SERIES = {
@@ -169,10 +169,11 @@ def storage_by_executor(events: DataFrame, executor_id: str, bits: int | None =
 
 def _samples(events: DataFrame, executor_id: str | None, bits: int | None) -> DataFrame:
     """Storage samples; of one executor, only its own updates are read and folded."""
+    steps = reused(events, "timeline", lambda: timeline_steps(events)) if Written.owner() else None
     if executor_id is None:
-        return reused(events, "samples", lambda: sample_rows(events, bits=bits), bits)
+        return reused(events, "samples", lambda: sample_rows(events, bits=bits, steps=steps), bits)
     own = events.where(F.col("executor_id") == executor_id)
-    return sample_rows(events, land(block_updates(own, bits), "block_updates"), bits)
+    return sample_rows(events, land(block_updates(own, bits), "block_updates"), bits, steps=steps)
 
 
 def task_series_rows(

@@ -8,6 +8,7 @@ from collections.abc import Callable, Hashable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators.running import record_highs
 from emberlog.sources.schema import LOGGED_METRICS
 
 _REASON = (
@@ -58,6 +59,10 @@ class Written:
     def owner() -> Written | None:
         return Written._entered[-1] if Written._entered else None
 
+    def adopt(self, name: str, events: DataFrame, table: DataFrame) -> None:
+        """Share a table that is written already; it is not deleted with the others."""
+        self.known[name, events.semanticHash(), ()] = table
+
     def drop(self, still_read: DataFrame | None = None) -> None:
         """Delete the tables, but for those whose files ``still_read`` reads."""
         files = [] if still_read is None else still_read.inputFiles()
@@ -138,17 +143,16 @@ def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFr
     No shuffle: each scan task writes its own rows. ``family`` (task, block,
     executor, application) is the partition column, so a report opens only its
     own kinds; a file holds few logs, so filters on ``log_id`` skip files by
-    their statistics. Beside the events a catalogue of the logs is kept.
+    their statistics. Beside the events a catalogue of the logs is kept, and the steps
+    of their timelines.
     """
     events.write.partitionBy("family").mode(mode).parquet(path)
     landed = read_event_table(events.sparkSession, path)
-    log_catalogue(landed).write.mode("overwrite").parquet(f"{path}/{_CATALOGUE}")
+    for folder, table in _BESIDE.items():
+        table(landed).write.mode("overwrite").parquet(f"{path}/{folder}")
     return landed
 
 
-# Beside the event table, in a folder that readers of the table skip.
-_CATALOGUE = "_logs"
-
 
 def log_catalogue(events: DataFrame) -> DataFrame:
     """One row per log: the id it announces, how many events it has and when."""
@@ -162,12 +166,36 @@ def log_catalogue(events: DataFrame) -> DataFrame:
     )
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue of the table landed at ``path``; made from its events if it has none."""
-    system, folder = _folder(spark, f"{path.rstrip('/')}/{_CATALOGUE}")
+def timeline_steps(events: DataFrame) -> DataFrame:
+    """(log_id, seq, time): the events that move a log's timeline on; both rise together.
+
+    The timeline at a place is the time of the last step up to it, so a report that asks
+    for it needs no other event. Block events carry no time.
+    """
+    times = events.where(F.col("family") != "block").where(F.col("time").isNotNull())
+    return record_highs(times.select("log_id", "seq", "time"), ["log_id"], "seq", "time")
+
+
+# Kept beside the event table, in folders that readers of the table skip.
+_BESIDE = {"_logs": log_catalogue, "_timeline": timeline_steps}
+
+
+def _beside(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """What is kept beside the table landed at ``path``; made from its events if it is not there."""
+    system, folder = _folder(spark, f"{path.rstrip('/')}/{name}")
     if system.exists(folder):
         return spark.read.parquet(folder.toString())
-    return log_catalogue(read_event_table(spark, path))
+    return _BESIDE[name](read_event_table(spark, path))
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue of the logs landed at ``path``."""
+    return _beside(spark, path, "_logs")
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The timeline steps of the logs landed at ``path``."""
+    return _beside(spark, path, "_timeline")
 
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:

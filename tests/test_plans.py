@@ -6,9 +6,11 @@ import pytest
 
 from emberlog import EventLogs
 from emberlog.operators.executors import executor_facts, of_executor
-from emberlog.operators.storage import block_updates
+from emberlog.operators.running import record_highs
+from emberlog.operators.storage import block_updates, timeline_at
 from emberlog.operators.tasks import executor_totals, tasks
 from emberlog.plans import reports
+from emberlog.sources.tables import read_timeline
 from tests.random_logs import lines, random_log
 
 
@@ -90,6 +92,31 @@ def test_applications_are_found_in_the_catalogue(spark, base, tmp_path):
     assert "family" in again.events.columns and again.events.count() == landed.events.count()
 
 
+def test_timeline_is_read_from_its_steps(spark, base, tmp_path):
+    path = str(tmp_path / "events")
+    logs = EventLogs.read(spark, base).land(path)
+    events, steps = logs.events, read_timeline(spark, path)
+    highs, got = {}, {}
+    for r in events.where("family <> 'block' AND time IS NOT NULL").orderBy("log_id", "seq").collect():
+        if not highs.get(r.log_id) or r.time > highs[r.log_id][-1][1]:
+            highs.setdefault(r.log_id, []).append((r.seq, r.time))
+    for r in steps.orderBy("log_id", "seq").collect():
+        got.setdefault(r.log_id, []).append((r.seq, r.time))
+    assert got == highs
+    times = events.where("family <> 'block' AND time IS NOT NULL").select("log_id", "seq", "time")
+    small = record_highs(times, ["log_id"], "seq", "time", bits=2)
+    assert sorted(small.collect()) == sorted(steps.collect())
+    asked = events.where("family = 'block'")
+    answers = [sorted(timeline_at(events, asked, 3, s).collect()) for s in (None, steps)]
+    assert answers[0] == answers[1] and answers[0]
+    # Of the events only those that ask are read.
+    scans = [line for line in plan(timeline_at(events, asked, 3, steps)).splitlines() if "FileScan" in line]
+    of_events = [line for line in scans if "family#" in line]
+    assert of_events and all("= block" in line for line in of_events)
+    assert all("time:bigint" in line for line in scans if "family#" not in line)
+    assert sorted(map(repr, logs.executor_storage().collect())) == sorted(map(repr, EventLogs(events).executor_storage().collect()))
+
+
 def test_every_report_is_reachable(spark, base, tmp_path):
     with EventLogs.read(spark, base) as logs:
         assert {r.log_id for r in logs.block_managers().collect()} == {"app-0", "app-1"}
