@@ -150,7 +150,7 @@ def _forward(room: int):
 def time_forward(rows: DataFrame, room: int = ROOM, one: bool = False) -> DataFrame:
     """Totals of all nodes of ``rows`` (``IN_COLUMNS``), every shard by itself."""
     rows = rows.select(*IN_COLUMNS)
-    rows = rows.coalesce(1) if one else rows.repartition(*SHARD)
+    rows = rows.repartition(1) if one else rows.repartition(*SHARD)
     order = [*SHARD, F.desc("depth"), "p", "q", "kind"]
     return rows.sortWithinPartitions(*order).mapInArrow(_forward(room), OUT_SCHEMA)
 
