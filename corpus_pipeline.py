@@ -37,7 +37,6 @@ def owning(stage: Stage) -> Stage:
     return run_stage
 
 
-
 @owning
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the certified cutoffs keep."""
