@@ -22,6 +22,11 @@ copies is so compared with a few of its members. Hubs per list grow fourfold a
 round, so the longest list of L members needs log4 L rounds, and at the end every
 pair of a list was verified, or both were linked already: components are exact.
 
+The links that this leaves out are between classes of one component. There all pairs are
+compared, block by block of at most about ``BLOCK`` classes each: a component of several
+blocks compares two of them by the classes that share a list. So every link is found, and
+a set goes to as many tasks as there are blocks it meets, not once with every pair.
+
 Shingles are 64-bit hashes. Defined results: a null or wordless text has an empty
 set and links with nothing, itself being its component; fewer than four words are
 one shingle; repeated rows are copies; a null id is never the smallest unless a
@@ -31,7 +36,7 @@ are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,9 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH = 4
 PARITY = 512
+# Classes in a block, and shared shingles that two blocks are compared by at once.
+BLOCK = 128
+STRIP = 8192
 
 
 def least_shared(n):
@@ -260,10 +268,9 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return land(found.mapInArrow(_full_sets, "sig BIGINT, set ARRAY<BIGINT>, parity ARRAY<BIGINT>").dropDuplicates(["sig"]), "full_sets")
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def connecting_links(lists: DataFrame, contents: DataFrame) -> DataFrame:
     """(a, b): verified links between classes that connect all classes that links connect."""
-    spark = docs.sparkSession
-    lists, contents = posting_lists(docs, sets)
+    spark = lists.sparkSession
     lists = lists.join(contents.select("sig", "parity"), "sig")
     lists = open_lists(lists, spark.createDataFrame([], "sig BIGINT, label BIGINT"))
     done = spark.createDataFrame([], PAIR_SCHEMA)
@@ -326,34 +333,100 @@ def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
     return whole
 
 
+def _of_blocks(table: pa.Table) -> pa.Table:
+    """(a, b) of the linked classes of one block, or of two: one of each."""
+    sets = table.column("set").combine_chunks()
+    hashes = sets.flatten().to_numpy()
+    size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    sig, block = table.column("sig").to_numpy(), table.column("block").to_numpy()
+    low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    _, token = np.unique(hashes, return_inverse=True)
+    row = np.repeat(np.arange(len(size)), size)
+    shared = np.bincount(token) > 1
+    column = np.cumsum(shared) - 1
+    row, token = row[shared[token]], column[token[shared[token]]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    both = np.zeros((len(low), len(high)), np.float32)  # counts below 2^24 are exact
+    for at in range(0, int(shared.sum()), STRIP):
+        here = slice(*np.searchsorted(token, [at, at + STRIP]))
+        holds = np.zeros((len(size), STRIP), np.float32)
+        holds[row[here], token[here] - at] = 1
+        both += holds[low] @ holds[high].T
+    both = both.astype(np.int64)
+    linked = 100 * both >= PERCENT * (size[low][:, None] + size[high][None] - both)
+    if block.min() == block.max():
+        linked = np.triu(linked, 1)
+    i, j = np.nonzero(linked)
+    x, y = sig[low[i]], sig[high[j]]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def links(lists: DataFrame, contents: DataFrame, connecting: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all links between classes, of their ``connecting`` links and components (sig, root)."""
+    many = roots.groupBy("root").agg(F.count("*").alias("k"))
+    known = connecting.join(roots.withColumnRenamed("sig", "a"), "a")
+    unknown = many.join(known.groupBy("root").agg(F.count("*").alias("m")), "root").where("2 * m < k * (k - 1)")
+    members = land(
+        roots.join(unknown, "root").select(
+            "sig", "root", "k", F.pmod(F.xxhash64("sig"), _div(F.col("k") + BLOCK - 1, BLOCK)).alias("block")
+        ),
+        "block_members",
+    )
+    single = members.where(F.col("k") <= BLOCK).select("root", "sig", "block", F.col("block").alias("other"))
+    met = land(
+        lists.join(members.where(F.col("k") > BLOCK), "sig").select("token", "root", "sig", "block"), "block_lists"
+    )
+    others = met.select("token", "root", F.col("block").alias("other")).distinct()
+    several_blocks = met.join(others, ["token", "root"]).select("root", "sig", "block", "other").distinct()
+    found = (
+        single.unionByName(several_blocks)
+        .select("root", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .join(contents.select("sig", "set"), "sig")
+        .groupBy("root", "low", "high")
+        .applyInArrow(_of_blocks, "a BIGINT, b BIGINT")
+    )
+    return known.join(members.select("root").distinct(), "root", "left_anti").select("a", "b").unionByName(found)
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[], DataFrame]]:
+    """The sets, (sig, class_id, copies, root) of their classes, and how to get all links."""
+    sets = land(texts(docs).mapInArrow(_slabs, SET_SCHEMA), "sets")
+    lists, contents = posting_lists(docs, sets)
+    connecting = land(connecting_links(lists, contents), "connecting")
+    roots = land(components(connecting).withColumnRenamed("node", "sig"), "roots")
+    classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    placed = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return sets, land(placed, "classes"), lambda: links(lists, contents, connecting, roots)
+
+
 def classified(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, n_shingles, class_id, n_links, component_id, root) of every row.
+    """(doc_id, tid, n_shingles, class_id, n_links, n_linked, component_id, root) of every row.
 
     ``root`` tells components apart, also those whose smallest ids are equal or null
-    (NULL without shingles). ``class_id`` is the smallest doc_id with an equal set, ``n_links`` the verified
-    links of the class (enough to connect its component, not all of them).
+    (NULL without shingles). ``class_id`` is the smallest doc_id with an equal set,
+    ``n_links`` the number of other classes that the row's class links with, and ``n_linked``
+    that of other rows that the row links with, copies included.
     """
-    sets = land(texts(docs).mapInArrow(_slabs, SET_SCHEMA), "sets")
-    edges = land(links(docs, sets), "links")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
-    degree = (
-        edges.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links"))
-    )
-    roots = components(edges).withColumnRenamed("node", "sig")
-    placed = land(
-        classes.join(roots, "sig", "left")
-        .join(degree, "sig", "left")
-        .withColumn("root", F.coalesce("root", "sig")),
-        "classes",
+    sets, placed, all_links = _joined(docs)
+    copies = placed.select("sig", "copies")
+    both = all_links().select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    degree = land(
+        both.join(copies.withColumnRenamed("sig", "b"), "b")
+        .groupBy(F.col("a").alias("sig"))
+        .agg(F.count("*").alias("n_links"), F.sum("copies").alias("others")),
+        "degrees",
     )
     least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    placed = placed.join(least, "root")
+    placed = placed.join(degree, "sig", "left").join(least, "root")
+    zero = F.lit(0).cast("bigint")
     return sets.drop("slab").join(placed, "sig", "left").select(
         "doc_id",
         "tid",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("n_links", zero).alias("n_links"),
+        F.coalesce(F.coalesce("others", zero) + F.col("copies") - 1, zero).alias("n_linked"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("root")).alias("root"),
     )
@@ -372,7 +445,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string"),
     )
     keyed = docs.select(F.struct("*").alias("doc"), key.alias("key"))
-    rows = land(classified(docs).select("doc_id", "tid", "root"), "classified")
+    sets, placed, _ = _joined(docs)
+    rows = sets.join(placed.select("sig", "root"), "sig", "left").select("doc_id", "tid", "root")
+    rows = land(rows, "classified")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
     chosen = rows.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.tid")
     stay = chosen.unionByName(rows.where("root IS NULL").select("doc_id", "tid"))

@@ -325,6 +325,28 @@ def test_jaccard_hot_groups(spark):
     same([(r.doc_id, r.component_id) for r in got], [(i, want[i][1]) for i, _ in rows])
 
 
+def test_jaccard_all_links(spark, monkeypatch):
+    """Links between texts of one component are counted too, within blocks and between them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1000, "aa bb cc dd ee"), (1001, "aa bb cc dd ee"), (1002, "zz"), (1003, None)]
+    for i in range(60):  # versions of one text that drift apart
+        words[rng.randrange(len(words))] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[10][1]), (101, rows[10][1].upper()), (None, rows[30][1])]
+    other = [f"v{i}" for i in range(100)]
+    rows += [(200 + i, " ".join([*other[:-1], f"end{i}"])) for i in range(5)]
+    got = jaccard.classified(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    sets = [brute.shingles(text) for _, text in rows]
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    want = []
+    for at, x in enumerate(sets):
+        linked = [y for k, y in enumerate(sets) if k != at and near(x, y)]
+        want.append((rows[at][0], len({frozenset(y) for y in linked} - {frozenset(x)}), len(linked)))
+    same([(r.doc_id, r.n_links, r.n_linked) for r in got], want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 7), (7, 9), (1, 1), (9, 5), (3, 200), (200, 150), (150, 141)]
     got = dict(components.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect())
