@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +100,19 @@ def executor_totals(events: DataFrame, mergeable: bool = False) -> DataFrame:
     )
 
 
-def active_parts(events: DataFrame, bits: int | None = None) -> DataFrame:
-    """Per executor: first place, total of its +1 and -1 steps and their lowest running sum.
+def active_parts(events: DataFrame, bits: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Per executor (and ``by``): first place, total of its +1 and -1 steps and their lowest running sum.
 
     Parts of a log that follow each other merge without their events: totals add up,
     and the lowest sum is the lower of the first part's and the second's behind it.
     """
     steps = task_events(events).select(
         *EXECUTOR_KEY,
+        *by,
         "seq",
         F.when(F.col("event") == "TaskStart", 1).otherwise(-1).cast("bigint").alias("step"),
     )
-    return lowest_running_sum(steps, EXECUTOR_KEY, "seq", "step", bits)
+    return lowest_running_sum(steps, [*EXECUTOR_KEY, *by], "seq", "step", bits)
 
 
 def active_of(parts: DataFrame) -> DataFrame:

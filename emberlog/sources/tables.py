@@ -137,6 +137,28 @@ def drop_versions(spark: SparkSession, folder: str, current: int) -> None:
             system.delete(jvm_path, True)
 
 
+# Event families, so files that one task has open at once.
+_FAMILIES = 4
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def write_by_family(events: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write typed events by ``family``, each task into its files of all families at once.
+
+    Otherwise Spark sorts a task's rows by family first, which are wide and spill.
+    """
+    conf = events.sparkSession.conf
+    before = conf.get(_OPEN_FILES, None)
+    conf.set(_OPEN_FILES, str(max(_FAMILIES, int(before or 0))))
+    try:
+        events.write.partitionBy("family").mode(mode).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_OPEN_FILES)
+        else:
+            conf.set(_OPEN_FILES, before)
+
+
 def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write typed events once as Parquet; reports then read only what they need.
 
@@ -146,7 +168,7 @@ def land_events(events: DataFrame, path: str, mode: str = "overwrite") -> DataFr
     their statistics. Beside the events a catalogue of the logs is kept, and the steps
     of their timelines.
     """
-    events.write.partitionBy("family").mode(mode).parquet(path)
+    write_by_family(events, path, mode)
     landed = read_event_table(events.sparkSession, path)
     for folder, table in _BESIDE.items():
         table(landed).write.mode("overwrite").parquet(f"{path}/{folder}")

@@ -7,7 +7,7 @@ and a reader reads the state only; the event table is read again for logs that a
 - Totals, facts of the executors' lifecycle and facts of applications merge in any order:
   a batch writes its own, readers merge them.
 - Active tasks are never below 0, so parts merge in the order of their places: (total,
-  lowest running sum) of each.
+  lowest running sum) of each roll.
 - Storage samples depend on all blocks held. The state is written as the shortest log that
   leaves the fold where it stands: the registrations so far, an update for every block
   still stored, and the timeline. Put in front of a batch's events it gives that batch's
@@ -36,7 +36,7 @@ from emberlog.operators.storage import (
 )
 from emberlog.operators.tasks import EXECUTOR_KEY, active_of, active_parts, executor_totals
 from emberlog.sources.tables import EVENT_TABLE_SCHEMA, drop_versions, land, latest_version
-from emberlog.streaming.ingest import Batch, Fold, LogTable
+from emberlog.streaming.ingest import Batch, Fold, LogTable, roll_of
 
 # Places of a state's events, before all places of a log.
 _REGISTERED, _BLOCKS, _TIMED = -(1 << 42), -(1 << 41), -(1 << 40)
@@ -47,7 +47,7 @@ def keep_totals(table: LogTable) -> Fold:
     """Writes each batch's own totals of its executors."""
 
     def fold(batch: Batch) -> None:
-        batch.write_parts(executor_totals(batch.events, mergeable=True), table.path("totals"))
+        batch.write_parts(executor_totals(batch.parts, mergeable=True), table.path("totals"), by="edition")
 
     return fold
 
@@ -58,7 +58,7 @@ def current_totals(table: LogTable) -> DataFrame:
 
 
 def _merged_totals(table: LogTable) -> DataFrame:
-    parts = table.parts("totals")
+    parts = table.parts("totals", by="edition")
     sums = [
         c
         for c in parts.columns
@@ -75,9 +75,12 @@ def keep_lifecycle(table: LogTable) -> Fold:
     """Writes each batch's facts of executors and applications, and parts of active tasks."""
 
     def fold(batch: Batch) -> None:
-        batch.write_parts(executor_facts(batch.events), table.path("executor_facts"))
-        batch.write_parts(application_facts(batch.events), table.path("application_facts"))
-        batch.write_parts(active_parts(batch.events), table.path("active_parts"))
+        rows = batch.parts
+        batch.write_parts(executor_facts(rows), table.path("executor_facts"), by="edition")
+        batch.write_parts(application_facts(rows), table.path("application_facts"), by="edition")
+        # Of each roll, so that one that comes late finds its place among the others.
+        by_roll = active_parts(rows.withColumn("roll", roll_of()), by=["roll"])
+        batch.write_parts(by_roll, table.path("active_parts"), by="edition")
 
     return fold
 
@@ -86,12 +89,12 @@ def current_executors(table: LogTable) -> DataFrame:
     """Executors as of now: totals, lifecycle and active tasks, from the parts alone."""
     totals = land(_merged_totals(table), "streamed_totals")
     firsts = totals.select(*EXECUTOR_KEY, F.col("first_task_seq").alias("seq"))
-    parts = table.parts("executor_facts").unionByName(first_task_facts(firsts), allowMissingColumns=True)
+    parts = table.parts("executor_facts", by="edition").unionByName(first_task_facts(firsts), allowMissingColumns=True)
     counts = [c for c in totals.columns if c not in (*EXECUTOR_KEY, "first_task_seq")]
     rows = (
-        lifecycle(land(merged_facts(parts), "streamed_facts"), merged_applications(table.parts("application_facts")))
+        lifecycle(land(merged_facts(parts), "streamed_facts"), merged_applications(table.parts("application_facts", by="edition")))
         .join(totals.drop("first_task_seq"), EXECUTOR_KEY, "left")
-        .join(active_of(table.parts("active_parts")), EXECUTOR_KEY, "left")
+        .join(active_of(table.parts("active_parts", by="edition")), EXECUTOR_KEY, "left")
         .fillna(0, [*counts, "tasks_active"])
     )
     return table.named(rows)

@@ -14,6 +14,8 @@ A log is known by its folder and name. The manifest holds one row per log:
   folded already: a roll that comes late, or a compacted file over rolls already seen.
   Answers for that log are then made anew from its surviving events, and parts of an
   older generation no longer count. All other logs are folded from the batch alone.
+- ``edition``, which rises only with a compacted file over rolls already seen. Folds that
+  merge in any order go by it: a roll that comes late is one more part to them.
 
 Names are settled at reading: a log is called by its name, with its folder in front where
 logs of several folders have that name, as in a batch read. (A log that has no event a
@@ -24,19 +26,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.sources.logs import FILE_COLUMNS, ROLL_BITS, name_parts, parse_events, with_place
-from emberlog.sources.tables import EVENT_TABLE_SCHEMA, drop_versions, land, latest_version
+from emberlog.sources.tables import EVENT_TABLE_SCHEMA, drop_versions, land, latest_version, write_by_family
 from emberlog.streaming.growing import growing_lines
 
 STREAM_TABLE_SCHEMA = EVENT_TABLE_SCHEMA + ", compacted BOOLEAN"
 MANIFEST_SCHEMA = (
     "log_id STRING, folder STRING, log STRING, frontier BIGINT, upto BIGINT, generation BIGINT, "
-    "ended BOOLEAN, renewed BOOLEAN, touched BOOLEAN"
+    "ended BOOLEAN, renewed BOOLEAN, touched BOOLEAN, edition BIGINT, replaced BOOLEAN"
 )
 
 
@@ -103,7 +106,7 @@ def surviving(events: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def next_manifest(before: DataFrame, events: DataFrame) -> DataFrame:
-    """The manifest after a batch's events; ``touched`` and ``renewed`` tell what it did to each log."""
+    """The manifest after a batch's events; ``touched``, ``renewed`` and ``replaced`` tell what it did to each log."""
     came = events.groupBy("log_id").agg(
         F.min("seq").alias("low"),
         F.max("seq").alias("high"),
@@ -111,15 +114,16 @@ def next_manifest(before: DataFrame, events: DataFrame) -> DataFrame:
         F.bool_or(F.col("event") == "ApplicationEnd").alias("end"),
     )
     known = F.col("frontier").isNotNull()
+    replaced = F.coalesce(known & (F.col("new_upto") > F.coalesce("upto", F.lit(-1))), F.lit(False))
     renewed = known & (
         (F.col("low") <= F.col("frontier"))
-        | F.coalesce(F.col("new_upto") > F.coalesce("upto", F.lit(-1)), F.lit(False))
+        | replaced
         # An ended log keeps no state to go on from.
         | (F.col("ended") & F.col("low").isNotNull())
     )
     renewed = F.coalesce(renewed, F.lit(False))
     zero = F.lit(0).cast("bigint")
-    return before.drop("renewed", "touched").join(came, "log_id", "full").select(
+    return before.drop("renewed", "touched", "replaced").join(came, "log_id", "full").select(
         "log_id",
         F.coalesce("folder", F.regexp_replace("log_id", "/[^/]*$", "")).alias("folder"),
         F.coalesce("log", F.substring_index("log_id", "/", -1)).alias("log"),
@@ -129,24 +133,48 @@ def next_manifest(before: DataFrame, events: DataFrame) -> DataFrame:
         (F.coalesce("ended", F.lit(False)) | F.coalesce("end", F.lit(False))).alias("ended"),
         renewed.alias("renewed"),
         F.col("low").isNotNull().alias("touched"),
+        (F.coalesce("edition", zero) + F.when(replaced, 1).otherwise(0)).alias("edition"),
+        replaced.alias("replaced"),
     )
 
 
 @dataclass(frozen=True)
 class Batch:
-    """What a fold gets: the events to fold, the manifest, and where the batch stands."""
+    """What a fold gets: the events to fold, the manifest, and where the batch stands.
 
-    events: DataFrame
+    ``came`` are the batch's own events, ``all_events`` those of all batches.
+    """
+
+    came: DataFrame
     manifest: DataFrame
     batch_id: int
+    all_events: Callable[[], DataFrame]
 
     @property
     def spark(self) -> SparkSession:
-        return self.events.sparkSession
+        return self.came.sparkSession
 
-    def write_parts(self, parts: DataFrame, folder: str) -> None:
-        """Write what this batch adds to a fold, each log's generation with it."""
-        of = self.manifest.where("touched").select("log_id", "generation")
+    @cached_property
+    def events(self) -> DataFrame:
+        """For folds that depend on order: the batch's events, of renewed logs all that count."""
+        return self._with_whole("renewed")
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """For folds that merge in any order: the batch's events, of replaced logs all that count."""
+        return self._with_whole("replaced")
+
+    def _with_whole(self, again: str) -> DataFrame:
+        logs = self.manifest.where(again).select("log_id")
+        if logs.isEmpty():
+            return surviving(self.came, self.manifest)
+        whole = self.all_events().join(logs, "log_id", "left_semi")
+        rows = self.came.join(logs, "log_id", "left_anti").unionByName(whole)
+        return land(surviving(rows, self.manifest), "fold_input")
+
+    def write_parts(self, parts: DataFrame, folder: str, by: str = "generation") -> None:
+        """Write what this batch adds to a fold, with it each log's generation (or edition)."""
+        of = self.manifest.where("touched").select("log_id", by)
         parts.join(of, "log_id").write.mode("overwrite").parquet(f"{folder}/batch={self.batch_id}")
 
 
@@ -187,15 +215,15 @@ class LogTable:
             *[F.col("name").alias("log_id") if c == "log_id" else F.col(c) for c in rows.columns]
         )
 
-    def parts(self, name: str) -> DataFrame:
-        """Rows of a fold's batches that are of their logs' current generation."""
+    def parts(self, name: str, by: str = "generation") -> DataFrame:
+        """Rows of a fold's batches that are of their logs' current generation (or edition)."""
         rows = self.spark.read.parquet(self.path(name)).drop("batch")
-        return rows.join(self.manifest().select("log_id", "generation"), ["log_id", "generation"], "left_semi").drop("generation")
+        return rows.join(self.manifest().select("log_id", by), ["log_id", by], "left_semi").drop(by)
 
     def add(self, batch: DataFrame, batch_id: int, folds: Sequence[Fold] = ()) -> None:
         """Write a micro-batch's events and its manifest, then run the folds on what it changes."""
         folder = self.path(f"events/batch={batch_id}")
-        parse_events(placed(batch), keep=["compacted"]).write.partitionBy("family").mode("overwrite").parquet(folder)
+        write_by_family(parse_events(placed(batch), keep=["compacted"]), folder)
         events = self.spark.read.schema(STREAM_TABLE_SCHEMA).parquet(folder)
         versions = self.path("manifest")
         next_manifest(self.manifest(before=batch_id), events).write.mode("overwrite").parquet(f"{versions}/version={batch_id}")
@@ -203,15 +231,9 @@ class LogTable:
         if not folds:
             return
         manifest = self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{versions}/version={batch_id}")
-        again = manifest.where("renewed").select("log_id")
-        if again.isEmpty():
-            rows = surviving(events, manifest)
-        else:
-            whole = self._all_events().join(again, "log_id", "left_semi")
-            rows = events.join(again, "log_id", "left_anti").unionByName(whole)
-            rows = land(surviving(rows, manifest), "fold_input")
+        step = Batch(events, manifest, batch_id, self._all_events)
         for fold in folds:
-            fold(Batch(rows, manifest, batch_id))
+            fold(step)
 
     def follow(
         self, path: str, folds: Sequence[Fold] = (), files_per_trigger: int | None = None

@@ -81,6 +81,22 @@ def test_deliveries_in_any_order_equal_one_batch(spark, tmp_path, files_per_trig
     assert_as_in_one_batch(spark, table, arriving, tmp_path / "whole")
 
 
+def test_late_rolls_are_parts_of_totals_and_lifecycle(spark, tmp_path):
+    """A roll that comes late costs its own events, not those of its whole log again."""
+    staged, arriving = tmp_path / "staged", tmp_path / "arriving"
+    names = rolled(staged, "app-3", list(lines(random_log(55, 300))), 4)
+    table = LogTable(spark, str(tmp_path / "table"))
+    read = []
+    (arriving / "eventlog_v2_app-3").mkdir(parents=True)
+    for name in (names[3], names[1], names[0], names[2]):
+        shutil.copy(staged / name, arriving / "eventlog_v2_app-3" / name)
+        folds = [keep_totals(table), keep_lifecycle(table), lambda batch: read.append((batch.parts.count(), batch.came.count()))]
+        table.follow(str(arriving), folds)
+    assert len(read) == 4 and all(parts == came for parts, came in read)
+    assert [(r.generation, r.edition) for r in table.manifest().collect()] == [(3, 0)]
+    assert_as_in_one_batch(spark, table, arriving, tmp_path / "whole", samples=False)
+
+
 def test_running_log_is_read_on_and_its_torn_line_kept_back(spark, tmp_path):
     arriving = tmp_path / "arriving"
     arriving.mkdir()
