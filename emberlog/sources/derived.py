@@ -31,12 +31,17 @@ def keyed(events: DataFrame) -> DataFrame:
         (F.col("user_id") % 3).alias("app"),
         F.expr("1 + (user_id div 3) % 4").alias("exec"),
     )
-    return e.select(
-        "*",
-        F.expr("1 + (id * 37) % 5000").alias("dur"),
-        F.concat(F.lit("app-"), F.col("app").cast("string")).alias("log_id"),
+    return e.select("*", F.concat(F.lit("app-"), F.col("app").cast("string")).alias("log_id"), *_follows())
+
+
+def _follows() -> list[Column]:
+    """What follows from a row's id, executor and launch time."""
+    dur = "1 + (id * 37) % 5000"
+    return [
+        F.expr(dur).alias("dur"),
         F.col("exec").cast("string").alias("executor_id"),
-    ).withColumn("finish", F.expr("launch + dur"))
+        F.expr(f"launch + {dur}").alias("finish"),
+    ]
 
 
 def _json(event: str, *fields: Column) -> Column:
@@ -373,13 +378,16 @@ def write_logs(events: DataFrame, path: str) -> None:
 
     Range partitioning on (log, seq) cuts a large log over many files; the part
     numbers rise with ``seq``, so they serve as the roll numbers of the log. Rows
-    are rendered to JSON after the shuffle, which then moves narrow rows only.
+    are rendered to JSON after the shuffle, which then moves narrow rows only, and
+    written compressed, as rolled logs of large applications are.
     """
     picked, lifecycle = _log_rows(events)
+    narrow = picked.select("log_id", "seq", "kind", "id", "event_type", "launch", "app", "exec")
     placed = (
-        picked.unionByName(lifecycle, allowMissingColumns=True)
+        narrow.unionByName(lifecycle, allowMissingColumns=True)
         .repartitionByRange("log_id", "seq")
         .sortWithinPartitions("log_id", "seq")
+        .select("*", *_follows())
     )
     value = F.col("value")
     for kind, (_, _, line) in enumerate(_row_lines()):
@@ -388,6 +396,8 @@ def write_logs(events: DataFrame, path: str) -> None:
         placed.select("log_id", value.alias("value"))
         .write.partitionBy("log_id")
         .option("maxRecordsPerFile", 0)
+        .option("compression", "gzip")
+        .option("zlib.compress.level", "BEST_SPEED")
         .mode("overwrite")
         .text(path)
     )

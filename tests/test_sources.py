@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.operators.applications import applications, with_app_id
 from emberlog.operators.tasks import executor_totals, tasks
 from emberlog.plans import reports
+from emberlog.sources.derived import derive_lines, write_logs
 from emberlog.sources.logs import (
     check_codecs,
     corrupt_lines,
@@ -21,6 +22,7 @@ from emberlog.sources.logs import (
     read_events,
     read_lines,
 )
+from emberlog.sources.tables import read_event_table, write_by_family
 
 
 def start(task, executor="1"):
@@ -207,3 +209,31 @@ def test_real_log(spark, tmp_path, rolled):
     assert len(samples) >= 8 and max(r["mem_used"] for r in samples) > 0
     assert reports.merged_environment(events).where("name = 'spark.master'").first()["value"] == "local[2]"
     events.unpersist()
+
+
+def test_derived_logs_are_rolled_and_compressed(spark, tmp_path):
+    """The text is most of what a query writes; it is compressed, and only what it follows from is shuffled."""
+    rows = spark.range(300).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id * 7 AS user_id",
+        "element_at(array('view', 'click', 'purchase', 'error'), cast(id % 4 + 1 AS int)) AS event_type",
+    )
+    write_logs(rows, str(tmp_path / "logs"))
+    files = [f.name for f in (tmp_path / "logs").rglob("part-*")]
+    assert files and all(name.endswith(".txt.gz") for name in files)
+    got = read_lines(spark, str(tmp_path / "logs")).orderBy("log_id", "seq").select("log_id", "value").collect()
+    want = derive_lines(rows).orderBy("log_id", "seq").select("log_id", "value").collect()
+    assert got == want
+
+
+def test_landing_does_not_sort_by_family(spark, tmp_path):
+    (tmp_path / "app-1").write_text("\n".join([start(i) for i in range(40)] + [json.dumps({"Event": "SparkListenerUnpersistRDD", "RDD ID": 1})]) + "\n")
+    option = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(option)
+    seen = []
+    events = read_events(spark, str(tmp_path / "app-1"))
+    write = type(events).write.fget
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(events), "write", property(lambda rows: (seen.append(spark.conf.get(option)), write(rows))[1]))
+        write_by_family(events, str(tmp_path / "table"))
+    assert int(seen[0]) >= 4 and spark.conf.get(option) == before
+    assert read_event_table(spark, str(tmp_path / "table")).groupBy("family").count().count() == 2
