@@ -25,7 +25,11 @@ pair of a list was verified, or both were linked already: components are exact.
 The links that this leaves out are between classes of one component. There all pairs are
 compared, block by block of at most about ``BLOCK`` classes each: a component of several
 blocks compares two of them by the classes that share a list. So every link is found, and
-a set goes to as many tasks as there are blocks it meets, not once with every pair.
+a set goes to as many tasks as there are blocks it meets, not once with every pair. Blocks
+return how many links each class has, not the links, which may be the square of the classes.
+
+Sets of classes without an open list are left behind (``wanted_sets``), so a round shuffles
+what it may still compare, and the shuffle files of a step go when it is written.
 
 Shingles are 64-bit hashes. Defined results: a null or wordless text has an empty
 set and links with nothing, itself being its component; fewer than four words are
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
 from emberlog.llm.words import SPACED_LOWER, mix, slices, window_hash, words_of
-from emberlog.sources.tables import land
+from emberlog.sources.tables import land_and_free as land
 
 SHINGLE = 4
 PERCENT = 85
@@ -268,11 +272,20 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return land(found.mapInArrow(_full_sets, "sig BIGINT, set ARRAY<BIGINT>, parity ARRAY<BIGINT>").dropDuplicates(["sig"]), "full_sets")
 
 
+def wanted_sets(contents: DataFrame, lists: DataFrame) -> DataFrame:
+    """``contents`` of the classes in ``lists`` at least; written anew where that halves them."""
+    wanted = land(lists.select("sig").distinct(), "wanted")
+    if 2 * wanted.count() > contents.count():
+        return contents
+    return land(contents.join(wanted, "sig", "left_semi"), "wanted_sets")
+
+
 def connecting_links(lists: DataFrame, contents: DataFrame) -> DataFrame:
-    """(a, b): verified links between classes that connect all classes that links connect."""
+    """(a, b): verified links between classes that connect all classes that links connect.
+
+    ``lists`` are open lists in which each class is a label of its own.
+    """
     spark = lists.sparkSession
-    lists = lists.join(contents.select("sig", "parity"), "sig")
-    lists = open_lists(lists, spark.createDataFrame([], "sig BIGINT, label BIGINT"))
     done = spark.createDataFrame([], PAIR_SCHEMA)
     found, hubs_a_list = [], 1
     while not lists.isEmpty():
@@ -322,6 +335,7 @@ def connecting_links(lists: DataFrame, contents: DataFrame) -> DataFrame:
             "sig", F.coalesce("root", "label").alias("label")
         )
         lists = open_lists(lists.join(hubs.select("token", "sig"), ["token", "sig"], "left_anti"), labels)
+        contents = wanted_sets(contents, lists)
         hubs_a_list *= GROWTH
     return _union(found, spark)
 
@@ -334,7 +348,10 @@ def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
 
 
 def _of_blocks(table: pa.Table) -> pa.Table:
-    """(a, b) of the linked classes of one block, or of two: one of each."""
+    """(sig, n_links, others): per class of one block, or of two, what it links with there.
+
+    ``others`` counts the rows of those classes.
+    """
     sets = table.column("set").combine_chunks()
     hashes = sets.flatten().to_numpy()
     size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
@@ -355,49 +372,77 @@ def _of_blocks(table: pa.Table) -> pa.Table:
         both += holds[low] @ holds[high].T
     both = both.astype(np.int64)
     linked = 100 * both >= PERCENT * (size[low][:, None] + size[high][None] - both)
+    sides = [(low, high, linked), (high, low, linked.T)]
     if block.min() == block.max():
-        linked = np.triu(linked, 1)
-    i, j = np.nonzero(linked)
-    x, y = sig[low[i]], sig[high[j]]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        np.fill_diagonal(linked, False)
+        del sides[1]
+    copies = table.column("copies").to_numpy()
+    return pa.table(
+        {
+            "sig": np.concatenate([sig[mine] for mine, _, _ in sides]),
+            "n_links": np.concatenate([which.sum(axis=1) for _, _, which in sides]),
+            "others": np.concatenate([which @ copies[theirs] for _, theirs, which in sides]),
+        }
+    )
+
 
+def link_counts(lists: DataFrame, contents: DataFrame, connecting: DataFrame, placed: DataFrame) -> DataFrame:
+    """(sig, n_links, others): how many classes, and rows of them, each linked class links with.
 
-def links(lists: DataFrame, contents: DataFrame, connecting: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all links between classes, of their ``connecting`` links and components (sig, root)."""
-    many = roots.groupBy("root").agg(F.count("*").alias("k"))
-    known = connecting.join(roots.withColumnRenamed("sig", "a"), "a")
-    unknown = many.join(known.groupBy("root").agg(F.count("*").alias("m")), "root").where("2 * m < k * (k - 1)")
+    ``placed`` is (sig, copies, root) of the classes, ``connecting`` links connect those of one
+    root. Where they are all links of their component, sizes tell the rest.
+    """
+    many = placed.groupBy("root").agg(F.count("*").alias("k"), F.sum("copies").alias("rows")).where("k > 1")
+    known = connecting.join(placed.select(F.col("sig").alias("a"), "root"), "a").groupBy("root").agg(F.count("*").alias("m"))
     members = land(
-        roots.join(unknown, "root").select(
-            "sig", "root", "k", F.pmod(F.xxhash64("sig"), _div(F.col("k") + BLOCK - 1, BLOCK)).alias("block")
+        placed.select("sig", "copies", "root").join(many.join(known, "root"), "root").select(
+            "sig",
+            "copies",
+            "root",
+            "k",
+            "rows",
+            (2 * F.col("m") == F.col("k") * (F.col("k") - 1)).alias("complete"),
+            F.pmod(F.xxhash64("sig"), _div(F.col("k") + BLOCK - 1, BLOCK)).alias("block"),
         ),
         "block_members",
     )
-    single = members.where(F.col("k") <= BLOCK).select("root", "sig", "block", F.col("block").alias("other"))
+    complete = members.where("complete").select(
+        "sig", (F.col("k") - 1).alias("n_links"), (F.col("rows") - F.col("copies")).alias("others")
+    )
+    members = members.where("NOT complete")
+    single = members.where(F.col("k") <= BLOCK).select("root", "sig", "copies", "block", F.col("block").alias("other"))
     met = land(
-        lists.join(members.where(F.col("k") > BLOCK), "sig").select("token", "root", "sig", "block"), "block_lists"
+        lists.join(members.where(F.col("k") > BLOCK), "sig").select("token", "root", "sig", "copies", "block"),
+        "block_lists",
     )
     others = met.select("token", "root", F.col("block").alias("other")).distinct()
-    several_blocks = met.join(others, ["token", "root"]).select("root", "sig", "block", "other").distinct()
+    several_blocks = met.join(others, ["token", "root"]).select("root", "sig", "copies", "block", "other").distinct()
     found = (
         single.unionByName(several_blocks)
-        .select("root", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .drop("other")
         .join(contents.select("sig", "set"), "sig")
         .groupBy("root", "low", "high")
-        .applyInArrow(_of_blocks, "a BIGINT, b BIGINT")
+        .applyInArrow(_of_blocks, "sig BIGINT, n_links BIGINT, others BIGINT")
     )
-    return known.join(members.select("root").distinct(), "root", "left_anti").select("a", "b").unionByName(found)
+    summed = found.groupBy("sig").agg(F.sum("n_links").alias("n_links"), F.sum("others").alias("others"))
+    return complete.unionByName(summed)
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[], DataFrame]]:
-    """The sets, (sig, class_id, copies, root) of their classes, and how to get all links."""
+    """The sets, (sig, class_id, copies, root) of their classes, and how to count all links."""
     sets = land(texts(docs).mapInArrow(_slabs, SET_SCHEMA), "sets")
     lists, contents = posting_lists(docs, sets)
-    connecting = land(connecting_links(lists, contents), "connecting")
-    roots = land(components(connecting).withColumnRenamed("node", "sig"), "roots")
+    opened = open_lists(
+        lists.join(contents.select("sig", "parity"), "sig"),
+        docs.sparkSession.createDataFrame([], "sig BIGINT, label BIGINT"),
+    )
+    contents = wanted_sets(contents, opened)
+    connecting = land(connecting_links(opened, contents), "connecting")
+    roots = components(connecting).withColumnRenamed("node", "sig")
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    placed = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    return sets, land(placed, "classes"), lambda: links(lists, contents, connecting, roots)
+    placed = land(classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "classes")
+    return sets, placed, lambda: link_counts(lists, contents, connecting, placed)
 
 
 def classified(docs: DataFrame) -> DataFrame:
@@ -408,15 +453,8 @@ def classified(docs: DataFrame) -> DataFrame:
     ``n_links`` the number of other classes that the row's class links with, and ``n_linked``
     that of other rows that the row links with, copies included.
     """
-    sets, placed, all_links = _joined(docs)
-    copies = placed.select("sig", "copies")
-    both = all_links().select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    degree = land(
-        both.join(copies.withColumnRenamed("sig", "b"), "b")
-        .groupBy(F.col("a").alias("sig"))
-        .agg(F.count("*").alias("n_links"), F.sum("copies").alias("others")),
-        "degrees",
-    )
+    sets, placed, counted = _joined(docs)
+    degree = land(counted(), "degrees")
     least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
     placed = placed.join(degree, "sig", "left").join(least, "root")
     zero = F.lit(0).cast("bigint")

@@ -234,3 +234,23 @@ def land(table: DataFrame, name: str) -> DataFrame:
     path = shared_folder(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def land_and_free(table: DataFrame, name: str) -> DataFrame:
+    """``land``; the shuffle files of the plan go when it is written, not with some later garbage collection.
+
+    For steps whose plans are not run again. Spark before 4.1 does not know the setting.
+    """
+    conf = table.sparkSession.conf
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")
+    try:
+        return land(table, name)
+    finally:
+        if before is None:
+            conf.unset(_FREE)
+        else:
+            conf.set(_FREE, before)

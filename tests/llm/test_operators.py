@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from emberlog.llm import (
     components, decontaminate, jaccard, licence_texts, licences, mixing, quality, rules, secrets, sharding, substrings, tokenfiles,
 )
 from emberlog.llm.words import ALNUM_LOWER, SPACED, window_hash, words_of
+from emberlog.sources import tables
 from tests.llm import brute
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -347,6 +349,46 @@ def test_jaccard_all_links(spark, monkeypatch):
     same([(r.doc_id, r.n_links, r.n_linked) for r in got], want)
 
 
+def test_jaccard_links_are_counted_not_listed():
+    """A group of near copies gives a row per class and block, not one per link."""
+    base = np.arange(400, dtype=np.int64)
+    sets = [np.append(base, 1000 + i) for i in range(30)] + [np.arange(5000, 5400)]
+    block = np.array([0] * 15 + [1] * 15 + [0])
+    for blocks in (block, block * 0):
+        table = pa.table({"sig": range(31), "copies": [1 + i % 3 for i in range(31)], "block": blocks, "set": [x.tolist() for x in sets]})
+        got = jaccard._of_blocks(table).to_pylist()
+        assert len(got) == 31
+        for r in got:
+            near = [i for i in range(30) if r["sig"] < 30 and (blocks[i] != blocks[r["sig"]] if blocks.any() else i != r["sig"])]
+            assert (r["n_links"], r["others"]) == (len(near), sum(1 + i % 3 for i in near))
+
+
+def test_jaccard_rounds_leave_sets_behind(spark):
+    contents = spark.createDataFrame([(i, [i]) for i in range(6)], "sig BIGINT, set ARRAY<BIGINT>").localCheckpoint()
+    lists = lambda *sigs: spark.createDataFrame([(t, s) for s in sigs for t in (1, 2)], "token BIGINT, sig BIGINT")
+    same([r.sig for r in jaccard.wanted_sets(contents, lists(2, 4)).collect()], [2, 4])
+    assert jaccard.wanted_sets(contents, lists(1, 2, 3, 4)) is contents
+    assert jaccard.wanted_sets(contents, lists().limit(0)).count() == 0
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.rsplit("/", 1)[-1].startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, known = files(), spark.conf.get(setting, None)
+    rows = tables.land_and_free(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert rows.count() == 7 and spark.conf.get(setting, None) == known
+    found = spark.range(50).repartition(3, "id").count()
+    assert found == 50 and files() - before  # of the plain run
+    before |= files()
+    tables.land_and_free(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 7), (7, 9), (1, 1), (9, 5), (3, 200), (200, 150), (150, 141)]
     got = dict(components.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect())
