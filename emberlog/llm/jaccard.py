@@ -29,7 +29,10 @@ a set goes to as many tasks as there are blocks it meets, not once with every pa
 return how many links each class has, not the links, which may be the square of the classes.
 
 Sets of classes without an open list are left behind (``wanted_sets``), so a round shuffles
-what it may still compare, and the shuffle files of a step go when it is written.
+what it may still compare. Texts and sets are wide, and most have no candidates: before they are
+shuffled, those that nobody asks for are dropped by a bitmap of bounded size (``likely``); the
+exact join follows. The shuffle files of a step go when it is written, and so do its tables when
+no later step reads them.
 
 Shingles are 64-bit hashes. Defined results: a null or wordless text has an empty
 set and links with nothing, itself being its component; fewer than four words are
@@ -49,6 +52,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
 from emberlog.llm.words import SPACED_LOWER, mix, slices, window_hash, words_of
+from emberlog.sources.tables import Written
 from emberlog.sources.tables import land_and_free as land
 
 SHINGLE = 4
@@ -58,6 +62,8 @@ PARITY = 512
 # Classes in a block, and shared shingles that two blocks are compared by at once.
 BLOCK = 128
 STRIP = 8192
+# Bits (as a power of two) of the map that tells which texts or sets are asked for.
+FILTER = 24
 
 
 def least_shared(n):
@@ -171,7 +177,8 @@ def _prefixes(rows: DataFrame, taken: Column, prefix: Column, name: str) -> Data
     meet the counts, which are written first: a join of two plain shuffles can split
     a token of many documents.
     """
-    counts = land(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), f"{name}_counts")
+    with Written(rows.sparkSession) as passing:
+        counts = land(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), f"{name}_counts")
     shared = rows.join(counts, "token").groupBy("sig").agg(
         F.first("n").alias("n"), F.collect_set(F.struct("df", "token")).alias("shared")
     )
@@ -183,21 +190,37 @@ def _prefixes(rows: DataFrame, taken: Column, prefix: Column, name: str) -> Data
         "alone",
         F.explode(F.slice(F.array_sort("shared"), F.lit(1), take)).alias("s"),
     )
-    return land(kept.select("s.token", "sig", "n", "alone"), name)
+    lists = land(kept.select("s.token", "sig", "n", "alone"), name)
+    passing.drop()
+    return lists
 
 
-def posting_lists(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((token, sig, n, alone), (sig, set)): candidate lists, and the sets of their classes.
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, tid, n, sig), (sig)): the rows, and the classes that share a rare shingle of their slabs.
+
+    The slabs are ordered by frequency; classes without a candidate end there. The slabs go
+    before whole sets are written.
+    """
+    n = F.col("n")
+    with Written(docs.sparkSession) as passing:
+        slabs = land(texts(docs).mapInArrow(_slabs, SET_SCHEMA), "slabs")
+        rows = slabs.where("n > 0").select("sig", "n", F.explode("slab").alias("token"))
+        lists = several(_prefixes(rows, slab_size(n), prefix_size(n), "slab_lists"), "sig")
+    sets = land(slabs.drop("slab"), "sets")
+    wanted = land(lists.select("sig").distinct(), "wanted")
+    passing.drop()
+    return sets, wanted
+
+
+def posting_lists(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((token, sig, n, alone), (sig, set)): candidate lists of ``wanted``, and the sets of their classes.
 
-    First the slabs are ordered by frequency; classes without a candidate end there.
     Partners are candidates as well, so frequencies among the rest decide as well:
     their whole sets are ordered again, and a class that misses too many of its
     shingles in all others together ends too.
     """
     n = F.col("n")
-    rows = sets.where("n > 0").select("sig", "n", F.explode("slab").alias("token"))
-    lists = several(_prefixes(rows, slab_size(n), prefix_size(n), "slab_lists"), "sig")
-    contents = full_sets(docs, sets, lists.select("sig").distinct())
+    contents = full_sets(docs, sets, wanted)
     rows = contents.select("sig", F.size("set").cast("bigint").alias("n"), F.explode("set").alias("token"))
     return _prefixes(rows, n, n - least_shared(n) + 1, "set_lists"), contents
 
@@ -253,23 +276,42 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``wanted``, and by chance some others, without a shuffle of them.
+
+    A map of 2^``FILTER`` bits goes to the tasks, whatever the size of ``wanted``: the more
+    of it is set, the more others stay. An exact join follows.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER))
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    here = rows.withColumn("place", place)
+    found = (F.shiftright("place", 6) == F.col("word")) & (F.expr("getbit(bits, CAST(place & 63 AS INT))") == 1)
+    return here.join(F.broadcast(bits), found, "left_semi").drop("place")
+
+
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, set) of the classes in ``wanted``, from one document of each, written."""
-    members = (
-        sets.join(wanted, "sig", "left_semi")
-        .groupBy("sig")
-        .agg(F.min(F.struct("doc_id", "tid")).alias("member"))
-        .select(F.col("member.doc_id").alias("of_id"), F.col("member.tid").alias("of_tid"))
-        .distinct()
-    )
-    all_texts = texts(docs)
-    # By shuffle at every size: the classes with candidates follow the corpus. Rows of one
-    # id, or of none, are told apart by their texts.
-    found = all_texts.join(
-        members.hint("merge"),
-        (all_texts["tid"] == members["of_tid"]) & all_texts["doc_id"].eqNullSafe(members["of_id"]),
-    ).select("text")
-    return land(found.mapInArrow(_full_sets, "sig BIGINT, set ARRAY<BIGINT>, parity ARRAY<BIGINT>").dropDuplicates(["sig"]), "full_sets")
+    # Rows of one id, or of none, are told apart by their texts.
+    key = ["tid", "id", "none"]
+    keyed = lambda rows: rows.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.isnull("doc_id")})
+    with Written(docs.sparkSession) as passing:
+        members = land(
+            keyed(
+                likely(sets, wanted, "sig")
+                .join(wanted, "sig", "left_semi")
+                .groupBy("sig")
+                .agg(F.min(F.struct("doc_id", "tid")).alias("member"))
+                .select("member.*")
+            ).select(key),
+            "members",
+        )
+    # By shuffle at every size: the classes with candidates follow the corpus. Rows that repeat
+    # are one before they are shuffled, so the sets need no shuffle of their own.
+    found = keyed(likely(texts(docs), members, "tid")).dropDuplicates(key).join(members.hint("merge"), key)
+    contents = land(found.select("text").mapInArrow(_full_sets, "sig BIGINT, set ARRAY<BIGINT>, parity ARRAY<BIGINT>"), "full_sets")
+    passing.drop()
+    return contents
 
 
 def wanted_sets(contents: DataFrame, lists: DataFrame) -> DataFrame:
@@ -278,7 +320,8 @@ def wanted_sets(contents: DataFrame, lists: DataFrame) -> DataFrame:
     wanted = lists.agg(F.approx_count_distinct("sig")).first()[0]
     if not wanted or 2 * wanted > contents.count():
         return contents
-    return land(contents.join(lists.select("sig").distinct(), "sig", "left_semi"), "wanted_sets")
+    asked = likely(contents, lists, "sig").join(lists.select("sig").distinct(), "sig", "left_semi")
+    return land(asked, "wanted_sets")
 
 
 def connecting_links(lists: DataFrame, contents: DataFrame) -> DataFrame:
@@ -306,16 +349,18 @@ def connecting_links(lists: DataFrame, contents: DataFrame) -> DataFrame:
         least = F.col("n") + F.col("hub_n") - most
         bits = [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("hub_parity", F.lit(i)))) for i in range(PARITY // 64)]
         differ = (100 + PERCENT) * sum(bits[1:], bits[0]) <= (100 - PERCENT) * (F.col("n") + F.col("hub_n"))
-        pairs = (
+        pairs = land(
             lists.join(other, "token")
             .where((F.col("label") != F.col("hub_label")) & (100 * low >= PERCENT * high))
             .where((100 * most >= PERCENT * least) & differ)
             .select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
             .distinct()
-            .join(done.select("a", "b"), ["a", "b"], "left_anti")
+            .join(done.select("a", "b"), ["a", "b"], "left_anti"),
+            "pairs",
         )
-        set_a = contents.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
-        set_b = contents.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
+        asked = likely(contents, pairs.select(F.explode(F.array("a", "b")).alias("sig")), "sig")
+        set_a = asked.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
+        set_b = asked.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
         verified = land(
             pairs.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b")
             .mapInArrow(_verify, PAIR_SCHEMA),
@@ -422,7 +467,7 @@ def link_counts(lists: DataFrame, contents: DataFrame, connecting: DataFrame, pl
         single.unionByName(several_blocks)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .drop("other")
-        .join(contents.select("sig", "set"), "sig")
+        .join(likely(contents, members, "sig").select("sig", "set"), "sig")
         .groupBy("root", "low", "high")
         .applyInArrow(_of_blocks, "sig BIGINT, n_links BIGINT, others BIGINT")
     )
@@ -432,8 +477,8 @@ def link_counts(lists: DataFrame, contents: DataFrame, connecting: DataFrame, pl
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[], DataFrame]]:
     """The sets, (sig, class_id, copies, root) of their classes, and how to count all links."""
-    sets = land(texts(docs).mapInArrow(_slabs, SET_SCHEMA), "sets")
-    lists, contents = posting_lists(docs, sets)
+    sets, wanted = candidates(docs)
+    lists, contents = posting_lists(docs, sets, wanted)
     opened = open_lists(
         lists.join(contents.select("sig", "parity"), "sig"),
         docs.sparkSession.createDataFrame([], "sig BIGINT, label BIGINT"),
@@ -459,7 +504,7 @@ def classified(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
     placed = placed.join(degree, "sig", "left").join(least, "root")
     zero = F.lit(0).cast("bigint")
-    return sets.drop("slab").join(placed, "sig", "left").select(
+    return sets.join(placed, "sig", "left").select(
         "doc_id",
         "tid",
         F.col("n").alias("n_shingles"),

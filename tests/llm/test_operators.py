@@ -370,6 +370,32 @@ def test_jaccard_rounds_leave_sets_behind(spark):
     assert jaccard.wanted_sets(contents, lists(1, 2, 3, 4)) is contents
 
 
+def test_jaccard_drops_what_nobody_asks_for(spark, monkeypatch):
+    rows, wanted = spark.range(-5000, 5000).toDF("sig"), {-4999, -1, 0, 7, 4321}
+    asked = spark.createDataFrame([(i,) for i in [*wanted, 7]], "sig BIGINT")
+    kept = jaccard.likely(rows, asked, "sig")
+    got = [r.sig for r in kept.collect()]
+    assert wanted <= set(got) and len(got) < 50 and kept.columns == ["sig"]
+    monkeypatch.setattr(jaccard, "FILTER", 6)  # a map that is too small keeps more, never less
+    got = [r.sig for r in jaccard.likely(rows, rows, "sig").collect()]
+    same(got, range(-5000, 5000))
+
+
+def test_jaccard_tables_go_and_copies_meet_before_the_sets(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    pairs = [(None, text)] * 30 + [(0, text)] * 30 + [(5, text + " end")] * 3 + [(None, "zz"), (0, None)]
+    pairs += [(100 + i, " ".join(f"v{i}x{j}" for j in range(60))) for i in range(30)]
+    rows = spark.createDataFrame(pairs, "doc_id BIGINT, text STRING")
+    with tables.Written(spark) as owner:
+        got = jaccard.classified(rows).collect()
+    same([(r.n_links, r.n_linked) for r in got], [(1, 62)] * 60 + [(1, 62)] * 3 + [(0, 0)] * 32)
+    held = {path.rsplit("/", 1)[-1].rsplit("-", 1)[0]: spark.read.parquet(path) for path in owner.paths}
+    assert not any("slab" in table.columns for table in held.values())
+    assert not {"slab_lists", "slab_lists_counts", "set_lists_counts"} & set(held)
+    assert held["full_sets"].count() == held["full_sets"].select("sig").distinct().count() == 2
+    owner.drop()
+
+
 def test_shuffle_files_go_with_the_write(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.rsplit("/", 1)[-1].startswith("shuffle_")}
